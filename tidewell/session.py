@@ -15,6 +15,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The folder made where the session names none.
+_own_dir: list[str] = []
+
+
 def build_session(app: str = "tidewell", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
@@ -33,9 +37,10 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared scratch folder; a temporary one where none is configured."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="tidewell-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not _own_dir:
+            _own_dir.append(tempfile.mkdtemp(prefix="tidewell-"))
+            atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
+        base = _own_dir[0]
     return base.rstrip("/")
 
 
