@@ -34,7 +34,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     empty result. Nodes without an edge do not appear: the caller supplies ``component = node``.
     """
     spark = edges.sparkSession
-    ends = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
+    ends, _ = materialize(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null"), "ends")
     nodes_of_loops = ends.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("component"))
     current = ends.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     current, path = materialize(current, "edges")
