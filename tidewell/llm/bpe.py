@@ -27,7 +27,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers  # noqa: E402
 
-from tidewell.llm.tables import slices, texts_of  # noqa: E402
+from tidewell.llm.tables import slices, texts_of, with_fields  # noqa: E402
 
 #: Entries of a worker's word table; when full it starts anew, so that it stays in bounded memory.
 TABLE_WORDS = 600_000
@@ -146,10 +146,8 @@ def encode(df: DataFrame, path: str, pattern: str | None = None, text: str = "te
                 more += [pa.array([[s[end] for s in x] for x in spans], pa.list_(pa.int32())) for end in (0, 1)]
             yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, *added])
 
-    schema = frame.schema.add("ids", "binary").add("n_tokens", "long")
-    if offsets:
-        schema = schema.add("starts", "array<int>").add("ends", "array<int>")
-    return frame.mapInArrow(run, schema)
+    fields = "ids binary, n_tokens long" + (", starts array<int>, ends array<int>" if offsets else "")
+    return frame.mapInArrow(run, with_fields(frame.schema, fields))
 
 
 def decode(df: DataFrame, path: str, pattern: str | None = None, ids: str = "ids") -> DataFrame:
@@ -165,4 +163,4 @@ def decode(df: DataFrame, path: str, pattern: str | None = None, ids: str = "ids
             out = pa.array([None if x is None else own.decode(x) for x in b.column(ids).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns, out], [*b.schema.names, "decoded"])
 
-    return frame.mapInArrow(run, frame.schema.add("decoded", "binary"))
+    return frame.mapInArrow(run, with_fields(frame.schema, "decoded binary"))

@@ -2,12 +2,12 @@
 
 The search is a self-join at Hamming distance ``radius`` over distinct fingerprints. A few
 vantage points, taken from a bounded sample, cut the space into shards: one bit per vantage
-point says whether a fingerprint lies within the sample's median distance. Each fingerprint is
-indexed in one shard; by the triangle inequality a pair can lie across a cut only if both are
-within ``radius`` of it, so a fingerprint also visits, as a query, the shards whose boundary
-it overlaps. In each shard a vantage-point tree is built over the indexed fingerprints and
-searched by all visitors at once. A shard returns links to one representative per local group
-(a forest), never its pairs, so large groups of near copies stay linear.
+point says whether a fingerprint lies within the sample's median distance. By the triangle
+inequality a pair can lie across a cut only if both are within ``radius`` of it, so the inner
+fingerprints near a cut also go to the shards on its other side, which their boundary
+overlaps. In each shard a vantage-point tree is built and searched by all members at once. A
+shard returns links to one representative per local group (a forest), never its pairs, so
+large groups of near copies stay linear.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.tables import slices, texts_of
+from tidewell.llm.tables import bounded_sample, slices, texts_of
 from tidewell.operators.components import connected_components
 from tidewell.session import materialize
 
@@ -87,22 +87,20 @@ class VantagePoints:
     def distance(self, level: int) -> Column:
         return F.bit_count(F.col("fp").bitwiseXOR(F.lit(self.points[level])))
 
-    def home(self) -> Column:
-        """The shard that indexes a fingerprint."""
-        code = F.lit(0).cast("long")
-        for i, cut in enumerate(self.cuts):
-            code = code * 2 + (self.distance(i) > cut).cast("long")
-        return code
+    def shards(self, radius: int) -> Column:
+        """The shards that a fingerprint belongs to.
 
-    def visited(self, radius: int) -> Column:
-        """All shards whose fingerprints can lie within ``radius``, the home shard included."""
+        Its own side of each cut, and from the inside also the other side if the cut is nearer
+        than ``radius``. Two fingerprints within ``radius`` share a shard: where a cut parts
+        them, the inner one also goes outside.
+        """
         shards = F.array(F.lit(0).cast("long"))
+        none = F.array().cast("array<long>")
         for i, cut in enumerate(self.cuts):
-            inside, outside = self.distance(i) <= cut + radius, self.distance(i) > cut - radius
-            shards = F.concat(
-                F.when(inside, F.transform(shards, lambda s: s * 2)).otherwise(F.array().cast("array<long>")),
-                F.when(outside, F.transform(shards, lambda s: s * 2 + 1)).otherwise(F.array().cast("array<long>")),
-            )
+            d = self.distance(i)
+            inside = F.when(d <= cut, F.transform(shards, lambda s: s * 2)).otherwise(none)
+            outside = F.when(d > cut - radius, F.transform(shards, lambda s: s * 2 + 1)).otherwise(none)
+            shards = F.concat(inside, outside)
         return shards
 
 
@@ -195,15 +193,15 @@ def links(distinct: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROW
     spark = distinct.sparkSession
     n = distinct.count()
     levels = max(0, math.ceil(math.log2(max(1, n) / shard_rows)))
-    sample = np.array([r.fp for r in distinct.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()], np.int64).view(np.uint64)
+    sample = np.array([r.fp for r in bounded_sample(distinct.select("fp"), "fp", SAMPLE).collect()], np.int64).view(np.uint64)
     cuts = VantagePoints(sample, levels if len(sample) else 0)
-    placed = distinct.select("fp", "node", cuts.home().alias("home"), cuts.visited(radius).alias("visited"))
-    # Shards beyond the bound (dense groups) are cut into blocks, each searched by all of the shard's visitors.
-    wide = placed.groupBy("home").count().where(F.col("count") > block_rows).select(F.col("home").alias("shard"), F.ceil(F.col("count") / block_rows).alias("blocks"))
-    sent = placed.select("fp", "node", "home", F.explode("visited").alias("shard")).join(F.broadcast(wide), "shard", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = distinct.select("fp", "node", F.explode(cuts.shards(radius)).alias("shard"))
+    # Shards beyond the bound (dense groups) are cut into blocks: each member is indexed in one and visits all.
+    wide = placed.groupBy("shard").count().where(F.col("count") > block_rows).select("shard", F.ceil(F.col("count") / block_rows).alias("blocks"))
+    sent = placed.join(wide, "shard", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
-    sent = sent.withColumn("own", own).select("fp", "node", "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), (F.col("home") == F.col("shard")).alias("at_home"), "own")
-    sent = sent.select("fp", "node", "shard", "block", (F.col("at_home") & (F.col("own") == F.col("block"))).alias("indexed"))
+    sent = sent.select("fp", "node", "shard", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    sent = sent.select("fp", "node", "shard", "block", (F.col("own") == F.col("block")).alias("indexed"))
     return sent.groupBy("shard", "block").applyInPandas(_search, "src long, dst long")
 
 

@@ -8,6 +8,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: What a training corpus table holds.
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -44,3 +45,21 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", rows: int = 10
 
 def texts_of(batch: pa.RecordBatch, text: str = "text") -> list[str]:
     return ["" if t is None else t for t in batch.column(text).to_pylist()]
+
+
+def with_fields(schema: StructType, added: str) -> StructType:
+    """A copy of ``schema`` with the fields of a DDL string after it."""
+    return StructType([*schema.fields, *StructType.fromDDL(added).fields])
+
+
+def bounded_sample(df: DataFrame, key: str, limit: int, salt: int = 0) -> DataFrame:
+    """At most ``limit`` rows, those whose hashed key is smallest; the same rows however the table is split.
+
+    A threshold on the hash leaves about a quarter more than ``limit`` rows to sort, so what
+    tasks send on does not grow with the number of tasks.
+    """
+    hashed = F.pmod(F.xxhash64(F.col(key), F.lit(salt)), F.lit(1 << 40))
+    n = df.count()
+    if n > limit:
+        df = df.where(hashed < int((1 << 40) * min(1.0, (1.25 * limit + 100) / n)))
+    return df.orderBy(hashed, key).limit(limit)
