@@ -40,7 +40,8 @@ CONTEXT = {
 }
 #: Score of a span before context: confirmed by a checksum or rich in form, or by form alone.
 PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.4}
-#: What a context word adds, how many characters around a span are looked at, and the least score of an added kind.
+#: What a context word adds, how many characters around a span (up to the next
+#: span of its kind) are looked at, and the least score of an added kind.
 BOOST, NEAR, LEAST = 0.35, 40, 0.5
 
 
@@ -73,34 +74,45 @@ CONFIRM = {
 }
 
 
+def _running(values: Column, combine) -> Column:
+    """Running total of an array under an associative ``combine``, by doubling steps (n log n, no growing arrays)."""
+    steps = F.array(*[F.lit(1 << i) for i in range(24)])
+
+    def double(total: Column, k: Column) -> Column:
+        n = F.size(total)
+        earlier = F.concat(F.array_repeat(F.lit(0), F.least(k, n)), F.slice(total, 1, F.greatest(n - k, F.lit(0))))
+        return F.when(k >= n, total).otherwise(F.zip_with(total, earlier, combine))
+
+    return F.aggregate(steps, values, double)
+
+
 def _proposals(kind: str, text: Column) -> Column:
     """``array<struct<start, end, value>>`` of the leftmost non-overlapping matches, ends exclusive, in code points."""
     marked = F.regexp_replace(F.translate(text, _OPEN + _CLOSE, _PLAIN * 2), f"({PATTERNS[kind]})", f"{_OPEN}$1{_CLOSE}")
-    pieces = F.transform(F.split(marked, _OPEN), lambda x, i: F.struct(
-        F.when(i == 0, F.lit("")).otherwise(F.substring_index(x, _CLOSE, 1)).alias("value"),
-        F.length(x).alias("span"),
-        (i > 0).alias("matched"),
-    ))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("found"))
-
-    def step(state: Column, piece: Column) -> Column:
-        at = state["at"]
-        end = at + F.length(piece["value"])
-        hit = F.array(F.struct(at.alias("start"), end.alias("end"), piece["value"].alias("value")))
-        return F.struct(
-            (at + piece["span"] - piece["matched"].cast("int")).alias("at"),
-            F.when(piece["matched"], F.concat(state["found"], hit)).otherwise(state["found"]).alias("found"),
-        )
-
-    return F.aggregate(pieces, start, step, lambda s: s["found"])
-
-
-def _scored(kind: str, text: Column, spans: Column) -> Column:
+
+    def placed(pieces: Column) -> Column:
+        lengths = F.transform(pieces, lambda x, i: F.length(x) - F.when(i > 0, 1).otherwise(0))
+        parts = F.zip_with(pieces, _running(lengths, lambda a, b: a + b), _part)
+        n = F.size(parts) - 1  # the first part is what precedes the first match
+        return F.zip_with(F.slice(parts, 2, n), F.slice(parts, 1, n), _span)
+
+    return F.element_at(F.transform(F.array(F.split(marked, _OPEN)), placed), 1)
+
+
+def _part(piece: Column, end_of_piece: Column) -> Column:
+    """A match with what follows it up to the next one."""
+    value, rest = F.substring_index(piece, _CLOSE, 1), F.substring_index(piece, _CLOSE, -1)
+    start = end_of_piece - F.length(piece) + 1
+    return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), F.left(rest, F.lit(NEAR)).alias("after"), F.right(rest, F.lit(NEAR)).alias("before_next"))
+
+
+def _span(part: Column, earlier: Column) -> Column:
+    return F.struct(part["start"].alias("start"), part["end"].alias("end"), part["value"].alias("value"), F.concat(earlier["before_next"], F.lit(" "), part["after"]).alias("near"))
+
+
+def _scored(kind: str, spans: Column) -> Column:
     def score(s: Column) -> Column:
-        first = F.greatest(s["start"] - NEAR, F.lit(0))
-        before = F.substr(text, first + 1, s["start"] - first)
-        after = F.substr(text, s["end"] + 1, F.lit(NEAR))
-        near = F.regexp_like(F.concat(before, F.lit(" "), after), F.lit(rf"(?i)\b(?:{CONTEXT[kind]})"))
+        near = F.regexp_like(s["near"], F.lit(rf"(?i)\b(?:{CONTEXT[kind]})"))
         value = F.least(F.lit(1.0), F.lit(PRIOR[kind]) + F.when(near, BOOST).otherwise(0.0))
         return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), value.alias("score"))
 
@@ -120,12 +132,12 @@ def detect(docs: DataFrame, kinds: tuple[str, ...] = tuple(PATTERNS), text: str
     an empty table stays empty.
     """
     body = whole_text(text)
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    none = F.array().cast("array<struct<start:int,end:int,value:string,near:string>>")
     out = docs.withColumn("_body", body)
     for kind in kinds:
         needed = F.contains(F.col("_body"), F.lit(_NEEDS[kind])) if kind in _NEEDS else F.regexp_like("_body", F.lit(PATTERNS[kind]))
         out = out.withColumn(f"_{kind}", F.when(needed, _confirmed(kind, F.col("_body"))).otherwise(none))
-    scored = [_scored(k, F.col("_body"), F.col(f"_{k}")) if k in BASE else F.filter(_scored(k, F.col("_body"), F.col(f"_{k}")), lambda s: s["score"] >= LEAST) for k in kinds]
+    scored = [_scored(k, F.col(f"_{k}")) if k in BASE else F.filter(_scored(k, F.col(f"_{k}")), lambda s: s["score"] >= LEAST) for k in kinds]
     return out.withColumn("pii", F.concat(*scored)).drop("_body", *[f"_{k}" for k in kinds])
 
 
@@ -136,15 +148,19 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     A null text without spans stays null.
     """
     body = whole_text(text)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    ordered = F.array_sort("pii", lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
 
-    def step(state: Column, s: Column) -> Column:
-        apart = s["start"] >= state["at"]
-        piece = F.array(F.substr(body, state["at"] + 1, s["start"] - state["at"]), F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(apart, F.concat(state["out"], piece)).otherwise(state["out"]).alias("out"))
+    def cleaned(spans: Column) -> Column:
+        covered = _running(F.transform(spans, lambda s: s["end"]), F.greatest)
+        before = F.concat(F.array(F.lit(0)), covered)  # what earlier spans cover; one entry more than spans
 
-    ordered = F.array_sort("pii", lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
-    clean = F.aggregate(ordered, start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substr(body, s["at"] + 1, F.length(body))))
+        def piece(s: Column, done: Column) -> Column:
+            tag = F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))
+            return F.when(s.isNull(), F.substr(body, done + 1, F.length(body))).when(s["start"] >= done, F.concat(F.substr(body, done + 1, s["start"] - done), tag)).otherwise("")
+
+        return F.array_join(F.zip_with(spans, before, piece), "")
+
+    clean = F.element_at(F.transform(F.array(ordered), cleaned), 1)
     return docs.withColumn(text, F.when(F.size("pii") > 0, clean).otherwise(F.col(text))).drop("pii")
 
 
