@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import bpe, exact_dedup, packing, pii, simhash, tables, toxicity
+from tidewell.llm import bpe, exact_dedup, license_scan, line_dedup, packing, pii, simhash, tables, toxicity
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,16 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(tables.documents(spark, sf_dir))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(tables.documents(spark, sf_dir))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.line_dedup(tables.documents(spark, sf_dir).select("doc_id", "text"))
+    deleted = F.array_join(F.transform("deleted", lambda x: x.cast("string")), ",")
+    return kept.select("doc_id", F.size("deleted").cast("long").alias("n_deleted"), deleted.alias("deleted"), F.sha2(tables.whole_text(), 256).alias("kept_sha256"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(tables.documents(spark, sf_dir), tables.labels(spark, sf_dir))
 
@@ -61,4 +71,4 @@ FROM n
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op4_license_scan": license_scan.oracle_sql(), "op7_line_dedup": line_dedup.ORACLE_SQL}
