@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import bpe, exact_dedup, license_scan, line_dedup, packing, pii, simhash, tables, toxicity
+from tidewell.llm import bpe, exact_dedup, license_scan, line_dedup, packing, pii, quality, quality_rules, simhash, tables, toxicity
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,15 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(tables.documents(spark, sf_dir))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(tables.documents(spark, sf_dir), tables.labels(spark, sf_dir))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tables.documents(spark, sf_dir)
+    return quality_rules.judge(docs, quality_rules.fit(docs, tables.labels(spark, sf_dir)))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(tables.documents(spark, sf_dir))
 
