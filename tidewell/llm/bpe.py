@@ -33,6 +33,8 @@ from tidewell.llm.tables import slices, texts_of, with_fields  # noqa: E402
 TABLE_WORDS = 600_000
 #: Longer parts are encoded each time.
 TABLE_WORD_LENGTH = 64
+#: Letters below this one are letters for the pattern too, whatever the library's Unicode version.
+_LATIN = "\u0250"
 #: A line feed between two characters that are not white space.
 _LINE = re.compile(r"\n(?=\S)(?<=\S\n)")
 
@@ -73,6 +75,8 @@ class Codec:
         self.bytes_of: list[bytes] = [b""] * (max(vocabulary.values(), default=-1) + 1)
         for token, i in vocabulary.items():
             self.bytes_of[i] = bytes(of_char[c] for c in token) if all(c in of_char for c in token) else token.encode()
+        self.chars = dict(enumerate(byte_characters()))
+        self.model = self.tokenizer.model
         self.first = _Words(self, "")
         self.spaced = _Words(self, " ")
         self.feed = self.whole("\n")
@@ -80,6 +84,11 @@ class Codec:
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def letters(self, word: str, before: str) -> bytes:
+        """Ids of letters alone after ``before`` (a space or nothing): one match of the splitting pattern."""
+        spelled = (before + word).encode().decode("latin-1").translate(self.chars)
+        return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
         out = []
@@ -109,6 +118,8 @@ class _Words(dict):
         # A final punctuation mark after a letter is a token of its own for the pattern.
         if len(word) > 1 and word[-1] in ".,;:!?" and word[-2].isalpha():
             ids = self[word[:-1]] + self.codec.first[word[-1]]
+        elif word.isalpha() and max(word) < _LATIN:
+            ids = self.codec.letters(word, self.before)
         else:
             ids = self.codec.whole(self.before + word)
         if len(word) <= TABLE_WORD_LENGTH:
