@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.plans import linkage_queries
+from tidewell.plans import ingest_queries, linkage_queries
 
-_MODULES = (linkage_queries,)
+_MODULES = (linkage_queries, ingest_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
