@@ -30,7 +30,7 @@ from tokenizers import Regex, Tokenizer, models, pre_tokenizers  # noqa: E402
 from tidewell.llm.tables import slices, texts_of, with_fields  # noqa: E402
 
 #: Entries of a worker's word table; when full it starts anew, so that it stays in bounded memory.
-TABLE_WORDS = 600_000
+TABLE_WORDS = 450_000
 #: Longer parts are encoded each time.
 TABLE_WORD_LENGTH = 64
 #: Letters below this one are letters for the pattern too, whatever the library's Unicode version.

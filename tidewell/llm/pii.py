@@ -151,7 +151,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     ordered = F.array_sort("pii", lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
 
     def cleaned(spans: Column) -> Column:
-        covered = _running(F.transform(spans, lambda s: s["end"]), F.greatest)
+        covered = _running(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
         before = F.concat(F.array(F.lit(0)), covered)  # what earlier spans cover; one entry more than spans
 
         def piece(s: Column, done: Column) -> Column:
