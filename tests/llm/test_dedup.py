@@ -1,0 +1,117 @@
+"""Exact and near deduplication, and line deduplication, against brute force."""
+
+import hashlib
+import re
+from collections import Counter, defaultdict
+
+import cases
+import compare
+import numpy as np
+import pytest
+import xxhash
+
+from tidewell.llm import catalog, exact_dedup, line_dedup, simhash, tables
+from tidewell.operators.components import connected_components
+
+SF = f"{compare.DATA}/sf0.001"
+
+
+def norm(text):
+    return re.sub(r"[\x20\x09-\x0D]+", " ", text or "")
+
+
+def groups_of(rows):
+    groups = defaultdict(list)
+    for i, text in rows:
+        groups[norm(text)].append(i)
+    return Counter((i, min(g), len(g), i == min(g), hashlib.sha256(t.encode()).hexdigest()) for t, g in groups.items() for i in g)
+
+
+@pytest.mark.parametrize("options", [{}, {"digest_chars": 1}, {"files_per_batch": 1}])
+def test_exact(spark, options):
+    docs = cases.edges(spark)
+    got = Counter(tuple(r) for r in exact_dedup.exact_dedup(docs, **options).collect())
+    assert got == groups_of([(a, b) for a, b, _ in cases.EDGES])
+
+
+def test_exact_hot_group(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "ROWS_PER_SALT", 7)
+    rows = [(i, "copy  me" if i % 3 == 0 else f"own {i % 50}") for i in range(300)]
+    got = Counter(tuple(r) for r in exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect())
+    assert got == groups_of(rows)
+
+
+def test_exact_nothing(spark):
+    assert exact_dedup.exact_dedup(cases.empty(spark)).count() == 0
+
+
+def slow_fingerprint(text, k=3):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    shingles = [" ".join(words[i : i + k]) for i in range(len(words) - k + 1)] or ([" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def labels_of(fps, radius=3):
+    """Smallest position reachable over links."""
+    up = list(range(len(fps)))
+
+    def find(a):
+        while up[a] != a:
+            a = up[a]
+        return a
+
+    for i in range(len(fps)):
+        for j in np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= radius) + i + 1:
+            a, b = find(i), find(int(j))
+            up[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(fps))]
+
+
+def test_near_documents(spark):
+    rows = [(r.doc_id, r.text) for r in tables.documents(spark, SF).collect()] + [(a + 10_000, b) for a, b, _ in cases.EDGES]
+    got = {(r.doc_id, r.fingerprint): r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    rows = sorted(set(rows), key=lambda r: (r[0], r[1] or ""))
+    fps = [slow_fingerprint(t) for _, t in rows]
+    want = labels_of(np.array(fps, np.uint64))
+    assert got == {(i, f"{f:016x}"): rows[w][0] for (i, _), f, w in zip(rows, fps, want)}
+    assert simhash.near_duplicates(cases.empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize(("shard_rows", "block_rows"), [(8192, 32768), (64, 200)])
+def test_near_links(spark, shard_rows, block_rows):
+    rng = np.random.default_rng(1)
+    rounds = [rng.integers(0, 2**63, 200, dtype=np.uint64) * 2 + 1]
+    for _ in range(4):  # chains of near fingerprints
+        rounds.append(rounds[-1].copy())
+        for _ in range(3):
+            rounds[-1] ^= np.uint64(1) << rng.integers(0, 64, 200).astype(np.uint64)
+    dense = np.full(800, rounds[0][0])  # one dense group
+    for _ in range(4):
+        dense = dense ^ (np.uint64(1) << rng.integers(0, 64, 800).astype(np.uint64))
+    fps = np.unique(np.concatenate([*rounds, dense]))
+    table = spark.createDataFrame(list(zip(fps.view(np.int64).tolist(), range(len(fps)))), "fp long, node long").repartition(4)
+    found = simhash.links(table, shard_rows=shard_rows, block_rows=block_rows)
+    labels = {r.node: r.component for r in connected_components(found).collect()}
+    assert [labels.get(i, i) for i in range(len(fps))] == labels_of(fps)
+
+
+def test_lines_against_sql(spark):
+    con = compare.connect(f"{compare.DATA}/sf0.01")
+    query = catalog.queries()["op7_line_dedup"](spark, f"{compare.DATA}/sf0.01")
+    assert compare.difference(query, con, line_dedup.ORACLE_SQL) == ""
+
+
+def test_lines(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    run = "\n".join(f"shared line {i}" for i in range(6))
+    rows = [(1, f"top one\n{run}\nend one"), (2, f"top two\n\n{run}\nend two"), (3, f"a\n{long}\nb"), (4, f"c\n  {long} \nd"), (5, "shared line 2\nalone"), (6, None), (7, f"{run}\n{run}"), (None, run)]
+    got = {r.doc_id: (r.text, r.deleted) for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == (rows[0][1], []) and got[3] == (rows[2][1], []) and got[5] == (rows[4][1], []) and got[6] == (None, []) and got[None] == (run, [])
+    assert got[2] == ("top two\n\nend two", [2, 3, 4, 5, 6, 7]) and got[4] == ("c\nd", [1]) and got[7] == ("", list(range(12)))
+
+
+def test_lines_edges(spark):
+    out = line_dedup.line_dedup(cases.edges(spark))
+    assert out.columns == ["doc_id", "text", "score", "deleted"] and out.count() == len(cases.EDGES)
+    assert line_dedup.line_dedup(cases.empty(spark)).count() == 0
