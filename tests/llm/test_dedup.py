@@ -41,6 +41,12 @@ def test_exact_hot_group(spark, monkeypatch):
     assert got == groups_of(rows)
 
 
+def test_exact_without_ids(spark):
+    rows = [(None, "a"), (3, "a"), (2, "a "), (None, "b"), (None, "b"), (None, "c"), (4, "a")]
+    got = Counter(tuple(r)[:4] for r in exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter([(None, 3, 3, False), (3, 3, 3, True), (4, 3, 3, False), (2, 2, 1, True), (None, None, 2, True), (None, None, 2, True), (None, None, 1, True)])
+
+
 def test_exact_nothing(spark):
     assert exact_dedup.exact_dedup(cases.empty(spark)).count() == 0
 

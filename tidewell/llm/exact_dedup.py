@@ -56,7 +56,8 @@ def ingest(log: DataFrame, state_dir: str, index_dir: str, trigger: dict | None
     ``digest, keep_id, locator, n, batch``. Exactly-once: a replayed batch overwrites its own folder.
     """
     spark = log.sparkSession
-    state = log.groupBy("digest").agg(F.min(F.struct("doc_id", "locator")).alias("first"), F.count(F.lit(1)).alias("n"))
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "locator")
+    state = log.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
     changed = state.select("digest", F.col("first.doc_id").alias("keep_id"), F.col("first.locator").alias("locator"), "n")
 
     def write(batch: DataFrame, number: int) -> None:
@@ -98,7 +99,8 @@ def exact_dedup(docs: DataFrame, digest_chars: int = 64, files_per_batch: int |
     Texts are equal when identical after :func:`normalised`; of equal texts the smallest
     ``doc_id`` stays. Null and empty texts are equal to each other. A row that repeats with
     the same ``doc_id`` and text counts in ``group_size``, and every such row says ``kept``.
-    Other columns are ignored. An empty table gives an empty result.
+    A null ``doc_id`` comes after all others: such rows stay only where their text has no named
+    row. Other columns are ignored. An empty table gives an empty result.
     ``digest_chars`` shortens the state's key (hex digits of SHA-256); a short key costs
     comparisons and never merges texts that differ.
     """
@@ -120,7 +122,7 @@ def exact_dedup(docs: DataFrame, digest_chars: int = 64, files_per_batch: int |
     if collided is not None:
         found = found.join(regrouped, "doc_id", "left").withColumn("keep_id", F.coalesce("own_keep_id", "keep_id")).withColumn("n", F.coalesce("own_n", "n"))
     keep = F.coalesce("keep_id", "doc_id")
-    return found.select("doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).alias("group_size"), (F.col("doc_id") == keep).alias("kept"), "text_sha256")
+    return found.select("doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
 
 
 def _checked(docs: DataFrame, groups: DataFrame, digest_chars: int) -> tuple[DataFrame | None, DataFrame | None]:
