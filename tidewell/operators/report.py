@@ -85,6 +85,7 @@ def alerts(report: DataFrame) -> DataFrame:
 
 def conservation(report: DataFrame, losers: DataFrame) -> DataFrame:
     """One row: retained plus losers make up what was collected."""
-    totals = report.agg(F.sum("n_collected").alias("collected"), F.sum("n_retained").alias("retained"))
-    lost = losers.agg(F.coalesce(F.sum("losers"), F.lit(0)).alias("losers"))
-    return totals.crossJoin(lost).select("collected", "retained", "losers", (F.col("retained") + F.col("losers") == F.col("collected")).alias("holds"))
+    nothing = F.lit(0).cast("bigint")
+    sides = report.select("n_collected", "n_retained", nothing.alias("losers")).unionByName(losers.select(nothing.alias("n_collected"), nothing.alias("n_retained"), "losers"))
+    totals = sides.agg(*[F.coalesce(F.sum(a), nothing).alias(b) for a, b in (("n_collected", "collected"), ("n_retained", "retained"), ("losers", "losers"))])
+    return totals.withColumn("holds", F.col("retained") + F.col("losers") == F.col("collected"))

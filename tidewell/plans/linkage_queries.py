@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewell.functions import urls
@@ -80,11 +81,9 @@ def priority_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources in report order; the rank is counted over a table of sources, which is small by nature."""
+    """Sources in report order. The ranked table has one row per declared source, a dimension that one task sorts."""
     rows = _report(spark, sf_dir)[0]
-    ahead = rows.select(F.struct(-F.col("n_retained"), -F.col("n_collected"), "source_ord").alias("place"), "source_id")
-    every = ahead.agg(F.sort_array(F.collect_list("place")).alias("places"))
-    return ahead.crossJoin(every).select("source_id", F.array_position("places", F.col("place")).cast("bigint").alias("rank"))
+    return rows.select("source_id", F.row_number().over(W.orderBy(*report.ranking())).cast("bigint").alias("rank"))
 
 
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
