@@ -26,6 +26,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionAll(low.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _is_forest_of_stars(edges: DataFrame) -> bool:
+    """True if every node has one edge to a smaller node, or none: then each edge ends in its component's smallest node."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(edges.select("v", F.lit(0), F.lit(1)))
+    sums = ends.groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    return not sums.where("up > 1 or (up > 0 and down > 0)").take(1)
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Label every node that occurs in ``edges`` with the smallest node of its component.
 
@@ -38,15 +45,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     nodes_of_loops = ends.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("component"))
     current = ends.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     current, path = materialize(current, "edges")
-    before = None
-    while True:
+    while not _is_forest_of_stars(current):
         after, new_path = materialize(_small_star(_large_star(current)), "edges")
-        mark = after.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         drop_path(spark, path)
         current, path = after, new_path
-        if tuple(mark) == before:
-            break
-        before = tuple(mark)
     labelled = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("component"))
     return labelled.unionAll(roots).unionAll(nodes_of_loops).groupBy("node").agg(F.min("component").alias("component"))
