@@ -32,7 +32,7 @@ POSITIVES, UNLABELLED = 12_000, 24_000
 THRESHOLD = 0.7
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 #: Entries of a worker's word table.
-TABLE_WORDS = 500_000
+TABLE_WORDS = 350_000
 
 
 class _Words(dict):
@@ -159,13 +159,11 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> dict:
         return {}
     corpus, n_corpus = frequencies(docs), docs.count()
     positive = np.bincount(np.concatenate(rows_p), minlength=BUCKETS)
+    weights = evidence(np.arange(BUCKETS), positive, len(rows_p), corpus, n_corpus).astype(np.float32)
     unlabelled_ids = bounded_sample(texts.select("doc_id"), "doc_id", UNLABELLED, 1)
-    rows_u = _featurised(texts.join(F.broadcast(unlabelled_ids.distinct()), "doc_id"))
-    alone = np.ones(BUCKETS, np.int64)
-    p = np.array([describe(evidence(np.arange(len(x)), positive[x] - alone[x], len(rows_p) - 1, np.maximum(corpus[x] - 1, 0), n_corpus), len(x)) for x in rows_p])
-    u = np.array([describe(evidence(x, positive, len(rows_p), corpus, n_corpus), len(x)) for x in rows_u])
+    u = _described(texts.join(F.broadcast(unlabelled_ids.distinct()), "doc_id"), weights)
+    p = np.array([describe(evidence(np.arange(len(x)), positive[x] - 1, len(rows_p) - 1, np.maximum(corpus[x] - 1, 0), n_corpus), len(x)) for x in rows_p])
     net = train_nnpu(p, u, float(prior if prior is not None else min(max(share, 0.001), 0.5)))
-    weights = evidence(np.arange(BUCKETS), positive, len(rows_p), corpus, n_corpus).astype(np.float32)
     return {"net": net, "weights": weights}
 
 
@@ -182,6 +180,21 @@ def _featurised(texts: DataFrame) -> list[np.ndarray]:
     return [np.frombuffer(f, np.int32) for _, f in pairs]
 
 
+def _described(texts: DataFrame, weights: np.ndarray) -> np.ndarray:
+    """Network inputs of a bounded sample of documents, computed in tasks, in a fixed order."""
+    spread = texts.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            found = [features(t) for t in texts_of(b)]
+            out = [describe(spread.value[f], len(f)).tobytes() for f in found]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "x"])
+
+    rows = texts.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, x binary").toArrow()
+    pairs = sorted(zip(rows.column("doc_id").to_pylist(), rows.column("x").to_pylist()))
+    return np.array([np.frombuffer(x, np.float64) for _, x in pairs])
+
+
 def score(docs: DataFrame, model: dict, keep: list[str] | None = None) -> DataFrame:
     """Add ``score`` (0 to 1, higher: toxic likelier) and ``predicted`` to the columns ``keep`` (all by default).
 
