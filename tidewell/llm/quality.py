@@ -35,25 +35,34 @@ TABLE_WORDS = 500_000
 _MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
-def _bucket(token: str) -> int:
-    return zlib.crc32(token.encode()) % BUCKETS
+def _bucket_bytes(token: str) -> bytes:
+    return (zlib.crc32(token.encode()) % BUCKETS).to_bytes(4, "little")
+
+
+@lru_cache(maxsize=1024)
+def _shape_bytes(case: str, length: int) -> bytes:
+    return _bucket_bytes(f"#{case}{length}")
+
+
+def _shape(core: str) -> bytes:
+    case = "U" if core.isupper() and len(core) > 1 else "T" if core[:1].isupper() else "N" if core.isdigit() else "l"
+    return _shape_bytes(case, min(len(core), 20) // 4)
 
 
 class _Words(dict):
     """Buckets of a word's parts, as bytes."""
 
     def __missing__(self, word: str) -> bytes:
-        core = word.strip(_MARKS)
-        before, after = (word[: word.index(core)], word[word.index(core) + len(core) :]) if core else (word, "")
-        parts = []
-        if before:
-            parts.append("<" + before[:3])
-        if core:
-            parts.append("=" + core.lower())
-            parts.append("#" + ("U" if core.isupper() and len(core) > 1 else "T" if core[:1].isupper() else "N" if core.isdigit() else "l") + str(min(len(core), 20) // 4))
-        if after:
-            parts.append(">" + after[:3])
-        found = np.array([_bucket(p) for p in parts], np.int32).tobytes()
+        if word.isalpha():
+            found = _bucket_bytes("=" + word.lower()) + _shape(word)
+        else:
+            core = word.strip(_MARKS)
+            before, after = (word[: word.index(core)], word[word.index(core) + len(core) :]) if core else (word, "")
+            found = b"".join((
+                _bucket_bytes("<" + before[:3]) if before else b"",
+                _bucket_bytes("=" + core.lower()) + _shape(core) if core else b"",
+                _bucket_bytes(">" + after[:3]) if after else b"",
+            ))
         if len(word) <= 40:
             if len(self) >= TABLE_WORDS:
                 self.clear()

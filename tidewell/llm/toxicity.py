@@ -39,9 +39,9 @@ class _Words(dict):
     """Feature buckets of a word, as bytes."""
 
     def __missing__(self, word: str) -> bytes:
-        plain = word.lower().strip(_EDGE)
+        plain = word.lower() if word.isalpha() else word.lower().strip(_EDGE)
         parts = [f"={plain}", *(plain[:n] for n in PREFIXES if len(plain) > n)] if plain else []
-        found = np.array([zlib.crc32(p.encode()) % BUCKETS for p in parts], np.int32).tobytes()
+        found = b"".join([(zlib.crc32(p.encode()) % BUCKETS).to_bytes(4, "little") for p in parts])
         if len(word) <= 40:
             if len(self) >= TABLE_WORDS:
                 self.clear()
