@@ -83,6 +83,55 @@ def test_licences(spark):
     assert license_scan.scan(cases.empty(spark)).count() == 0
 
 
+def test_published_licences(spark):
+    mit = """MIT License
+
+Copyright (c) 2020 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM."""
+    gpl = """ * This program is free software{0} you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation{1} either version {2} of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful."""
+    mpl = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */"
+    bsd = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice.
+
+{0}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT"""
+    name = "3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n\n"
+    isc = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+    apache = '# Licensed under the Apache License, Version 2.0 (the "License");\n# you may not use this file except in compliance\n# with the License.\n# You may obtain a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0'
+    texts = [mit, gpl.format(":", ",", 3), gpl.format(";", ";", 2), mpl, mpl.replace("\n *", ""), bsd.format(""), bsd.format(name), isc, apache, mit.replace("\n", "\r\n")]
+    # A known sentence does not go over a blank line or a sentence end.
+    texts += ["All rights\n\nreserved.", "All rights.\nReserved", "All rights\nreserved"]
+    got = {r.doc_id: (r.license, r.confidence) for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = ["MIT", "GPL-3.0", "GPL-2.0", "MPL-2.0", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Apache-2.0", "MIT"]
+    assert [got[i] for i in range(len(want))] == [(x, 1.0) for x in want]
+    assert [got[i] for i in range(len(want), len(texts))] == [(None, 0.0), (None, 0.0), ("proprietary", 0.5)]
+
+
 def test_licences_against_sql(spark):
     con = compare.connect(f"{compare.DATA}/sf0.01")
     assert compare.difference(catalog.op4_license_scan(spark, f"{compare.DATA}/sf0.01"), con, license_scan.oracle_sql()) == ""

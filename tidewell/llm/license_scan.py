@@ -1,10 +1,12 @@
 """License recognition by sentence rules.
 
-Texts fall apart into sentences at line feeds and at sentence ends that white space follows.
-Each sentence is normalised (lower case, comment marks and punctuation gone, one space) and
-looked up among known licence sentences, a table of fixed size. A licence rule is an ordered
-list of sentence identifiers: it matches where its identifiers occur in this order among a
-document's recognised sentences with none of another licence between. All of it is SQL functions.
+Texts are normalised (lower case, comment marks and punctuation gone, one space), with marks
+left at line feeds and at sentence ends that white space follows. A known licence sentence, of a
+table of fixed size, is recognised where it stands between two marks; line feeds inside it do not
+count, so notices wrapped at any column are found, but blank lines and sentence ends do. A
+licence rule is an ordered list of sentence identifiers: it matches where its identifiers occur
+in this order among a document's recognised sentences with none of another licence between. All
+of it is SQL functions. The SQL knows the one-line notices only (``SENTENCES`` and ``RULES``).
 """
 
 from __future__ import annotations
@@ -69,15 +71,91 @@ RULES = [
     ("Unlicense", ["UNLICENSE"], 1.0),
     ("proprietary", ["RESERVED"], 0.5),
 ]
-#: Sentence ends: a line feed, or a mark that white space follows.
-_END = r"\n|[.;:!?][\x20\x09]+"
+_FSF = "as published by the free software foundation"
+_GNU = "you can redistribute it and or modify it under the terms of the gnu"
+_LATER = "of the license or at your option any later version"
+_ENDORSE = "may be used to endorse or promote products derived from this software without specific prior written permission"
+_MERCHANT = "as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"
+_APPEAR = "this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"
+#: Whole sentences of the published licences and their notices, several of one identifier where wordings differ.
+PUBLISHED = [
+    ("MIT-HEAD", "mit license"),
+    ("MIT-HEAD", "the mit license mit"),
+    ("MIT-PERM", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
+    ("MIT-ASIS", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
+    ("APACHE-TITLE", "apache license version 2 0 january 2004"),
+    ("GPL-FREE", "this file is free software"),
+    ("GPL-FREE", "this library is free software"),
+    ("GPL3-TITLE", "gnu general public license version 3 29 june 2007"),
+    ("GPL2-TITLE", "gnu general public license version 2 june 1991"),
+    ("GPL3-REDIST", f"{_GNU} general public license {_FSF} either version 3 {_LATER}"),
+    ("GPL3-REDIST", f"{_GNU} general public license {_FSF} version 3 of the license"),
+    ("GPL3-REDIST", f"{_GNU} general public license {_FSF} version 3"),
+    ("GPL3-REDIST", f"{_GNU} general public license version 3 {_FSF}"),
+    ("GPL2-REDIST", f"{_GNU} general public license {_FSF} either version 2 {_LATER}"),
+    ("GPL2-REDIST", f"{_GNU} general public license {_FSF} version 2 of the license"),
+    ("GPL2-REDIST", f"{_GNU} general public license {_FSF} version 2"),
+    ("GPL2-REDIST", f"{_GNU} general public license version 2 {_FSF}"),
+    ("V3-LATER", f"either version 3 {_LATER}"),
+    ("V3-ONLY", "version 3 of the license"),
+    ("V2-LATER", f"either version 2 {_LATER}"),
+    ("V2-ONLY", "version 2 of the license"),
+    ("V21-LATER", f"either version 2 1 {_LATER}"),
+    ("V21-ONLY", "version 2 1 of the license"),
+    ("LGPL3-TITLE", "gnu lesser general public license version 3 29 june 2007"),
+    ("LGPL21-TITLE", "gnu lesser general public license version 2 1 february 1999"),
+    ("LGPL-REDIST", f"{_GNU} lesser general public license {_FSF}"),
+    ("LGPL3-REDIST", f"{_GNU} lesser general public license {_FSF} either version 3 {_LATER}"),
+    ("LGPL21-REDIST", f"{_GNU} lesser general public license {_FSF} either version 2 1 {_LATER}"),
+    ("AGPL-TITLE", "gnu affero general public license version 3 19 november 2007"),
+    ("AGPL-REDIST", f"{_GNU} affero general public license {_FSF}"),
+    ("AGPL3-REDIST", f"{_GNU} affero general public license {_FSF} either version 3 {_LATER}"),
+    ("MPL-TITLE", "mozilla public license version 2 0"),
+    ("BSD-NAME", f"neither the name of the copyright holders nor the names of its contributors {_ENDORSE}"),
+    ("BSD-NAME", f"neither the name of the university nor the names of its contributors {_ENDORSE}"),
+    ("BSD-NAME", f"neither the name of the organization nor the names of its contributors {_ENDORSE}"),
+    ("BSD-ASIS", f"this software is provided by the copyright holders and contributors {_MERCHANT}"),
+    ("BSD-ASIS", f"this software is provided by the regents and contributors {_MERCHANT}"),
+    ("ISC-PERM", f"permission to use copy modify and or distribute {_APPEAR}"),
+    ("ISC-PERM", f"permission to use copy modify and distribute {_APPEAR}"),
+]
+PUBLISHED_RULES = [
+    ("Apache-2.0", ["APACHE-TITLE"], 1.0),
+    ("GPL-3.0", ["GPL3-TITLE"], 1.0),
+    ("GPL-3.0", ["GPL-FREE", "GPL3-REDIST"], 1.0),
+    ("GPL-3.0", ["GPL-FREE", "GPL-REDIST", "V3-LATER"], 1.0),
+    ("GPL-3.0", ["GPL-FREE", "GPL-REDIST", "V3-ONLY"], 1.0),
+    ("GPL-2.0", ["GPL2-TITLE"], 1.0),
+    ("GPL-2.0", ["GPL-FREE", "GPL2-REDIST"], 1.0),
+    ("GPL-2.0", ["GPL-FREE", "GPL-REDIST", "V2-LATER"], 1.0),
+    ("GPL-2.0", ["GPL-FREE", "GPL-REDIST", "V2-ONLY"], 1.0),
+    ("LGPL-3.0", ["LGPL3-TITLE"], 1.0),
+    ("LGPL-3.0", ["GPL-FREE", "LGPL3-REDIST"], 1.0),
+    ("LGPL-3.0", ["GPL-FREE", "LGPL-REDIST", "V3-LATER"], 1.0),
+    ("LGPL-3.0", ["GPL-FREE", "LGPL-REDIST", "V3-ONLY"], 1.0),
+    ("LGPL-2.1", ["LGPL21-TITLE"], 1.0),
+    ("LGPL-2.1", ["GPL-FREE", "LGPL21-REDIST"], 1.0),
+    ("LGPL-2.1", ["GPL-FREE", "LGPL-REDIST", "V21-LATER"], 1.0),
+    ("LGPL-2.1", ["GPL-FREE", "LGPL-REDIST", "V21-ONLY"], 1.0),
+    ("AGPL-3.0", ["AGPL-TITLE"], 1.0),
+    ("AGPL-3.0", ["GPL-FREE", "AGPL3-REDIST"], 1.0),
+    ("AGPL-3.0", ["GPL-FREE", "AGPL-REDIST", "V3-LATER"], 1.0),
+    ("MPL-2.0", ["MPL-TITLE"], 0.9),
+    ("BSD-2-Clause", ["BSD-REDIST", "BSD-ASIS"], 1.0),
+]
+#: "v. 2.0" is no sentence end, nor is it at the end of a wrapped line.
+_VERSION = r"(?<![a-z0-9])(v|ver|vers)\.[\x20\x09]*(?:\r?\n[\x20\x09#*/;%-]*)?(?=[0-9])"
 
 
-def normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
+def marked(text: Column) -> Column:
+    """Words with one space between, ``S`` for sentence ends and blank lines, ``N`` for other line feeds."""
+    out = F.regexp_replace(F.lower(text), _VERSION, "$1 ")
+    out = F.regexp_replace(out, r"[.;:!?](?=\s|\z)", " S ")
+    out = F.regexp_replace(out, r"\n[^a-z0-9\n]*(?=\n)", " S ")
+    return F.regexp_replace(F.replace(out, F.lit("\n"), F.lit(" N ")), "[^a-z0-9SN]+", " ")
 
 
-def scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: list[tuple] = RULES) -> DataFrame:
+def scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: list[tuple] = RULES + PUBLISHED_RULES, published: list[tuple[str, str]] = PUBLISHED) -> DataFrame:
     """One row per input row: ``doc_id, sentence_ids, licenses, license, confidence``.
 
     ``sentence_ids`` is the comma-joined sequence of recognised sentences in text order,
@@ -86,12 +164,16 @@ def scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: list[tup
     or null and 0. Null and empty texts match nothing. Other columns are ignored, repeated
     rows scanned each, an empty table gives an empty result.
     """
-    known = F.create_map(*[x for key, sentence in sentences.items() for x in (F.lit(sentence), F.lit(key))])
-    starts = "|".join(sorted({s.split(" ")[0] for s in sentences.values()}))
+    pairs = [(sentence, key) for key, sentence in [*sentences.items(), *published]]
+    known = F.create_map(*[F.lit(x) for pair in pairs for x in pair])
+    starts = "|".join(sorted({s.split(" ")[0] for s, _ in pairs}))
+    wrapped = "|".join(s.replace(" ", "(?: N)? ") for s in sorted((s for s, _ in pairs), key=len, reverse=True))
     text = whole_text()
-    # Texts without the first word of any known sentence are not split.
-    parts = F.when(F.regexp_like(text, F.lit(rf"(?i)(?<![a-z0-9])(?:{starts})(?![a-z0-9])")), F.split(text, _END)).otherwise(F.array().cast("array<string>"))
-    found = docs.select("doc_id", F.filter(F.transform(parts, lambda s: F.try_element_at(known, normalised(s))), lambda k: k.isNotNull()).alias("keys"))
+    # Texts without the first word of any known sentence are not marked.
+    some = F.regexp_like(text, F.lit(rf"(?i)(?<![a-z0-9])(?:{starts})(?![a-z0-9])"))
+    hits = F.regexp_extract_all(marked(text), F.lit(rf"(?:^ ?|(?<=[SN] ))({wrapped})(?= ?(?:[SN]|$))"), F.lit(1))
+    parts = F.when(some, hits).otherwise(F.array().cast("array<string>"))
+    found = docs.select("doc_id", F.transform(parts, lambda s: F.element_at(known, F.replace(s, F.lit(" N "), F.lit(" ")))).alias("keys"))
     line = F.concat(F.lit(","), F.array_join("keys", ","), F.lit(","))
     found = found.select("doc_id", F.array_join("keys", ",").alias("sentence_ids"), line.alias("line"))
     hits = [F.when(F.contains("line", F.lit("," + ",".join(keys) + ",")), F.struct((-F.lit(float(sure))).alias("rank"), F.lit(name).alias("name"))) for name, keys, sure in rules]
