@@ -76,6 +76,24 @@ def test_neighbours_fill_the_seed_s_window():
     assert first == [0, 3]
 
 
+def test_neighbours_come_from_the_whole_table(spark):
+    rng = np.random.default_rng(5)
+    names = ["copper", "violin", "glacier", "tomato", "harbor", "marble", "falcon", "ribbon", "cactus", "lantern", "pepper", "saddle", "anchor", "basket", "walnut", "candle", "helmet", "orchid", "pirate", "quartz"]
+    common = ["table", "water", "about", "under", "other", "their", "where", "after"]
+    rows = []
+    for i in range(160):  # related documents stand 20 rows apart
+        own = [names[i % 20]] * 6 + rng.choice(common, 30).tolist()
+        rng.shuffle(own)
+        rows.append((i, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(4, "doc_id")
+    pieces = packing.pack(docs, JSON, window=96, shard_tokens=400).collect()
+    held = defaultdict(set)
+    for p in pieces:
+        held[p.sequence_id].add(p.doc_id)
+    shared = [len({d % 20 for d in x}) == 1 for x in held.values() if len(x) > 1]
+    assert len(shared) > 40 and np.mean(shared) > 0.5
+
+
 def test_pipeline(spark):
     docs = tables.documents(spark, SF)
     columns = docs.columns

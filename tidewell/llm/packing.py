@@ -2,11 +2,12 @@
 
 Documents are tokenised once into a table; each task also leaves the number of its documents
 that hold each token, so document frequencies over the whole corpus (one number per vocabulary
-entry) come from that table without another pass over texts. The token table is then read in
-runs of documents, each run a shard with its own inverted index; retrieval and filling happen
-inside a shard, so a task holds one shard at a time whatever the input's size, and nothing is
-shuffled by key. Neighbours come from the shard; shards follow the table's order, in which
-related documents tend to stand together.
+entry) come from that table without another pass over texts. The token table is then range
+partitioned and sorted by a lexical key, the tokens that weigh most in a document, so related
+documents come together wherever the table holds them, and a frequent first token is split by
+the next ones. It is read in runs of documents, each run a shard with its own inverted index;
+retrieval and filling happen inside a shard, so a task holds one shard at a time whatever the
+input's size. Other shards are not asked: README gives the share of true neighbours found.
 
 Documents may be cut: a neighbour longer than the free space fills it, and its rest stays in
 the pool. So only the last window of a shard is not full.
@@ -28,6 +29,8 @@ from tidewell.session import scratch_path
 
 #: Ids of a window, the id that ends a document, and ids of a shard (one window in 512 may be padded).
 WINDOW, END, SHARD_TOKENS = 1024, 0, 1 << 19
+#: Shards of a partition, about, and tokens of a document's key.
+PARTITION_SHARDS, KEY_TOKENS = 8, 4
 #: BM25 saturation and length normalisation.
 K1, B = 1.2, 0.75
 
@@ -76,6 +79,44 @@ def document_frequencies(tokens: DataFrame) -> np.ndarray:
     return found
 
 
+def keys(ids: list[np.ndarray], idf: np.ndarray, rank: np.ndarray, mean_length: float) -> list[bytes]:
+    """Each document's key: the ranks of its tokens of greatest BM25 weight, big-endian, so that keys sort as bytes.
+
+    Tokens of rank -1 take no part; a document without others has an empty key.
+    """
+    lengths = np.array([len(x) for x in ids], np.int64)
+    flat, of = np.concatenate(ids).astype(np.int64), np.repeat(np.arange(len(ids)), lengths)
+    useful = rank[flat] >= 0
+    pairs, tf = np.unique(of[useful] * len(rank) + flat[useful], return_counts=True)
+    doc, term = pairs // len(rank), pairs % len(rank)
+    weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / mean_length))
+    order = np.lexsort((term, -weight, doc))
+    start = np.searchsorted(doc, np.arange(len(ids) + 1))
+    ranks = rank[term[order]].astype(">u4")
+    return [ranks[a : min(b, a + KEY_TOKENS)].tobytes() for a, b in zip(start[:-1], start[1:])]
+
+
+def by_content(tokens: DataFrame, df: np.ndarray, idf: np.ndarray, mean_length: float, total: int, shard_tokens: int) -> DataFrame:
+    """``doc_id, ids`` in the order of the documents' keys, in partitions of a few shards.
+
+    Tokens that too few documents hold to fill half a shard would only bring copies together, so they are left out.
+    """
+    used = (idf > 0) & (df >= max(2, shard_tokens / mean_length / 2))
+    rank = np.full(len(df), -1, np.int64)
+    rank[np.argsort(df, kind="stable")] = np.arange(len(df))
+    rank[~used] = -1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "ids", rows=256, size=4 << 20):
+            column = b.column("ids")
+            own = keys([np.frombuffer(column[i].as_buffer(), "<u4") for i in range(b.num_rows)], idf, rank, mean_length)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), column, pa.array(own, pa.binary())], ["doc_id", "ids", "key"])
+
+    keyed = tokens.where("ids is not null").select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, key binary")
+    parts = max(1, total // (PARTITION_SHARDS * shard_tokens))
+    return keyed.repartitionByRange(parts, "key", "doc_id").sortWithinPartitions("key", "doc_id", "ids").select("doc_id", "ids")
+
+
 class Shard:
     """Documents of a shard with their inverted index."""
 
@@ -178,4 +219,4 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, shard_tokens: int = S
             yield from flush()
 
     schema = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
-    return tokens.where("ids is not null").select("doc_id", "ids").mapInArrow(run, schema)
+    return by_content(tokens, df, idf, mean_length, size[1] or 0, shard_tokens).mapInArrow(run, schema)
