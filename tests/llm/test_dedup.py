@@ -121,3 +121,29 @@ def test_lines_edges(spark):
     out = line_dedup.line_dedup(cases.edges(spark))
     assert out.columns == ["doc_id", "text", "score", "deleted"] and out.count() == len(cases.EDGES)
     assert line_dedup.line_dedup(cases.empty(spark)).count() == 0
+
+
+def test_links_follow_the_radius_over_blocks(spark):
+    rng = np.random.default_rng(11)
+    fps = []
+    for centre in rng.integers(0, 1 << 63, 60, dtype=np.uint64).tolist():
+        for _ in range(5):
+            fps.append(centre)
+            for bit in rng.choice(64, 6, replace=False).tolist():
+                centre ^= 1 << bit
+    fps = sorted(set(fps))
+    table = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f, i) for i, f in enumerate(fps)], "fp long, node long")
+    for radius in (3, 6, 7):
+        want = list(range(len(fps)))
+        for i in range(len(fps)):
+            for j in range(i):
+                if (fps[i] ^ fps[j]).bit_count() <= radius:
+                    a, b = want[i], want[j]
+                    want = [min(a, b) if x in (a, b) else x for x in want]
+        got = list(range(len(fps)))
+        for r in simhash.links(table, radius, shard_rows=1000, block_rows=64).collect():
+            a, b = got[r.src], got[r.dst]
+            got = [min(a, b) if x in (a, b) else x for x in got]
+        assert got == want
+    sizes = [r["count"] for r in simhash.block_pairs(table.selectExpr("fp", "node", "0 as shard"), 64).groupBy("shard", "low", "high").count().collect()]
+    assert len(sizes) == 15 and max(sizes) < 200

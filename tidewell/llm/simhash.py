@@ -13,7 +13,7 @@ large groups of near copies stay linear.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -178,11 +178,28 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
         label = new
 
 
-def _search(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:
-    fps, nodes, indexed = batch["fp"].to_numpy().view(np.uint64), batch["node"].to_numpy(), batch["indexed"].to_numpy()
-    first = shard_links(fps, indexed)
-    linked = first != np.arange(len(fps))
-    return pd.DataFrame({"src": nodes[linked], "dst": nodes[first[linked]]})
+def _search(radius: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        fps, nodes, indexed = batch["fp"].to_numpy().view(np.uint64), batch["node"].to_numpy(), batch["indexed"].to_numpy()
+        first = shard_links(fps, indexed, radius)
+        linked = first != np.arange(len(fps))
+        return pd.DataFrame({"src": nodes[linked], "dst": nodes[first[linked]]})
+
+    return run
+
+
+def block_pairs(placed: DataFrame, block_rows: int) -> DataFrame:
+    """Groups ``shard, low, high`` of the members ``fp, node`` of each shard, and which of them are ``indexed``.
+
+    Shards beyond the bound (dense groups) are cut into blocks, and every pair of blocks is a group
+    of its own: the lower block is indexed there, both query. So no group holds more than two blocks.
+    """
+    wide = placed.groupBy("shard").count().where(F.col("count") > block_rows).select("shard", F.ceil(F.col("count") / block_rows).alias("blocks"))
+    sent = placed.join(wide, "shard", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
+    sent = sent.select("fp", "node", "shard", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    return sent.select("fp", "node", "shard", low.alias("low"), high.alias("high"), (F.col("own") == low).alias("indexed"))
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -196,13 +213,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROW
     sample = np.array([r.fp for r in bounded_sample(distinct.select("fp"), "fp", SAMPLE).collect()], np.int64).view(np.uint64)
     cuts = VantagePoints(sample, levels if len(sample) else 0)
     placed = distinct.select("fp", "node", F.explode(cuts.shards(radius)).alias("shard"))
-    # Shards beyond the bound (dense groups) are cut into blocks: each member is indexed in one and visits all.
-    wide = placed.groupBy("shard").count().where(F.col("count") > block_rows).select("shard", F.ceil(F.col("count") / block_rows).alias("blocks"))
-    sent = placed.join(wide, "shard", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
-    sent = sent.select("fp", "node", "shard", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    sent = sent.select("fp", "node", "shard", "block", (F.col("own") == F.col("block")).alias("indexed"))
-    return sent.groupBy("shard", "block").applyInPandas(_search, "src long, dst long")
+    return block_pairs(placed, block_rows).groupBy("shard", "low", "high").applyInPandas(_search(radius), "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
