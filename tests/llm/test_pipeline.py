@@ -1,23 +1,46 @@
 """Packing, and the whole corpus pipeline stage by stage."""
 
+import random
+import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import cases
 import compare
 import numpy as np
 import public_tokenizers as P
+import xxhash
 from pyspark.sql import functions as F
+from test_bpe import ALPHABET
+from test_scans import BASE, confirmed
 
 import corpus_pipeline
-from tidewell.llm import bpe, exact_dedup, packing, simhash, tables, toxicity
-from tidewell.llm.pii import detect
+from tidewell.llm import bpe, packing, tables
 from tidewell.session import materialize
 
 SF = f"{compare.DATA}/sf0.001"
 JSON = P.path("byte_bpe_50k.json")
 
 
+def test_ids_are_those_of_the_tokenizers_library():
+    own, codec, rng = packing.ids_of(JSON), bpe.codec(JSON), random.Random(5)
+    assert own.plain is not None
+    for i in range(6000):
+        text = "".join(rng.choice(ALPHABET) for _ in range(rng.randint(0, 14))) if i % 3 else "".join(chr(rng.randrange(0x260)) for _ in range(rng.randint(1, 12)))
+        assert own.encode(text) == codec.whole(text), repr(text)
+    for text in (" " * 100_000, "=" * 100_000, "a" * 100_000 + "\n" * 9_999, "\t \n" * 9_000):
+        assert own.encode(text) == codec.whole(text)
+
+
+def test_counts_of_the_corpus(spark):
+    docs, codec = cases.edges(spark), bpe.codec(JSON)
+    df, n, total = packing.corpus_counts(packing.tokenised(docs, JSON))
+    ids = [np.frombuffer(codec.encode(b or "") + b"\0\0\0\0", "<u4") for _, b, _ in cases.EDGES]
+    want = Counter(t for x in ids for t in set(x.tolist()))
+    assert (n, total) == (len(ids), sum(map(len, ids))) and {i: int(k) for i, k in enumerate(df) if k} == want
+    assert packing.corpus_counts(packing.tokenised(cases.empty(spark), JSON))[1:] == (0, 0)
+
+
 def check_packing(pieces, texts):
     codec = bpe.codec(JSON)
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
@@ -94,29 +117,115 @@ def test_neighbours_come_from_the_whole_table(spark):
     assert len(shared) > 40 and np.mean(shared) > 0.5
 
 
+def slow_fingerprint(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64_intdigest(x.encode(), 42) for x in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def key(row):
+    return (row[0] is None, row[0] or 0)
+
+
+def slow_exact(rows):
+    """Of equal texts the row with the smallest id."""
+    best = {}
+    for r in rows:
+        norm = re.sub(r"[\x20\x09-\x0D]+", " ", r[1] or "")
+        best[norm] = min(best.get(norm, r), r, key=key)
+    return Counter(best.values())
+
+
+def slow_near(rows):
+    """Of each group of linked fingerprints the row with the smallest id (ties: fingerprint), one if it repeats."""
+    fps = [slow_fingerprint(r[1]) for r in rows]
+    up = list(range(len(rows)))
+
+    def find(a):
+        while up[a] != a:
+            a = up[a]
+        return a
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 3:
+                up[find(i)] = find(j)
+    best = {}
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    for i, r in enumerate(rows):
+        now = (key(r), signed[i], r)
+        g = find(i)
+        best[g] = min(best.get(g, now), now, key=lambda x: x[:2])
+    return Counter(x[2] for x in best.values())
+
+
+AWKWARD = [
+    (5, "one text that stands here"), (5, "another text altogether, longer than the first"), (7, "one  text that stands here"),
+    (3, "another text altogether, longer than the first"), (None, "one text that stands here"), (None, "without any id"), (None, "without any id"),
+    (None, "without  any id"), (9, "twice the same"), (9, "twice the same"), (11, None), (12, ""), (13, "word " * 3000), (14, "call me: a@b.example or +1 555 010 9999"),
+]
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "src1", len(t) if t is not None else None, "more") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, score string").repartition(3)
+
+
+def rows_of(frame):
+    return Counter((r.doc_id, re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "")) for r in frame.collect())
+
+
+def plain(rows):
+    return Counter({(i, re.sub(r"[\x20\x09-\x0D]+", " ", t or "")): n for (i, t), n in rows.items()})
+
+
+def test_stages_take_awkward_tables(spark):
+    stages = dict(corpus_pipeline.STAGES)
+    docs = table(spark, AWKWARD)
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, SF).count() == 0
+        if name != "packing":
+            assert stage(spark, docs, SF).columns == docs.columns
+    assert rows_of(stages["exact_dedup"](spark, docs, SF)) == plain(slow_exact(AWKWARD))
+    assert rows_of(stages["near_dedup"](spark, docs, SF)) == plain(slow_near(AWKWARD))
+    assert sum(rows_of(stages["toxicity"](spark, docs, SF)).values()) == len(AWKWARD)
+    clean = stages["pii"](spark, docs, SF).collect()
+    assert len(clean) == len(AWKWARD) and {r.text for r in clean if r.doc_id in (11, 14)} == {None, "call me: <EMAIL> or <PHONE>"}
+    pieces = stages["packing"](spark, docs, SF).collect()
+    codec = bpe.codec(JSON)
+    tokens = Counter((i, len(codec.encode(t or "")) // 4 + 1) for i, t in AWKWARD)
+    first = Counter((p.doc_id, p.doc_tokens) for p in pieces if p.start == 0)
+    assert first == tokens and sum(p.length for p in pieces) == sum(n * k for (_, n), k in tokens.items())
+
+
 def test_pipeline(spark):
+    """Each stage against slow code of its own (toxicity: its labels)."""
+    SF = f"{compare.DATA}/sf0.01"
     docs = tables.documents(spark, SF)
     columns = docs.columns
-    kept, texts = [], {}
+    kept = []
+    toxic, clean = ({r.doc_id for r in tables.labels(spark, SF).where(f"toxic = {c}").collect()} for c in (1, 0))
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        before = docs
-        docs, _ = materialize(stage(spark, before, SF), "stage")
+        before = [(r.doc_id, r.text) for r in docs.collect()]
+        docs, _ = materialize(stage(spark, docs, SF), "stage")
         assert docs.columns == columns
-        ids = {r.doc_id for r in docs.select("doc_id").collect()}
+        after = {r.doc_id: r.text for r in docs.collect()}
         if name == "toxicity":
-            model = toxicity.fit(before, tables.labels(spark, SF).where(~toxicity.held_out(F.col("doc_id"))))
-            want = {r.doc_id for r in toxicity.score(before, model).where("score < 0.7").collect()}
+            gone = {i for i, _ in before} - set(after)
+            assert len(gone & toxic) > 0.4 * len(toxic) and len(gone & clean) < 0.05 * len(clean)
         elif name == "exact_dedup":
-            want = {r.doc_id for r in exact_dedup.exact_dedup(before).where("kept").collect()}
+            assert set(after) == {i for i, _ in slow_exact(before)}
         elif name == "near_dedup":
-            want = {r.doc_id for r in simhash.near_duplicates(before).where("doc_id = component_id").collect()}
+            assert set(after) == {i for i, _ in slow_near(before)}
         else:
-            want = {r.doc_id for r in before.collect()}
-            assert detect(docs).where(F.exists("pii", lambda s: s["kind"].isin("email", "card", "phone"))).count() == 0
+            assert set(after) == {i for i, _ in before}
+            for text in after.values():
+                spans = [m[0] for k in BASE for m in re.finditer(BASE[k], text or "") if confirmed(k, m[0])]
+                assert not spans, spans
             assert docs.where("n_chars <> length(text)").count() == 0
-        assert ids == want
-        kept.append(len(ids))
-    assert kept == sorted(kept, reverse=True) and kept[0] < 200
+        kept.append(len(after))
+    assert kept == sorted(kept, reverse=True) and kept[0] < 1000
     texts = {r.doc_id: r.text for r in docs.collect()}
     check_packing(corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect(), texts)
     check_packing(corpus_pipeline.run(spark, SF).collect(), texts)

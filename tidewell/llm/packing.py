@@ -15,10 +15,15 @@ the pool. So only the last window of a shard is not full.
 
 from __future__ import annotations
 
+import json
+import re
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,49 +39,88 @@ PARTITION_SHARDS, KEY_TOKENS = 8, 4
 #: BM25 saturation and length normalisation.
 K1, B = 1.2, 0.75
 
-_TOKENS = "doc_id long, ids binary, n_tokens long, frequencies binary"
+_TOKENS = "doc_id long, ids binary, n_tokens long, frequencies binary, n_docs long"
+#: The split of byte-level tokenizers files (fixed value), and characters that any Unicode version classes alike.
+_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_OTHER = re.compile("[^\x00-\u024f]")
+
+
+class Ids:
+    """Ids of a tokenizers file, by the quicker tiktoken wherever both libraries are bound to agree.
+
+    That is where the file is plain byte-level BPE whose ids follow its merges (so ids are ranks),
+    for texts of Latin characters; all other texts are encoded by the tokenizers library.
+    """
+
+    def __init__(self, path: str):
+        self.codec = bpe.codec(path)
+        self.size = len(self.codec.bytes_of)
+        self.plain = None
+        with open(path, encoding="utf-8") as file:
+            made = json.load(file)
+        model, split = made["model"], made["pre_tokenizer"] or {}
+        merged = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+        usual = not made["normalizer"] and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+        if usual and merged == sorted(merged) and not model.get("ignore_merges"):
+            ranks = {self.codec.bytes_of[i]: i for i in model["vocab"].values()}
+            self.plain = tiktoken.Encoding("own", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> bytes:
+        """Ids of a text as little-endian unsigned 32-bit integers."""
+        if self.plain is None or _OTHER.search(text):
+            return self.codec.encode(text)
+        return array("I", self.plain.encode_ordinary(text)).tobytes()
+
+
+@lru_cache(maxsize=2)
+def ids_of(path: str) -> Ids:
+    return Ids(path)
 
 
 def tokenised(docs: DataFrame, path: str) -> DataFrame:
-    """Write the token table: ids with the end id, and one row per task with its document frequencies."""
+    """Write the token table: ids with the end id, and one row per task with its counts."""
     spark = docs.sparkSession
+    names = [f.split()[0] for f in _TOKENS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = bpe.codec(path)
-        size = len(own.bytes_of)
-        frequency = np.zeros(size, np.uint32)
+        own = ids_of(path)
+        frequency, rows, total = np.zeros(own.size, np.uint32), 0, 0
         end = np.array([END], "<u4").tobytes()
         for b in slices(batches, rows=256, size=4 << 20):
             ids = [own.encode(t) + end for t in texts_of(b)]
             lengths = [len(x) // 4 for x in ids]
-            held = np.zeros((len(ids), size), bool)
-            held[np.repeat(np.arange(len(ids)), lengths), np.frombuffer(b"".join(ids), "<u4")] = True
-            frequency += held.sum(axis=0, dtype=np.uint32)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary()), pa.array(lengths, pa.int64()), pa.nulls(len(ids), pa.binary())], ["doc_id", "ids", "n_tokens", "frequencies"])
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([frequency.tobytes()], pa.binary())], ["doc_id", "ids", "n_tokens", "frequencies"])
+            frequency += np.bincount(np.concatenate([np.unique(np.frombuffer(x, "<u4")) for x in ids]), minlength=own.size).astype(np.uint32)
+            rows, total = rows + len(ids), total + sum(lengths)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary()), pa.array(lengths, pa.int64()), pa.nulls(len(ids), pa.binary()), pa.nulls(len(ids), pa.int64())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total]), pa.array([frequency.tobytes()], pa.binary()), pa.array([rows])], names)
 
     table = scratch_path(spark, "tokens")
     docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _TOKENS).write.option("compression", "zstd").parquet(table)
     return spark.read.schema(_TOKENS).parquet(table)
 
 
-def document_frequencies(tokens: DataFrame) -> np.ndarray:
-    """Documents that hold each token, over the whole corpus. One number per vocabulary entry reaches the driver."""
+def corpus_counts(tokens: DataFrame) -> tuple[np.ndarray, int, int]:
+    """Documents that hold each token, documents, and tokens, over the whole corpus.
+
+    Only the rows of counts are read. One number per vocabulary entry reaches the driver.
+    """
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        total, sums = None, np.zeros(2, np.int64)
         for b in batches:
+            sums += [sum(b.column("n_docs").to_pylist()), sum(b.column("n_tokens").to_pylist())]
             for x in b.column("frequencies").to_pylist():
                 part = np.frombuffer(x, np.uint32).astype(np.int64)
                 total = part if total is None else total + part
         if total is not None:
             at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["token", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-2, -1], at])), pa.array(np.concatenate([sums, total[at]]))], ["token", "n"])
 
-    rows = tokens.select("frequencies").where("frequencies is not null").mapInArrow(add, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
-    found = np.zeros(max(rows.column("token").to_pylist(), default=-1) + 1, np.int64)
-    found[rows.column("token").to_numpy()] = rows.column("n").to_numpy()
-    return found
+    counts = tokens.where("frequencies is not null").select("n_tokens", "frequencies", "n_docs")
+    rows = counts.mapInArrow(add, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
+    found = np.zeros(max(rows.column("token").to_pylist(), default=-1) + 3, np.int64)
+    found[rows.column("token").to_numpy() + 2] = rows.column("n").to_numpy()
+    return found[2:], int(found[0]) if len(found) > 2 else 0, int(found[1]) if len(found) > 2 else 0
 
 
 def keys(ids: list[np.ndarray], idf: np.ndarray, rank: np.ndarray, mean_length: float) -> list[bytes]:
@@ -183,9 +227,8 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, shard_tokens: int = S
     are ignored. An empty table gives an empty result.
     """
     tokens = tokenised(docs, path)
-    size = tokens.where("ids is not null").agg(F.count(F.lit(1)), F.sum("n_tokens")).first()
-    n, mean_length = size[0], (size[1] or 1) / max(1, size[0])
-    df = document_frequencies(tokens)
+    df, n, total = corpus_counts(tokens)
+    mean_length = max(1, total) / max(1, n)
     idf = np.maximum(0, np.log((n - df + 0.5) / (df + 0.5))).astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,4 +262,4 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, shard_tokens: int = S
             yield from flush()
 
     schema = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
-    return by_content(tokens, df, idf, mean_length, size[1] or 0, shard_tokens).mapInArrow(run, schema)
+    return by_content(tokens, df, idf, mean_length, total, shard_tokens).mapInArrow(run, schema)
