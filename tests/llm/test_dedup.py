@@ -34,8 +34,10 @@ def test_exact(spark, options):
     assert got == groups_of([(a, b) for a, b, _ in cases.EDGES])
 
 
-def test_exact_hot_group(spark, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "ROWS_PER_SALT", 7)
+@pytest.mark.parametrize("few", [0, 50_000])
+def test_exact_hot_group(spark, monkeypatch, few):
+    monkeypatch.setattr(tables, "HOT", 7)
+    monkeypatch.setattr(exact_dedup, "BROADCAST_GROUPS", few)
     rows = [(i, "copy  me" if i % 3 == 0 else f"own {i % 50}") for i in range(300)]
     got = Counter(tuple(r) for r in exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect())
     assert got == groups_of(rows)
@@ -47,6 +49,20 @@ def test_exact_without_ids(spark):
     assert got == Counter([(None, 3, 3, False), (3, 3, 3, True), (4, 3, 3, False), (2, 2, 1, True), (None, None, 2, True), (None, None, 2, True), (None, None, 1, True)])
 
 
+@pytest.mark.parametrize("few", [0, 50_000])
+def test_exact_collisions(spark, monkeypatch, few):
+    """One hex digit of digest: texts collide, with ids that are null or shared by differing texts."""
+    monkeypatch.setattr(exact_dedup, "BROADCAST_GROUPS", few)
+    rows = [(5, "A"), (5, "B"), (7, "A"), (5, "B")] + [(None, f"text {i % 40}") for i in range(60)] + [(100 + i, f"text {i}") for i in range(0, 40, 3)]
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[t].append(i)
+    least = {t: min((i for i in g if i is not None), default=None) for t, g in groups.items()}
+    want = Counter((i, least[t], len(groups[t]), i == least[t], hashlib.sha256(t.encode()).hexdigest()) for i, t in rows)
+    for options in ({"digest_chars": 1}, {"digest_chars": 1, "files_per_batch": 1}, {}):
+        assert Counter(tuple(r) for r in exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), **options).collect()) == want
+
+
 def test_exact_nothing(spark):
     assert exact_dedup.exact_dedup(cases.empty(spark)).count() == 0
 
@@ -117,6 +133,39 @@ def test_lines(spark):
     assert got[2] == ("top two\n\nend two", [2, 3, 4, 5, 6, 7]) and got[4] == ("c\nd", [1]) and got[7] == ("", list(range(12)))
 
 
+def slow_lines(rows):
+    """Kept text of each document: a line goes if it is long, or one of two successive lines, and that has an earlier place."""
+    seen, out = set(), {}
+    for i, text in sorted(rows):
+        lines = (text or "").split("\n")
+        some = [(at, " ".join(re.findall(r"[^\x20\x09-\x0D]+", x))) for at, x in enumerate(lines)]
+        some = [x for x in some if x[1]]
+        gone = set()
+        for n, (at, body) in enumerate(some):
+            spans = [((body,), [at])] if len(body.split(" ")) >= 50 else []
+            spans += [((body, some[n + 1][1]), [at, some[n + 1][0]])] if n + 1 < len(some) else []
+            for key, places in spans:
+                if key in seen:
+                    gone.update(places)
+                seen.add(key)
+        out[i] = "\n".join(x for at, x in enumerate(lines) if at not in gone)
+    return out
+
+
+def test_every_repeated_run_goes(spark):
+    rng = np.random.default_rng(6)
+    long = [" ".join(f"{c}{i}" for i in range(50)) for c in "xyz"]
+    rows = [(1, "b\nc"), (2, "a\nb\nc\nd\ne"), (3, "a\nb\nc\nd\ne")]  # the first place of a fingerprint need not hold the whole run
+    for i in range(4, 400):
+        rows.append((i, "\n".join(rng.choice([*"abcdefghijklmnopqrst", "", " \t", long[i % 3]], rng.integers(0, 14)))))
+    for i, words in enumerate((26, 30, 18, 45)):  # two or three lines of over 50 words together, in changing surroundings
+        passage = [" ".join(f"p{i}w{j}n{k}" for k in range(words)) for j in range(3 if words < 26 else 2)]
+        rows += [(500 + 10 * i + n, "\n".join([f"before {i} {n} {m}" for m in range(n)] + passage + [f"after {i} {n} {m}" for m in range(5 - n)])) for n in range(5)]
+    got = {r.doc_id: r.text for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert got == slow_lines(rows)
+    assert got[3] == "" and not [t for i, t in got.items() if i >= 500 and i % 10 and "w0n0" in t]
+
+
 def test_lines_edges(spark):
     out = line_dedup.line_dedup(cases.edges(spark))
     assert out.columns == ["doc_id", "text", "score", "deleted"] and out.count() == len(cases.EDGES)

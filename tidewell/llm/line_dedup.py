@@ -1,17 +1,22 @@
 """Line deduplication by winnowing over line hashes, in SQL functions.
 
-Lines are compared with white space collapsed; blank lines do not count. Every ``GRAM``
-successive lines have a hash. Of each ``WINDOW`` successive hashes the smallest (the rightmost
-of ties) is a fingerprint, so documents that share ``GRAM + WINDOW - 1`` lines share a
-fingerprint inside the shared run; a line of ``LONG_WORDS`` words is a fingerprint of its own.
-
-Fingerprints join the first place of the same hash (smallest document, then position). That is
-an aggregation with map-side combine and one row per distinct hash, never pairs of places, so
+Lines are compared with white space collapsed; blank lines do not count. ``GRAM`` = 2 successive
+lines make a gram, keyed by both line hashes. Of each ``WINDOW`` successive grams the one with
+the smallest hash (the rightmost of ties) is a fingerprint, so documents that share
+``GRAM + WINDOW - 1`` lines share a fingerprint inside the shared run; a line of ``LONG_WORDS``
+words is a fingerprint of its own.
+
+A fingerprint joins the first place of its gram (smallest document, then position). That is
+an aggregation with map-side combine and one row per distinct gram, never pairs of places, so
 a passage that a third of all documents hold stays linear; the join of places with first places
 is many-to-one, which AQE splits where it is skewed. A join gives a diagonal: two documents and
 the difference of places. Along it the match is extended both ways by comparing the two arrays
-of line hashes, and the runs of ``GRAM`` lines or more, and long lines, are deleted at the later
-place. Lines are 64-bit prefixes of MD5.
+of line hashes, and runs of ``GRAM`` lines or more, and long lines, are deleted at the later place.
+
+Runs shorter than the guaranteed length, and the parts of a run that occurred earlier in other
+places than its fingerprints' first ones, need not lie on such a diagonal. So an exact check
+follows: the grams between fingerprints are held against the first place of their own gram. In
+the end a line is deleted exactly if it is long, or in a gram, and that occurred at an earlier place.
 """
 
 from __future__ import annotations
@@ -22,35 +27,44 @@ from pyspark.sql import functions as F
 from tidewell.llm.tables import SPACE, whole_text
 from tidewell.session import materialize
 
-#: Lines of a hashed run, hashes of a window, and words of a line that is a fingerprint alone.
+#: Lines of a gram, grams of a window, and words of a line that is a fingerprint alone.
 GRAM, WINDOW, LONG_WORDS = 2, 3, 50
 
 
-def _hash(text: Column) -> Column:
-    return F.left(F.md5(text), F.lit(16))
-
-
 def _lines(text: Column) -> Column:
-    """Lines that are not blank: ``array<struct<at, h, long>>``."""
+    """Lines that are not blank: ``array<struct<at, h, check, long>>`` (two hashes of 64 and 32 bits)."""
     def line(body: Column, at: Column) -> Column:
         words = F.length(body) - F.length(F.replace(body, F.lit(" "), F.lit(""))) + 1
-        return F.struct(at.alias("at"), _hash(body).alias("h"), (words >= LONG_WORDS).alias("long"), (body != "").alias("some"))
+        return F.struct(at.alias("at"), F.xxhash64(body).alias("h"), F.crc32(body).alias("check"), (words >= LONG_WORDS).alias("long"), (body != "").alias("some"))
 
     bodies = F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, f"{SPACE}+", " ")))
     return F.filter(F.transform(bodies, line), lambda x: x["some"])
 
 
-def _fingerprints(lines: Column) -> Column:
-    """``array<struct<i, h>>``: window minima of gram hashes, and long lines."""
-    def minima(grams: Column) -> Column:
-        firsts = F.sequence(F.lit(0), F.greatest(F.size(grams) - WINDOW, F.lit(0)))
-        return F.array_distinct(F.transform(firsts, lambda s: F.array_min(F.slice(grams, s + 1, F.lit(WINDOW)))))
+def _places(lines: Column) -> Column:
+    """All grams and long lines: ``array<struct<i, at, last_at, a, b, lone, picked>>``; ``picked`` are the fingerprints."""
+    def gram(i: Column) -> Column:
+        one, two = F.get(lines, i), F.get(lines, i + 1)
+        order = F.struct(F.xxhash64(one["h"], two["h"]).alias("w"), (-i).alias("back"))
+        return F.struct(i.alias("i"), one["at"].alias("at"), two["at"].alias("last_at"), one["h"].alias("a"), two["h"].alias("b"), order.alias("order"))
+
+    def chosen(grams: Column) -> Column:
+        last = F.greatest(F.size(grams) - WINDOW, F.lit(0))
+        least = F.transform(F.sequence(F.lit(0), last), lambda s: F.array_min(F.transform(F.slice(grams, s + 1, F.lit(WINDOW)), lambda g: g["order"])))
+
+        def picks(minima: Column) -> Column:
+            def is_picked(g: Column, i: Column) -> Column:
+                windows = F.sequence(F.least(F.greatest(i - WINDOW + 1, F.lit(0)), last), F.least(i, last))
+                return F.exists(windows, lambda s: F.get(minima, s) == g["order"])
+
+            return F.transform(grams, lambda g, i: F.struct(g["i"], g["at"], g["last_at"], g["a"], g["b"], F.lit(False).alias("lone"), is_picked(g, i).alias("picked")))
+
+        return F.element_at(F.transform(F.array(least), picks), 1)
 
-    gram = F.transform(F.sequence(F.lit(0), F.size(lines) - GRAM), lambda i: F.struct(_hash(F.array_join(F.transform(F.slice(lines, i + 1, F.lit(GRAM)), lambda x: x["h"]), "")).alias("h"), (-i).alias("back")))
-    least = F.when(F.size(lines) >= GRAM, F.element_at(F.transform(F.array(gram), minima), 1)).otherwise(F.array().cast("array<struct<h:string,back:int>>"))
-    of_grams = F.transform(least, lambda x: F.struct((-x["back"]).alias("i"), x["h"].alias("h")))
-    of_lines = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.when(x["long"], F.concat(F.lit("L"), x["h"])).alias("h"))), lambda x: x["h"].isNotNull())
-    return F.concat(of_grams, of_lines)
+    grams = F.element_at(F.transform(F.array(F.transform(F.sequence(F.lit(0), F.size(lines) - GRAM), gram)), chosen), 1)
+    none = F.array().cast("array<struct<i:int,at:int,last_at:int,a:bigint,b:bigint,lone:boolean,picked:boolean>>")
+    alone = F.filter(F.transform(lines, lambda x, i: F.when(x["long"], F.struct(i.alias("i"), x["at"].alias("at"), x["at"].alias("last_at"), x["h"].alias("a"), x["check"].alias("b"), F.lit(True).alias("lone"), F.lit(True).alias("picked")))), lambda x: x.isNotNull())
+    return F.concat(F.when(F.size(lines) >= GRAM, grams).otherwise(none), alone)
 
 
 def repeated_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -63,15 +77,16 @@ def repeated_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     keyed = docs.where("doc_id is not null").select("doc_id", F.xxhash64(whole_text()).alias("version"), _lines(whole_text()).alias("lines"))
     lines, _ = materialize(keyed, "lines")
     lines = lines.dropDuplicates(["doc_id", "version"])
-    places = lines.select("doc_id", "version", F.explode(_fingerprints(F.col("lines"))).alias("f")).select("doc_id", "version", F.col("f.i").alias("i"), F.col("f.h").alias("h"))
-    places, _ = materialize(places, "places")
-    first = places.groupBy("h").agg(F.min(F.struct("doc_id", "version", "i")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    first = first.select("h", F.col("first.doc_id").alias("first_id"), F.col("first.version").alias("first_version"), F.col("first.i").alias("first_i"))
-    later = places.join(first, "h").where("not (doc_id = first_id and version = first_version and i = first_i)")
-    diagonals = later.select("doc_id", "version", "first_id", "first_version", (F.col("first_i") - F.col("i")).alias("shift")).distinct()
+    places, _ = materialize(lines.select("doc_id", "version", F.explode(_places(F.col("lines"))).alias("p")).select("doc_id", "version", "p.*"), "places")
+    first = places.groupBy("a", "b", "lone").agg(F.min(F.struct("doc_id", "version", "i")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = first.select("a", "b", "lone", F.col("first.doc_id").alias("first_id"), F.col("first.version").alias("first_version"), F.col("first.i").alias("first_i"))
+    later = places.join(first, ["a", "b", "lone"]).where("not (doc_id = first_id and version = first_version and i = first_i)")
+    later, _ = materialize(later.select("doc_id", "version", "i", "at", "last_at", "picked", "first_id", "first_version", "first_i"), "later")
+    diagonals = later.where("picked").select("doc_id", "version", "first_id", "first_version", (F.col("first_i") - F.col("i")).alias("shift")).distinct()
 
     earlier = lines.select(F.col("doc_id").alias("first_id"), F.col("version").alias("first_version"), F.transform("lines", lambda x: x["h"]).alias("theirs"))
-    both = diagonals.join(earlier, ["first_id", "first_version"]).join(lines, ["doc_id", "version"])
+    own = lines.select("doc_id", "version", F.transform("lines", lambda x: F.struct(x["at"], x["h"], x["long"])).alias("lines"))
+    both = diagonals.join(earlier, ["first_id", "first_version"]).join(own, ["doc_id", "version"])
     agrees = F.transform("lines", lambda x, i: F.coalesce(x["h"] == F.get("theirs", i + F.col("shift")), F.lit(False)))
     both = both.select("doc_id", "version", "lines", agrees.alias("same"))
 
@@ -79,8 +94,9 @@ def repeated_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         near = F.coalesce(F.get("same", i - 1), F.lit(False)) | F.coalesce(F.get("same", i + 1), F.lit(False))
         return F.when(F.get("same", i) & (near | x["long"]), x["at"])
 
-    hit = both.select("doc_id", "version", F.array_compact(F.transform("lines", gone)).alias("gone"))
-    deleted = hit.groupBy("doc_id", "version").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("deleted")).where(F.size("deleted") > 0)
+    along = both.select("doc_id", "version", F.array_compact(F.transform("lines", gone)).alias("gone"))
+    between = later.where("not picked").groupBy("doc_id", "version").agg(F.array_distinct(F.flatten(F.collect_list(F.array("at", "last_at")))).alias("gone"))
+    deleted = along.unionAll(between).groupBy("doc_id", "version").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("deleted")).where(F.size("deleted") > 0)
     return lines.select("doc_id", "version", F.size("lines").alias("n_lines")), deleted
 
 
@@ -99,21 +115,15 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     return out.withColumn("deleted", F.coalesce("deleted", F.array().cast("array<int>"))).select(*[c for c in docs.columns if c != "deleted"], "deleted")
 
 
+#: The goal: a line goes if it is long, or one of two successive lines, and that has an earlier place.
 ORACLE_SQL = rf"""
 WITH raw AS (SELECT doc_id, unnest(p) AS line, generate_subscripts(p, 1) - 1 AS pos FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents)),
 body AS (SELECT doc_id, pos, trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS b FROM raw),
-ln AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS i, left(md5(b), 16) AS h, length(b) - length(replace(b, ' ', '')) + 1 >= {LONG_WORDS} AS lng FROM body WHERE b <> ''),
-gr AS (SELECT doc_id, i, left(md5(h || nx), 16) AS g, count(*) OVER (PARTITION BY doc_id) AS m
-       FROM (SELECT doc_id, i, h, lead(h) OVER (PARTITION BY doc_id ORDER BY i) AS nx FROM ln) WHERE nx IS NOT NULL),
-win AS (SELECT doc_id, i, m, min(g || lpad((9999999 - i)::VARCHAR, 7, '0')) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING) AS w FROM gr),
-fp AS (SELECT DISTINCT doc_id, 9999999 - right(w, 7)::BIGINT AS i, left(w, 16) AS h FROM win WHERE i <= greatest(m - {WINDOW}, 0)
-       UNION ALL SELECT doc_id, i, 'L' || h FROM ln WHERE lng),
-fst AS (SELECT h, min(lpad(doc_id::VARCHAR, 18, '0') || lpad(i::VARCHAR, 9, '0')) AS f FROM fp GROUP BY h),
-diag AS (SELECT DISTINCT fp.doc_id, left(f, 18)::BIGINT AS first_id, right(f, 9)::BIGINT - i AS shift FROM fp JOIN fst USING (h)
-         WHERE NOT (fp.doc_id = left(f, 18)::BIGINT AND fp.i = right(f, 9)::BIGINT)),
-eq AS (SELECT d.doc_id, d.first_id, d.shift, a.i, a.pos, a.lng FROM diag d JOIN ln a ON a.doc_id = d.doc_id JOIN ln b ON b.doc_id = d.first_id AND b.i = a.i + d.shift AND b.h = a.h),
-nb AS (SELECT *, lag(i) OVER w AS prv, lead(i) OVER w AS nxt FROM eq WINDOW w AS (PARTITION BY doc_id, first_id, shift ORDER BY i)),
-gone AS (SELECT DISTINCT doc_id, pos FROM nb WHERE lng OR prv = i - 1 OR nxt = i + 1),
+ln AS (SELECT doc_id, pos, b, lead(b) OVER w AS next_b, lead(pos) OVER w AS next_pos FROM body WHERE b <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+seen AS (SELECT doc_id, pos, next_pos AS last_pos, b || chr(10) || next_b AS what FROM ln WHERE next_b IS NOT NULL
+         UNION ALL SELECT doc_id, pos, pos, b FROM ln WHERE length(b) - length(replace(b, ' ', '')) + 1 >= {LONG_WORDS}),
+again AS (SELECT doc_id, pos, last_pos FROM seen QUALIFY row_number() OVER (PARTITION BY what ORDER BY doc_id, pos) > 1),
+gone AS (SELECT doc_id, pos FROM again UNION SELECT doc_id, last_pos FROM again),
 kept AS (SELECT r.doc_id, string_agg(line, chr(10) ORDER BY r.pos) FILTER (g.pos IS NULL) AS t, count(g.pos) AS n_deleted, string_agg(g.pos::VARCHAR, ',' ORDER BY g.pos) AS deleted
          FROM raw r LEFT JOIN gone g ON g.doc_id = r.doc_id AND g.pos = r.pos GROUP BY r.doc_id)
 SELECT doc_id, n_deleted::BIGINT AS n_deleted, coalesce(deleted, '') AS deleted, sha256(coalesce(t, '')) AS kept_sha256 FROM kept
