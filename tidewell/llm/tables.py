@@ -63,3 +63,47 @@ def bounded_sample(df: DataFrame, key: str, limit: int, salt: int = 0) -> DataFr
     if n > limit:
         df = df.where(hashed < int((1 << 40) * min(1.0, (1.25 * limit + 100) / n)))
     return df.orderBy(hashed, key).limit(limit)
+
+
+#: A key of more than one in so many of all rows is hot; so at most as many keys are.
+HOT = 1024
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, total: int, by: list[str]) -> DataFrame:
+    """Left join of ``rows`` with ``groups``, which has one row per ``key`` and its number ``n`` of rows.
+
+    Hot keys are salted: their rows are dealt by a hash of the columns ``by``, their group is
+    repeated per salt. With ``total`` rows in all, at most ``HOT`` keys are hot, so what says
+    which ones is broadcast, and at most twice as many rows are added.
+    """
+    least = max(1, total // HOT)
+    width = F.greatest(F.ceil(F.col("n") / least), F.lit(1)).cast("int")
+    hot = groups.where(F.col("n") > least).select(key, width.alias("_width"))
+    salted = rows.join(F.broadcast(hot), key, "left")
+    salted = salted.withColumn("_salt", F.when(F.col("_width").isNotNull(), F.pmod(F.xxhash64(*by), F.col("_width"))).otherwise(0).cast("int")).drop("_width")
+    repeated = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > least, width).otherwise(1) - 1)))
+    return salted.join(repeated, [key, "_salt"], "left").drop("_salt")
+
+
+#: Rows (24 bytes each) that say what is dropped and are broadcast at most; more are joined by a shuffle.
+BROADCAST_ROWS = 300_000
+
+
+def without(docs: DataFrame, version: Column, dropped: DataFrame, twins: DataFrame) -> DataFrame:
+    """``docs`` without the rows in ``dropped``; of the rows in ``twins``, one each stays.
+
+    Both name rows by ``doc_id`` (null equals null) and ``version``, a 64-bit hash of the text, so
+    rows that share an id and differ in text are told apart. Twins are rows of which there
+    are several; which one stays is not defined where their other columns differ.
+    """
+    keyed = docs.withColumn("_version", version)
+
+    def same(named: DataFrame):
+        return keyed["doc_id"].eqNullSafe(named["doc_id"]) & (keyed["_version"] == named["version"])
+
+    few = dropped.count() <= BROADCAST_ROWS
+    keyed = keyed.join(F.broadcast(dropped) if few else dropped, same(dropped), "left_anti")
+    if twins.take(1):
+        once = keyed.join(twins, same(twins), "left_semi").dropDuplicates(["doc_id", "_version"])
+        keyed = keyed.join(twins, same(twins), "left_anti").unionByName(once)
+    return keyed.select(*docs.columns)
