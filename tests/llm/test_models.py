@@ -44,3 +44,74 @@ def test_edges(spark, module, column):
         same = [r.score for r in rows if r.doc_id in (1, 5)]
         assert len(set(same)) == 1
     assert module.classify(cases.empty(spark), some).count() == 0
+
+
+def small_risk(seed=0):
+    rng = np.random.default_rng(seed)
+    p, u = rng.normal(1, 1, (7, 5)), rng.normal(0, 1, (11, 5))
+    n_p, n_u = rng.integers(1, 4, 7).astype(float), rng.integers(1, 9, 11).astype(float)
+    net = toxicity.Network(u, n_u)
+    for w in net.w:
+        w += rng.normal(0, 0.5, w.shape)
+    return net, p, n_p, u, n_u
+
+
+@pytest.mark.parametrize("prior", [0.2, 0.95])
+def test_risk_and_its_gradient(prior):
+    net, p, n_p, u, n_u = small_risk()
+    if net.forward(p)[2].mean() < net.forward(u)[2].mean():
+        net.w[2] *= -1
+    net.w[2] *= 2
+    in_p, in_u = n_p / n_p.sum(), n_u / n_u.sum()
+    positive, negative, direction = toxicity.nnpu(net, p, in_p, u, in_u, prior)
+    loss = lambda x, y: np.log1p(np.exp(-y * net.forward(x)[2]))
+    rows_p, rows_u = np.repeat(p, n_p.astype(int), axis=0), np.repeat(u, n_u.astype(int), axis=0)  # document by document
+    assert abs(positive - prior * loss(rows_p, 1).mean()) < 1e-9
+    assert abs(negative - (loss(rows_u, -1).mean() - prior * loss(rows_p, -1).mean())) < 1e-9
+    assert (negative < 0) == (prior > 0.5)  # both branches
+
+    def aim():
+        a, b, _ = toxicity.nnpu(net, p, in_p, u, in_u, prior)
+        return a + b if negative >= 0 else -b
+
+    for w, g in zip(net.w, direction):
+        for at in np.ndindex(w.shape):
+            w[at] += 1e-5
+            up = aim()
+            w[at] -= 2e-5
+            assert abs((up - aim()) / 2e-5 - g[at]) < 1e-6
+            w[at] += 1e-5
+
+
+def test_toxicity_learns_from_all_documents(spark):
+    """Counts and cells of the whole table, and positives described without themselves, against slow code."""
+    sf = f"{compare.DATA}/sf0.001"
+    docs, labels = tables.documents(spark, sf).repartition(5), tables.labels(spark, sf)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    chosen = {r.doc_id for r in labels.where("toxic = 1").collect()}
+    held = {i: set(toxicity.features(t).tolist()) for i, t in texts.items()}
+    marked = docs.selectExpr("doc_id", "text", f"doc_id in ({','.join(map(str, chosen))}) as positive")
+    counts = toxicity.corpus_counts(marked)
+    for got, ids in zip(counts, (set(texts), chosen)):
+        want = np.bincount([b for i in ids for b in held[i]], minlength=toxicity.BUCKETS)
+        assert (got == want).all()
+    assert counts[2:] == (len(texts), len(chosen))
+    corpus, positive, n, n_p = counts
+    weights = toxicity.evidence(np.arange(toxicity.BUCKETS), positive, n_p, corpus, n).astype(np.float32)
+    for r in toxicity._described(marked, weights, (positive, n_p, corpus, n)).collect():
+        f = sorted(held[r.doc_id])
+        assert r.cell == toxicity.describe(weights[f], len(f)) < toxicity.CELLS and (r.own_cell is not None) == (r.doc_id in chosen)
+        if r.own_cell is not None:
+            others = [held[i] for i in chosen if i != r.doc_id]
+            alone = np.array([sum(b in x for x in others) for b in f])
+            rest = np.array([sum(b in x for i, x in held.items() if i != r.doc_id) for b in f])
+            assert r.own_cell == toxicity.describe(toxicity.evidence(np.arange(len(f)), alone, n_p - 1, rest, n), len(f))
+
+
+def test_score_agrees_with_classify(spark):
+    sf = f"{compare.DATA}/sf0.01"
+    docs, labels = tables.documents(spark, sf), tables.labels(spark, sf)
+    model = toxicity.fit(docs, labels.where("pmod(crc32(cast(doc_id as string)), 3) <> 1"))
+    a = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    b = {r.doc_id: r.score for r in toxicity.classify(docs, labels).collect()}
+    assert a.keys() == b.keys() and all(abs(a[i] - b[i]) < 1e-12 for i in a)
