@@ -4,9 +4,10 @@ import datetime as dt
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tidewell import schemas
-from tidewell.operators import html_items, json_items
+from tidewell.operators import html_items, json_items, linkage, report
 from tidewell.plans import pipeline
 from tidewell.sources import payloads, registry
 
@@ -29,10 +30,12 @@ def source(ord_, id_, type_, payload, **more):
     return tuple(row[f.name] for f in schemas.SOURCE.fields) + (payload,)
 
 
+def typed(spark, rows):
+    return spark.createDataFrame(rows, StructType([*schemas.SOURCE.fields, StructField("payload", StringType())]))
+
+
 @pytest.fixture(scope="module")
 def done(spark):
-    from pyspark.sql.types import StringType, StructField, StructType
-
     rows = [
         source(0, "feed", "rss", RSS),
         source(1, "api", "json", JSON, root_path="out.list", mapping={"guid": "ref", "title": "t", "published_at": "d", "content": "c.d"}, url_template="https://p.example/{guid}"),
@@ -43,8 +46,7 @@ def done(spark):
         source(6, "nolist", "json", '{"a": 1}', root_path="a", mapping={"guid": "x"}),
         source(7, "silent", "rss", "not a feed"),
     ]
-    schema = StructType([*schemas.SOURCE.fields, StructField("payload", StringType())])
-    return pipeline.run(spark.createDataFrame(rows, schema), F.lit(NOW).cast("timestamp"))
+    return pipeline.run(typed(spark, rows), F.lit(NOW).cast("timestamp"))
 
 
 def test_items(done):
@@ -116,3 +118,53 @@ def test_crawl_permission(spark):
     got = {r.url: r.allowed for r in html_items.crawl_permission(pages, robots, "tidewell/1").collect()}
     assert [got[u] for u in ("https://h.example/private/x", "https://h.example/private/ok", "https://h.example/", "https://free.example/private/x", "file:///x")] == [False, True, True, True, True]
     assert {r.allowed for r in html_items.crawl_permission(pages.where("url like '%h.ex%'"), robots, "else").collect()} == {False}
+
+
+def test_feed_links_markup_and_zones(spark):
+    feed = """<rss><item><title>P</title><guid>https://f.example/p</guid><pubDate>24 Jul 26 10:00:00 EST</pubDate></item>
+<item><title>N</title><guid isPermaLink="false">n1</guid></item><item><title>L</title><link>https://f.example/l</link><guid>https://f.example/g</guid></item></rss>
+<feed><entry><title>X</title><id>https://f.example/x</id><content type="xhtml"><div xmlns="http://www.w3.org/1999/xhtml"><p>One <b>two</b></p></div></content></entry></feed>"""
+    rows = typed(spark, [source(0, "f", "rss", feed)])
+    got = {r.title: (r.guid, r.url, r.content) for r in pipeline.run(rows, F.lit(NOW).cast("timestamp")).items.collect()}
+    assert got == {"P": ("https://f.example/p", "https://f.example/p", ""), "N": ("n1", "", ""), "L": ("https://f.example/g", "https://f.example/l", ""), "X": ("https://f.example/x", "", "<p>One <b>two</b></p>")}
+
+
+def test_repair_leaves_cdata_alone(spark):
+    feed = "<rss><item><title>R&D &amp; <![CDATA[a & b]]> & c</title><description><![CDATA[x & <p>y</p> ]]]]><![CDATA[> &z;]]></description></item></rss>"
+    row = pipeline.run(typed(spark, [source(0, "f", "rss", feed)]), F.lit(NOW).cast("timestamp")).items.first()
+    assert (row.title, row.content) == ("R&D & a & b & c", "x & <p>y</p> ]]> &z;")
+
+
+def test_an_id_declared_twice(spark):
+    def feed(n):
+        return "<rss>" + "".join(f"<item><title>t</title><link>https://t.example/{i}</link></item>" for i in n) + "</rss>"
+
+    rows = typed(spark, [source(0, "a", "rss", feed([1, 2])), source(1, "a", "rss", feed([3])), source(2, "b", "rss", feed([1]))])
+    done = pipeline.run(rows, F.lit(NOW).cast("timestamp"))
+    assert sorted((r.source_ord, r.n_collected, r.n_retained) for r in done.source_report.collect()) == [(0, 2, 3), (1, 1, 3), (2, 1, 0)]
+    check = report.conservation(done.source_report, done.dedup_report).first()
+    assert (check.collected, check.retained, check.losers, check.holds) == (4, 3, 1, True)
+    head = report.report_lines(done.source_report, linkage.summary(done.dedup_report)).where("part = 0").first().line
+    assert head == "Collection: 3 item(s) from 3 source(s) - 4 collected, 1 duplicate(s) removed"
+
+
+def test_forbidden_pages_are_silent(spark):
+    rows = typed(spark, [source(0, "shut", "scrape", HTML, selector="/news/", base_url="https://s.example", url="https://shut.example/list"), source(1, "open", "scrape", HTML, selector="/news/", base_url="https://s.example"), source(2, "feed", "rss", RSS, url="https://shut.example/feed")])
+    robots = spark.createDataFrame([("shut.example", "User-agent: *\nDisallow: /")], "host string, body string")
+    got = {r.source_id: (r.n_collected, r.state) for r in pipeline.run(rows, F.lit(NOW).cast("timestamp"), robots=robots).source_report.collect()}
+    assert got == {"shut": (0, "silent"), "open": (3, "ok"), "feed": (3, "ok")}
+
+
+def test_no_valid_declaration(spark):
+    none = registry.load(spark.createDataFrame([(0, {"id": "x"})], "source_ord int, entry map<string,string>")).registry.withColumn("payload", F.lit(None).cast("string"))
+    assert [x.count() for x in pipeline.run(none, F.lit(NOW).cast("timestamp"))] == [0, 0, 0, 0]
+
+
+def test_scratch_needs_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from tidewell import session
+
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=SimpleNamespace(master="yarn"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(far)

@@ -57,6 +57,15 @@ SHOWN = {
     "Jul 24, 2026": (2026, 7, 24),
     "24 July 2026": (2026, 7, 24),
     "posted Sept. 3rd, 2025": (2025, 9, 3),
+    "(Jul 24, 2026)": (2026, 7, 24),
+    "24 Decade 2026": (2026, 12, 24),
+    "by May Smith, 3 June 2025": (2025, 6, 3),
+    "2026-W30-5": (2026, 7, 24),
+    "2026W305": (2026, 7, 24),
+    "2020-W53-7T10:00:00+02:00": (2021, 1, 3, 8),
+    "2021-W53-1": None,
+    "2026-W00-1": None,
+    "24 Foo 2026": None,
     "31/02/2026": None,
     "Feb 30, 2026": None,
     "12:30:00": None,
@@ -85,7 +94,7 @@ def test_displayed_dates(spark):
     assert dict(zip(SHOWN, got)) == {k: v and dt.datetime(*v) for k, v in SHOWN.items()}
 
 
-@pytest.mark.parametrize("text", ["Fri, 24 Jul 2026 10:00:00 GMT", "24 Jul 2026 12:00:00 +0200"])
+@pytest.mark.parametrize("text", ["Fri, 24 Jul 2026 10:00:00 GMT", "24 Jul 2026 12:00:00 +0200", "24 Jul 26 10:00:00 GMT", "24 Jul 2026 05:00:00 EST", "24 Jul 2026 06:00:00 edt", "Fri, 24 Jul 26 03:00 PDT", "24 Jul 2026 10:00:00 Z"])
 def test_rfc822(spark, text):
     assert column(spark, [text], lambda c: dates.rfc822(c).cast("timestamp_ntz")) == [dt.datetime(2026, 7, 24, 10)]
 
@@ -94,3 +103,8 @@ def test_epoch(spark):
     rows = spark.createDataFrame([(0, 1.0), (1, 1784887200.0), (2, 1784887200000.0), (3, 1e18), (4, None)], "i int, v double")
     got = [r[0] for r in rows.orderBy("i").select(dates.epoch(F.col("v")).cast("timestamp_ntz")).collect()]
     assert got == [dt.datetime(1970, 1, 1, 0, 0, 1), dt.datetime(2026, 7, 24, 10), dt.datetime(2026, 7, 24, 10), None, None]
+
+
+def test_rfc822_else(spark):
+    got = column(spark, ["24 Jul 98 10:00:00 GMT", "24 Jul 2026", "soon", "", None, "24 Jul 2026 10:00:00 Mars"], lambda c: dates.rfc822(c).cast("timestamp_ntz"))
+    assert got == [dt.datetime(1998, 7, 24, 10)] + [None] * 5

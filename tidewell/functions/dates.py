@@ -13,8 +13,22 @@ MILLISECONDS_FROM = 1e11
 _FIRST, _LAST = -62135596800, 253402300799
 
 
+#: Time zone names of RFC 822 and their offsets (fixed values); these do not move with the season.
+ZONES = {"UT": "+0000", "UTC": "+0000", "GMT": "+0000", "Z": "+0000", "EST": "-0500", "EDT": "-0400", "CST": "-0600", "CDT": "-0500", "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700"}
+
+
+def _of_week(text: Column) -> Column:
+    """An ISO week date (``2026-W30-5``; without a day its Monday) as a calendar date, what follows it unchanged; null for others."""
+    form = r"^(\d{4})-?W(\d{2})(?:-?([1-7]))?(?=$|[T ])"
+    year, week, day = (F.regexp_extract(text, form, i).try_cast("int") for i in (1, 2, 3))
+    start = F.date_trunc("week", F.try_make_timestamp(year, F.lit(1), F.lit(4), F.lit(0), F.lit(0), F.lit(0))).cast("date")
+    there = F.date_add(start, (week - 1) * 7 + F.coalesce(day, F.lit(1)) - 1)
+    return F.when(F.regexp_like(text, F.lit(form)) & (F.weekofyear(there) == week), F.concat(F.date_format(there, "yyyy-MM-dd"), F.regexp_replace(text, form, "")))
+
+
 def iso(text: Column) -> Column:
-    """ISO 8601 date or date and time; without an offset it is UTC. Week dates are not read."""
+    """ISO 8601 date (calendar or week date) or date and time; without an offset it is UTC."""
+    text = F.coalesce(_of_week(text), text)
     extended = F.regexp_like(text, F.lit(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}([.,]\d+)?)?)?(Z|[+-]\d{2}(:?\d{2})?)?)?$"))
     spelled = F.regexp_replace(F.regexp_replace(F.replace(text, F.lit(","), F.lit(".")), r"^(.{10}[T ]\d{2})(?=$|Z|[+-])", "$1:00"), r"([+-]\d{2})(\d{2})$", "$1:$2")
     basic = F.regexp_like(text, F.lit(r"^\d{8}$"))
@@ -28,29 +42,46 @@ def epoch(number: Column) -> Column:
 
 
 def rfc822(text: Column) -> Column:
-    """RFC 822 date and time, its weekday ignored."""
-    plain = F.regexp_replace(F.trim(text), r"^[A-Za-z]{3,9},?\s+", "")
-    return F.coalesce(F.try_to_timestamp(plain, F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(plain, F.lit("d MMM yyyy HH:mm:ss z")), F.try_to_timestamp(plain, F.lit("d MMM yyyy HH:mm Z")), F.try_to_timestamp(plain, F.lit("d MMM yyyy HH:mm z")))
+    """RFC 822 date and time, its weekday ignored. Two-digit years up to 49 are of this century, others of the last (RFC 2822)."""
+    parts = F.split(F.regexp_replace(F.trim(text), r"^[A-Za-z]{3,9},?\s+", ""), r"\s+")
+    year, zone = F.get(parts, F.lit(2)), F.upper(F.get(parts, F.lit(4)))
+    century = F.when(F.regexp_like(year, F.lit("^[0-4][0-9]$")), "20").when(F.regexp_like(year, F.lit("^[5-9][0-9]$")), "19").otherwise("")
+    offset = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in ZONES.items() for x in pair]), zone), zone)
+    plain = F.concat_ws(" ", F.get(parts, F.lit(0)), F.get(parts, F.lit(1)), F.concat(century, year), F.get(parts, F.lit(3)), offset)
+    read = F.coalesce(F.try_to_timestamp(plain, F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(plain, F.lit("d MMM yyyy HH:mm Z")))
+    return F.when(F.size(parts) == 5, read)
 
 
-def _worded(text: Column, pattern: str, year: int, month: int, day: int) -> Column:
+def _worded(text: Column) -> Column:
+    """The first month name with a day and a year beside it: month, day, year or day, month, year.
+
+    Only words and numbers count; a day may carry an ordinal ending.
+    """
     months = F.create_map(*[F.lit(x) for pair in MONTHS.items() for x in pair])
+    words = F.regexp_extract_all(text, F.lit("[0-9]+(?:st|nd|rd|th)?|[A-Za-z]+"), F.lit(0))
+
+    def month(word: Column) -> Column:
+        return F.when(F.length(word).between(3, 9), F.try_element_at(months, F.lower(F.left(word, F.lit(3)))))
+
+    def day(word: Column, ordinal: bool) -> Column:
+        return F.regexp_extract(word, r"^(\d{1,2})(?:st|nd|rd|th)?$" if ordinal else r"^(\d{1,2})$", 1).try_cast("int")
+
+    def year(word: Column) -> Column:
+        return F.regexp_extract(word, r"^(\d{4})(?!\d)", 1).try_cast("int")
 
-    def group(n: int) -> Column:
-        return F.regexp_extract(text, pattern, n)
+    def at(i: Column) -> Column:
+        before, after, last = F.get(words, i - 1), F.get(words, i + 1), F.get(words, i + 2)
+        late = F.when(year(last).isNotNull(), F.struct(year(last).alias("y"), day(after, True).alias("d")))
+        early = F.when(year(after).isNotNull(), F.struct(year(after).alias("y"), day(before, False).alias("d")))
+        found = F.when(late["d"].isNotNull(), late).otherwise(early)
+        return F.when(month(F.get(words, i)).isNotNull() & found["d"].isNotNull(), F.concat_ws("-", F.lpad(found["y"].cast("string"), 4, "0"), F.lpad(month(F.get(words, i)).cast("string"), 2, "0"), F.lpad(found["d"].cast("string"), 2, "0")))
 
-    number = F.try_element_at(months, F.lower(F.left(group(month), F.lit(3))))
-    written = F.concat_ws("-", F.lpad(group(year), 4, "0"), F.lpad(number.cast("string"), 2, "0"), F.lpad(group(day), 2, "0"))
-    return F.when(F.regexp_like(text, F.lit(pattern)) & number.isNotNull(), written.try_cast("timestamp"))
+    dates = F.array_compact(F.transform(words, lambda _, i: at(i)))
+    return F.get(dates, F.lit(0)).try_cast("timestamp")
 
 
 def displayed(text: Column) -> Column:
     """A date shown on a page: ISO, numeric (Y-M-D, D/M/Y, Y/M/D), or with an English month name."""
-    return F.coalesce(
-        iso(text),
-        F.when(F.regexp_like(text, F.lit(r"^\d{4}-\d{1,2}-\d{1,2}$")), F.try_to_timestamp(text, F.lit("yyyy-M-d"))),
-        F.when(F.regexp_like(text, F.lit(r"^\d{1,2}/\d{1,2}/\d{4}$")), F.try_to_timestamp(text, F.lit("d/M/yyyy"))),
-        F.when(F.regexp_like(text, F.lit(r"^\d{4}/\d{1,2}/\d{1,2}$")), F.try_to_timestamp(text, F.lit("yyyy/M/d"))),
-        _worded(text, r"([A-Za-z]{3,9})\.?\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})", 3, 1, 2),
-        _worded(text, r"(\d{1,2})\s+([A-Za-z]{3,9})\.?,?\s+(\d{4})", 3, 2, 1),
-    )
+    numeric = {r"^\d{4}-\d{1,2}-\d{1,2}$": "yyyy-M-d", r"^\d{1,2}/\d{1,2}/\d{4}$": "d/M/yyyy", r"^\d{4}/\d{1,2}/\d{1,2}$": "yyyy/M/d"}
+    read = [F.when(F.regexp_like(text, F.lit(form)), F.try_to_timestamp(text, F.lit(pattern))) for form, pattern in numeric.items()]
+    return F.coalesce(iso(text), *read, _worded(text))

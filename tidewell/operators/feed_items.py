@@ -26,10 +26,23 @@ def entries(sources: DataFrame) -> DataFrame:
     return rows.withColumnRenamed("id", "source_id").drop("url")
 
 
+def _escaped(xml: Column) -> Column:
+    """Bare ampersands escaped outside CDATA sections."""
+    opening, closing = "<![CDATA[", "]]>"
+
+    def piece(text: Column, i: Column) -> Column:
+        data = F.substring_index(text, closing, 1)
+        rest = F.substr(text, F.length(data) + len(closing) + 1)
+        kept = F.when(F.contains(text, F.lit(closing)), F.concat(data, F.lit(closing), F.regexp_replace(rest, _BARE, "&amp;"))).otherwise(text)
+        return F.when(i == 0, F.regexp_replace(text, _BARE, "&amp;")).otherwise(kept)
+
+    return F.array_join(F.transform(F.split(xml, r"<!\[CDATA\["), piece), opening)
+
+
 def parsed(rows: DataFrame) -> DataFrame:
     """Add ``e`` (the entry's fields); entries that are no XML are tried again with bare ampersands escaped."""
     once = rows.withColumn("e", F.from_xml("xml", ENTRY, _OPTIONS))
-    repaired = F.from_xml(F.regexp_replace("xml", _BARE, "&amp;"), ENTRY, _OPTIONS)
+    repaired = F.from_xml(_escaped(F.col("xml")), ENTRY, _OPTIONS)
     return once.withColumn("e", F.when(F.col("e._corrupt_record").isNull(), F.col("e")).otherwise(repaired))
 
 
@@ -38,12 +51,21 @@ def _first(values: str) -> Column:
 
 
 def link() -> Column:
-    """The text of an RSS link, or the target of an Atom link (alternate or without relation first)."""
+    """The text of an RSS link, the target of an Atom link (alternate or without relation first), or a guid that is a permalink."""
     links = F.coalesce("e.link", F.array().cast(_LINKS))
     direct = F.filter(links, lambda x: common.text(x["_href"]) != "")
     best = F.filter(direct, lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
     plain = F.filter(links, lambda x: F.trim(common.text(x["_VALUE"])) != "")
-    return F.coalesce(F.trim(F.get(plain, F.lit(0))["_VALUE"]), F.get(best, F.lit(0))["_href"], F.get(direct, F.lit(0))["_href"], F.lit(""))
+    guids = F.filter(F.coalesce("e.guid", F.array().cast("array<struct<_VALUE:string,_isPermaLink:string>>")), lambda g: F.lower(F.coalesce(g["_isPermaLink"], F.lit("true"))) == "true")
+    permalink = F.nullif(F.trim(F.get(guids, F.lit(0))["_VALUE"]), F.lit(""))
+    return F.coalesce(F.trim(F.get(plain, F.lit(0))["_VALUE"]), F.get(best, F.lit(0))["_href"], F.get(direct, F.lit(0))["_href"], permalink, F.lit(""))
+
+
+def xhtml(element: str) -> Column:
+    """The markup inside an Atom element of type ``xhtml``, without its outer ``div``; null if there is none."""
+    whole = F.regexp_extract("xml", rf"""(?s)<{element}\b[^>]*\btype\s*=\s*["'](?:xhtml|application/xhtml\+xml)["'][^>]*>(.*?)</{element}\s*>""", 1)
+    inner = F.regexp_replace(whole, r"(?s)^\s*<(?:\w+:)?div\b[^>]*>(.*)</(?:\w+:)?div\s*>\s*$", "$1")
+    return F.nullif(F.trim(inner), F.lit(""))
 
 
 def guid(source_id: Column, native: Column, url: Column, title: Column) -> Column:
@@ -53,7 +75,10 @@ def guid(source_id: Column, native: Column, url: Column, title: Column) -> Colum
 
 def content() -> Column:
     """Summary (an RSS description), else content, else empty; empty ones fall through."""
-    return F.coalesce(*[F.nullif(_first(x), F.lit("")) for x in ("summary", "description", "content", "`content:encoded`")], F.lit(""))
+    def filled(name: str) -> Column:
+        return F.nullif(_first(name), F.lit(""))
+
+    return F.coalesce(xhtml("summary"), filled("summary"), filled("description"), xhtml("content"), filled("content"), filled("`content:encoded`"), F.lit(""))
 
 
 def instant(run_ts: Column) -> Column:
@@ -68,5 +93,10 @@ def project(rows: DataFrame, run_ts: Column) -> DataFrame:
     return flat.withColumn("guid", guid(F.col("source_id"), F.col("native"), F.col("url"), F.col("title"))).withColumn("reject", F.when(F.col("broken").isNotNull(), "entry is not XML"))
 
 
+def judged(sources: DataFrame, run_ts: Column) -> DataFrame:
+    """Every entry of the feeds, accepted or with its ``reject``."""
+    return project(parsed(entries(sources)), run_ts)
+
+
 def items(sources: DataFrame, run_ts: Column) -> tuple[DataFrame, DataFrame]:
-    return common.split(project(parsed(entries(sources)), run_ts))
+    return common.split(judged(sources, run_ts))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,6 +16,8 @@ from tidewell.operators import common
 #: Short texts that call to action and are no excerpt (fixed values), and the length from which a text is one.
 ACTIONS = ("read more", "lire la suite", "en savoir plus", "learn more", "read", "more")
 EXCERPT_LENGTH = 30
+#: Characters that may end such a call (fixed values).
+LABEL_END = " .›→»"
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4"))
 
@@ -78,6 +80,10 @@ def _describe(link: dict) -> dict:
     }
 
 
+_ARROW_LINK = pa.schema([
+    ("source_id", pa.string()), ("source_ord", pa.int32()), ("entry_ord", pa.int64()), ("href", pa.string()), ("heading", pa.string()),
+    ("spans", pa.list_(pa.struct([("text", pa.string()), ("in_meta", pa.bool_())]))), ("time", pa.string()), ("paragraphs", pa.list_(pa.string())),
+])
 _LINK = "source_id string, source_ord int, entry_ord bigint, href string, heading string, spans array<struct<text:string,in_meta:boolean>>, time string, paragraphs array<string>"
 
 
@@ -88,17 +94,17 @@ def links(sources: DataFrame) -> DataFrame:
     pushed through Python.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.itertuples(index=False):
+            found = []
+            for ident, source_ord, selector, payload in zip(*(c.to_pylist() for c in batch.columns)):
                 tree = _Tree()
-                tree.feed(row.payload or "")
+                tree.feed(payload or "")
                 tree.close()
-                found = [{"source_id": row.id, "source_ord": row.source_ord, "entry_ord": i, **_describe(a)} for i, a in enumerate(tree.links) if (row.selector or "") in a["attrs"]["href"]]
-                if found:
-                    yield pd.DataFrame(found)
+                found += [{"source_id": ident, "source_ord": source_ord, "entry_ord": i, **_describe(a)} for i, a in enumerate(tree.links) if (selector or "") in a["attrs"]["href"]]
+            yield pa.RecordBatch.from_pylist(found, _ARROW_LINK)
 
-    return sources.select("id", "source_ord", "selector", "payload").mapInPandas(run, _LINK)
+    return sources.select("id", "source_ord", "selector", "payload").mapInArrow(run, _LINK)
 
 
 def raw_links(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -116,7 +122,7 @@ def title() -> Column:
 def excerpt(paragraphs: Column, title_: Column) -> Column:
     """First paragraph that neither repeats the title nor is a short call to action."""
     def label(p: Column) -> Column:
-        return F.regexp_replace(F.lower(p), "[ .›→»]+$", "")
+        return F.regexp_replace(F.lower(p), f"[{LABEL_END}]+$", "")
 
     good = F.filter(paragraphs, lambda p: (p != "") & (p != title_) & ~((F.length(p) < EXCERPT_LENGTH) & label(p).isin(*ACTIONS)))
     return F.coalesce(F.get(good, F.lit(0)), F.lit(""))
@@ -130,21 +136,28 @@ def link_key(url: Column) -> Column:
     return F.regexp_replace(urls.defragment(url), "/+$", "")
 
 
-def first_of_page(rows: DataFrame) -> DataFrame:
-    """Of links to the same place (fragment and final slashes aside) on a page, the first."""
-    place = W.partitionBy("source_id", link_key(F.col("url"))).orderBy("entry_ord")
-    return rows.withColumn("_n", F.row_number().over(place)).where("_n = 1").drop("_n")
+def first_of_page(rows: DataFrame, usable: Column | None = None) -> DataFrame:
+    """Of (usable) links to the same place on a page, fragment and final slashes aside, the first; unusable ones stay."""
+    keep = F.lit(True) if usable is None else usable
+    place = W.partitionBy("source_id", link_key(F.col("url")), keep).orderBy("entry_ord")
+    return rows.withColumn("_n", F.row_number().over(place)).where((F.col("_n") == 1) | ~keep).drop("_n")
 
 
-def items(sources: DataFrame, run_ts: Column) -> tuple[DataFrame, DataFrame]:
-    """Items, and links rejected for want of a title."""
+def judged(sources: DataFrame, run_ts: Column) -> DataFrame:
+    """Every link of the pages' own domains: the first to each place that has a title, and those rejected for want of one."""
     about = sources.select(F.col("id").alias("source_id"), "source_ord", "lang", "section", F.when(common.text(F.col("base_url")) != "", F.col("base_url")).otherwise(F.col("url")).alias("base"))
     rows = links(sources).join(about, ["source_id", "source_ord"])
     rows = rows.withColumn("url", urls.resolve(F.col("base"), F.col("href"))).where(same_domain(F.col("url"), F.col("base")))
-    rows = rows.withColumn("title", title())
-    good, bad = rows.where("title <> ''"), rows.where("title = ''")
-    kept = first_of_page(good).select("*", F.col("url").alias("guid"), F.coalesce(dates.displayed(F.col("time")), run_ts).alias("published_at"), excerpt(F.col("paragraphs"), F.col("title")).alias("content"))
-    return common.as_items(kept), bad.select("source_id", "source_ord", "entry_ord", F.lit("no usable title").alias("reason"))
+    rows = first_of_page(rows.withColumn("title", title()), F.col("title") != "")
+    return rows.select(
+        "source_id", "source_ord", "entry_ord", F.col("url").alias("guid"), "title", F.coalesce(dates.displayed(F.col("time")), run_ts).alias("published_at"),
+        "lang", "section", "url", excerpt(F.col("paragraphs"), F.col("title")).alias("content"), F.when(F.col("title") == "", "no usable title").alias("reject"),
+    )
+
+
+def items(sources: DataFrame, run_ts: Column) -> tuple[DataFrame, DataFrame]:
+    """Items, and links rejected for want of a title."""
+    return common.split(judged(sources, run_ts))
 
 
 def zero_yield(sources: DataFrame, found: DataFrame) -> DataFrame:

@@ -98,5 +98,10 @@ def project(rows: DataFrame, run_ts: Column) -> DataFrame:
     )
 
 
+def judged(sources: DataFrame, run_ts: Column) -> DataFrame:
+    """Every entry of the lists, accepted or with its ``reject``."""
+    return project(entries(sources), run_ts)
+
+
 def items(sources: DataFrame, run_ts: Column) -> tuple[DataFrame, DataFrame]:
-    return common.split(project(entries(sources), run_ts))
+    return common.split(judged(sources, run_ts))

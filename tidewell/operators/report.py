@@ -25,12 +25,13 @@ def state(reason: Column, collected: Column, retained: Column) -> Column:
 def source_report(registry: DataFrame, collected: DataFrame, retained: DataFrame, run_ts: Column) -> DataFrame:
     """One row per declared source. ``registry`` is ``source_ord, id, type, reason``.
 
-    A source that is declared twice shares its counts, and each declaration has a row.
+    Each declaration has a row. Of an id declared twice, each declaration counts what it collected;
+    the retained items of the id, which linkage knows by id alone, stand in both rows.
     """
-    counts = collected.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_collected"), F.count_if(is_approximate(F.col("published_at"), run_ts)).alias("n_approximate"))
+    counts = collected.groupBy("source_ord").agg(F.count(F.lit(1)).alias("n_collected"), F.count_if(is_approximate(F.col("published_at"), run_ts)).alias("n_approximate"))
     kept = retained.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_retained"))
     rows = registry.select("source_ord", F.col("id").alias("source_id"), "type", F.coalesce("reason", F.lit("")).alias("reason"))
-    rows = rows.join(counts, "source_id", "left").join(kept, "source_id", "left")
+    rows = rows.join(counts, "source_ord", "left").join(kept, "source_id", "left")
     n = {c: F.coalesce(c, F.lit(0)) for c in ("n_collected", "n_retained", "n_approximate")}
     return rows.select("source_ord", "source_id", "type", *[v.alias(k) for k, v in n.items()], "reason", state(F.col("reason"), n["n_collected"], n["n_retained"]).alias("state"))
 
@@ -45,6 +46,7 @@ def ranking() -> list[Column]:
 
 
 def _status() -> Column:
+    """Text of a state; the wording of report lines is fixed."""
     def count(column: str) -> Column:
         return F.col(column).cast("string")
 
@@ -61,10 +63,16 @@ def _status() -> Column:
     )
 
 
+def totals(report: DataFrame) -> DataFrame:
+    """One row ``sources, collected, retained``: declarations, and items. Retained items of an id declared twice count once."""
+    by_id = report.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"), F.sum("n_collected").alias("c"), F.max("n_retained").alias("r"))
+    return by_id.agg(*[F.coalesce(F.sum(a), F.lit(0)).cast("bigint").alias(b) for a, b in (("n", "sources"), ("c", "collected"), ("r", "retained"))])
+
+
 def report_lines(report: DataFrame, summary: DataFrame) -> DataFrame:
     """``part, n_retained, n_collected, source_ord, line``; in the order of part and ranking they read as a report."""
     none = [F.lit(0).cast("bigint").alias("n_retained"), F.lit(0).cast("bigint").alias("n_collected"), F.lit(0).alias("source_ord")]
-    total = report.agg(F.count(F.lit(1)).alias("sources"), F.coalesce(F.sum("n_retained"), F.lit(0)).alias("r"), F.coalesce(F.sum("n_collected"), F.lit(0)).alias("c"))
+    total = totals(report).withColumnsRenamed({"retained": "r", "collected": "c"})
     head = F.format_string("Collection: %d item(s) from %d source(s)", "r", "sources")
     more = F.when(F.col("c") > F.col("r"), F.concat(head, F.format_string(" - %d collected, %d duplicate(s) removed", F.col("c"), F.col("c") - F.col("r")))).otherwise(head)
     header = total.select(F.lit(0).alias("part"), *none, F.when(F.col("sources") == 0, "No source configured.").otherwise(more).alias("line"))
@@ -86,6 +94,6 @@ def alerts(report: DataFrame) -> DataFrame:
 def conservation(report: DataFrame, losers: DataFrame) -> DataFrame:
     """One row: retained plus losers make up what was collected."""
     nothing = F.lit(0).cast("bigint")
-    sides = report.select("n_collected", "n_retained", nothing.alias("losers")).unionByName(losers.select(nothing.alias("n_collected"), nothing.alias("n_retained"), "losers"))
-    totals = sides.agg(*[F.coalesce(F.sum(a), nothing).alias(b) for a, b in (("n_collected", "collected"), ("n_retained", "retained"), ("losers", "losers"))])
-    return totals.withColumn("holds", F.col("retained") + F.col("losers") == F.col("collected"))
+    sides = totals(report).select("collected", "retained", nothing.alias("losers")).unionByName(losers.select(nothing.alias("collected"), nothing.alias("retained"), "losers"))
+    sums = sides.agg(*[F.coalesce(F.sum(c), nothing).alias(c) for c in ("collected", "retained", "losers")])
+    return sums.withColumn("holds", F.col("retained") + F.col("losers") == F.col("collected"))

@@ -19,6 +19,10 @@ def _ordinal() -> Column:
     return F.regexp_replace("source", "[^0-9]", "").cast("int")
 
 
+def _text() -> Column:
+    return F.coalesce("text", F.lit(""))
+
+
 def _chunk() -> Column:
     """Payloads hold few entries, so a source's page never grows with the table."""
     return F.floor(F.col("doc_id") / 250).cast("string")
@@ -56,7 +60,7 @@ def json_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(n % 5 == 3, F.concat(F.lit('"'), F.date_format(F.timestamp_seconds(second + 7200), "yyyy-MM-dd HH:mm:ss"), F.lit('+02:00"')))
         .otherwise(F.lit('"soon"'))
     )
-    entry = F.concat(F.lit('{"paper": {"id": '), ident, F.lit(', "summary": '), F.to_json(F.struct(F.left("text", F.lit(80)).alias("s"))), F.lit('}, "title": '), F.when(n % 7 == 0, F.lit("0")).otherwise(F.concat(F.lit('"'), F.md5("text"), F.lit('"'))), F.lit(', "at": '), date, F.lit("}"))
+    entry = F.concat(F.lit('{"paper": {"id": '), ident, F.lit(', "summary": '), F.to_json(F.struct(_text().alias("s"))), F.lit('}, "title": '), F.when(n % 7 == 0, F.lit("0")).otherwise(F.concat(F.lit('"'), F.md5(_text()), F.lit('"'))), F.lit(', "at": '), date, F.lit("}"))
     payload = F.concat(F.lit('{"data": {"list": ['), _joined("doc_id", entry, ", "), F.lit("]}}"))
     mapping = _mapping(guid="paper.id", title="title", published_at="at", content="paper.summary.s")
     return _declared(views.documents(spark, sf_dir), "json", payload, root_path=F.lit("data.list"), mapping=mapping, url_template=F.lit("https://papers.example/p/{guid}"))
@@ -64,7 +68,7 @@ def json_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _JSON_SQL = """
 j AS (SELECT doc_id, source || '-' || (doc_id // 250) AS source_id, row_number() OVER (PARTITION BY source, doc_id // 250 ORDER BY doc_id) - 1 AS entry_ord,
-  doc_id % 11 <> 0 AND doc_id % 13 <> 0 AS good, CASE WHEN doc_id % 7 = 0 THEN '' ELSE md5(text) END AS title, left(text, 80) AS content,
+  doc_id % 11 <> 0 AND doc_id % 13 <> 0 AS good, CASE WHEN doc_id % 7 = 0 THEN '' ELSE md5(coalesce(text, '')) END AS title, coalesce(text, '') AS content,
   CASE WHEN doc_id % 5 = 4 THEN TIMESTAMP '2024-06-01' ELSE TIMESTAMP '2024-05-25' + to_minutes(doc_id) END AS published_at FROM documents)
 """
 
@@ -84,7 +88,8 @@ def json_items_(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def json_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    value = F.try_parse_json("props")
+    nested = F.concat(F.lit('{"k": {"deeper": '), F.col("event_id").cast("string"), F.lit("}}"))
+    value = F.try_parse_json(F.when(F.col("event_id") % 4 == 0, nested).otherwise(F.col("props")))
     return events.select("event_id", json_items.as_text(json_items.at(value, F.lit("k"))).alias("k"), json_items.as_text(json_items.at(value, F.lit("k.deeper"))).alias("deeper"), json_items.as_text(json_items.at(value, F.lit("absent"))).alias("absent"))
 
 
@@ -107,28 +112,38 @@ def json_identity_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def json_url_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.documents(spark, sf_dir).select("doc_id", F.concat("lang", F.lit("/a b*"), F.col("doc_id").cast("string")).alias("guid"))
-    return rows.select("doc_id", json_items.template_url(F.lit("https://x.example/{guid}?v={{1}}"), F.col("guid")).alias("url"), json_items.bad_template(F.lit("https://x.example/{guid}/{lang}")).alias("bad"))
+    template = F.when(F.col("doc_id") % 3 == 0, F.lit("https://x.example/{guid}/{lang}")).otherwise(F.lit("https://x.example/{guid}?v={{1}}"))
+    bad = json_items.bad_template(template)
+    return rows.select("doc_id", F.when(~bad, json_items.template_url(template, F.col("guid"))).alias("url"), bad.alias("bad"))
 
 
 def json_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _json_rows(spark, sf_dir).select("source_id", F.col("entry_ord").cast("bigint").alias("entry_ord"), _plain_time())
 
 
+#: Characters that XML does not hold.
+_NO_XML = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFE}\x{FFFF}]"
+
+
 def feed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feeds, RSS and Atom in turn; titles hold bare ampersands, some entries lack identifiers, links or dates."""
-    n, words = F.col("doc_id"), F.regexp_replace(F.left("text", F.lit(60)), r"[<>&\]\r\n]", " ")
+    """Feeds, RSS and Atom in turn, with whole texts; titles hold bare ampersands, some entries lack identifiers, links or dates.
+
+    Equal texts share a link, and neighbours an identifier, so that entries form chains.
+    """
+    n, words = F.col("doc_id"), F.regexp_replace(_text(), _NO_XML, " ")
+    words = F.replace(words, F.lit("]]>"), F.lit("]]]]><![CDATA[>"))
     second = F.timestamp_seconds(F.unix_timestamp(F.lit(_DAY).cast("timestamp")) + n * 60)
-    title = F.concat(F.md5("text"), F.when(n % 5 == 0, " R&D &amp; more").otherwise(""))
-    url = F.concat(F.lit("https://feed.example/"), n.cast("string"))
+    title = F.concat(F.md5(_text()), F.when(n % 5 == 0, " R&D &amp; more").otherwise(""))
+    url, ident = F.concat(F.lit("https://feed.example/"), F.md5(_text())), F.floor(n / 3).cast("string")
     rss = F.concat(
         F.lit("<item><title>"), title, F.lit("</title>"), F.when(n % 6 < 4, F.concat(F.lit("<link>"), url, F.lit("</link>"))).otherwise(""),
-        F.when(n % 6 < 2, F.concat(F.lit('<guid isPermaLink="false">id-'), n.cast("string"), F.lit("</guid>"))).otherwise(""),
+        F.when(n % 6 < 2, F.concat(F.lit('<guid isPermaLink="false">id-'), ident, F.lit("</guid>"))).otherwise(""),
         F.when(n % 7 > 0, F.concat(F.lit("<pubDate>"), F.date_format(second, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0000</pubDate>"))).otherwise(""),
         F.lit("<description><![CDATA["), words, F.lit("]]></description></item>"),
     )
     atom = F.concat(
         F.lit("<entry><title>"), title, F.lit("</title>"), F.when(n % 6 < 4, F.concat(F.lit('<link rel="alternate" href="'), url, F.lit('"/>'))).otherwise(""),
-        F.when(n % 6 < 2, F.concat(F.lit("<id>id-"), n.cast("string"), F.lit("</id>"))).otherwise(""),
+        F.when(n % 6 < 2, F.concat(F.lit("<id>id-"), ident, F.lit("</id>"))).otherwise(""),
         F.when(n % 7 > 0, F.concat(F.lit("<published>"), F.date_format(second, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z</published>"))).otherwise(""),
         F.lit('<content type="html"><![CDATA['), words, F.lit("]]></content></entry>"),
     )
@@ -138,10 +153,10 @@ def feed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _FEED_SQL = r"""
 f AS (SELECT *, source || '-' || (doc_id // 250) AS source_id, row_number() OVER (PARTITION BY source, doc_id // 250 ORDER BY doc_id) - 1 AS entry_ord,
-  md5(text) || CASE WHEN doc_id % 5 = 0 THEN ' R&D & more' ELSE '' END AS title, CASE WHEN doc_id % 6 < 4 THEN 'https://feed.example/' || doc_id ELSE '' END AS url,
+  md5(coalesce(text, '')) || CASE WHEN doc_id % 5 = 0 THEN ' R&D & more' ELSE '' END AS title, CASE WHEN doc_id % 6 < 4 THEN 'https://feed.example/' || md5(coalesce(text, '')) ELSE '' END AS url,
   CASE WHEN doc_id % 7 > 0 THEN TIMESTAMP '2024-05-25' + to_minutes(doc_id) ELSE TIMESTAMP '2024-06-01' END AS published_at,
-  trim(regexp_replace(left(text, 60), '[<>&\]\r\n]', ' ', 'g'), ' ') AS content FROM documents),
-fi AS (SELECT *, CASE WHEN doc_id % 6 < 2 THEN 'id-' || doc_id WHEN url <> '' THEN url ELSE sha256(source_id || title) END AS guid FROM f)
+  regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFE}\x{FFFF}]', ' ', 'g'), '\r\n?', chr(10), 'g'), '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g') AS content FROM documents),
+fi AS (SELECT *, CASE WHEN doc_id % 6 < 2 THEN 'id-' || (doc_id // 3) WHEN url <> '' THEN url ELSE sha256(source_id || title) END AS guid FROM f)
 """
 
 
@@ -252,9 +267,42 @@ def html_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_items_(spark, sf_dir).select("guid", "content")
 
 
+def odd_feed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feeds whose entries have guids instead of links, markup as content, and dates of two-digit years in named zones."""
+    n, number = F.col("doc_id"), F.col("doc_id").cast("string")
+    guid = F.when(n % 3 == 0, F.concat(F.lit("<guid>https://perma.example/"), number, F.lit("</guid>"))).when(n % 3 == 1, F.concat(F.lit('<guid isPermaLink="false">https://perma.example/'), number, F.lit("</guid>"))).otherwise(
+        F.concat(F.lit("<guid>https://perma.example/"), number, F.lit("</guid><link>https://feed.example/"), number, F.lit("</link>")))
+    name, hours = (F.element_at(F.array(*map(F.lit, x)), (n % len(_ZONES) + 1).cast("int")) for x in zip(*_ZONES))
+    local = F.timestamp_seconds(F.unix_timestamp(F.lit(_DAY).cast("timestamp")) + n * 60 + hours * 3600)
+    date = F.concat(F.lit("<pubDate>"), F.date_format(local, "EEE, dd MMM yy HH:mm:ss "), name, F.lit("</pubDate>"))
+    body = F.concat(F.lit('<content type="xhtml"><div xmlns="http://www.w3.org/1999/xhtml"><p>'), F.md5(_text()), F.lit("</p> and <b>more</b></div></content>"))
+    entry = F.concat(F.lit("<item><title>t"), number, F.lit("</title>"), guid, date, body, F.lit("</item>"))
+    return _declared(views.documents(spark, sf_dir), "rss", F.concat(F.lit("<rss>"), _joined("doc_id", entry, "\n"), F.lit("</rss>")))
+
+
+_ZONES = [("GMT", 0), ("EST", -5), ("EDT", -4), ("CST", -6), ("MST", -7), ("PDT", -7), ("UT", 0)]
+_ODD_FEED_SQL = """
+o AS (SELECT doc_id, 't' || doc_id AS title, 'https://perma.example/' || doc_id AS guid, TIMESTAMP '2024-05-25' + to_minutes(doc_id) AS published_at,
+  CASE doc_id % 3 WHEN 0 THEN 'https://perma.example/' || doc_id WHEN 1 THEN '' ELSE 'https://feed.example/' || doc_id END AS url,
+  '<p>' || md5(coalesce(text, '')) || '</p> and <b>more</b>' AS content FROM documents)
+"""
+
+
+def feed_permalink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feed_items.items(odd_feed_sources(spark, sf_dir), views.run_ts())[0].select("title", "guid", "url")
+
+
+def feed_xhtml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feed_items.items(odd_feed_sources(spark, sf_dir), views.run_ts())[0].select("title", "content")
+
+
+def feed_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feed_items.items(odd_feed_sources(spark, sf_dir), views.run_ts())[0].select("title", _plain_time())
+
+
 def html_zero_yield(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw pages, whose links hold bare text: by the title rule none yields an item."""
-    rows = views.pages(spark, sf_dir).select(F.col("page_id").cast("int").alias("source_ord"), F.col("page_id").cast("string").alias("id"), "url", F.lit("en").alias("lang"), F.lit("moving").alias("section"), F.lit("").alias("selector"), F.lit("").alias("base_url"), F.col("html").alias("payload"))
+    """Raw pages, whose links hold bare text, so that by the title rule none yields an item; a card is put on every third."""
+    rows = views.pages(spark, sf_dir).select(F.col("page_id").cast("int").alias("source_ord"), F.col("page_id").cast("string").alias("id"), "url", F.lit("en").alias("lang"), F.lit("moving").alias("section"), F.lit("").alias("selector"), F.lit("").alias("base_url"), F.concat("html", F.when(F.col("page_id") % 3 == 0, '<a href="card"><h2>A card</h2></a>').otherwise("")).alias("payload"))
     found, _ = html_items.items(rows, views.run_ts())
     return html_items.zero_yield(rows, found)
 
@@ -266,6 +314,17 @@ def crawl_permission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_items.crawl_permission(pages, hosts.withColumn("body", F.lit(body)), "tidewell/1.0").select("page_id", "allowed")
 
 
+def crawl_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listing pages on three hosts: one forbids some paths, one all, one has no rules. Blocked sources are silent, not failed."""
+    number = F.col("source_ord") / 1_000_000
+    host = F.concat(F.lit("h"), (F.floor(number) % 3).cast("string"), F.lit(".example"))
+    pages = card_sources(spark, sf_dir).withColumn("url", F.concat(F.lit("https://"), host, F.lit("/list/"), (F.col("source_ord") % 1_000_000).cast("string")))
+    hosts = pages.select(urls.authority(F.col("url")).alias("host")).distinct().where("host <> 'h2.example'")
+    robots = hosts.withColumn("body", F.when(F.col("host") == "h0.example", "User-agent: *\nDisallow: /list/1").otherwise("User-agent: *\nAllow: /\n\nUser-agent: tidewell\nDisallow: /"))
+    done = pipeline.run(pages, views.run_ts(), robots=robots)
+    return done.source_report.select("source_id", "n_collected", "reason", "state")
+
+
 def declared_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registry entries as handed over: every source, with flaws in some."""
     rows = views.documents(spark, sf_dir).select("source").distinct().withColumn("n", _ordinal())
@@ -356,11 +415,14 @@ def entry_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def empty_config(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table of declarations none of which is valid gives no items and no reports."""
-    none = declared_entries(spark, sf_dir).withColumn("entry", F.create_map(F.lit("id"), F.lit("x")))
-    sources = registry.load(none).registry.withColumn("payload", F.lit(None).cast("string"))
-    done = pipeline.run(sources, views.run_ts())
-    return done.items.select("source_id", "guid").unionByName(done.source_report.select("source_id", F.col("state").alias("guid")))
+    """A run over declarations of which every third source's lack a key: those give no items and no reports."""
+    lists = json_sources(spark, sf_dir)
+    names = ("id", "type", "url", "lang", "section", "root_path", "url_template")
+    pairs = F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).alias("value")) for c in names], F.struct(F.lit("mapping").alias("key"), F.to_json("mapping").alias("value")))
+    flawed = F.floor(F.col("source_ord") / 1_000_000) % 3 == 0
+    entry = F.map_from_entries(F.filter(pairs, lambda x: ~flawed | (x["key"] != "section")))
+    sources = registry.load(lists.select("source_ord", entry.alias("entry"))).registry.join(lists.select("source_ord", "payload"), "source_ord")
+    return pipeline.run(sources, views.run_ts()).source_report.select("source_id", "n_collected", "state")
 
 
 def failure_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -380,11 +442,11 @@ def pipeline_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 _HTML_ROW = "source_id, guid, title, published_at, 'en' AS lang, 'moving' AS section, guid AS url, content"
 SQL = {
     "json_items": f"WITH {_JSON_SQL} SELECT source_id, doc_id::VARCHAR AS guid, title, published_at, 'en' AS lang, 'moving' AS section, 'https://papers.example/p/' || doc_id AS url, md5(content) AS content_md5, entry_ord FROM j WHERE good",
-    "json_path": "SELECT event_id, regexp_extract(props, '\"k\": ([0-9]+)', 1) AS k, NULL::VARCHAR AS deeper, NULL::VARCHAR AS absent FROM events",
+    "json_path": "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN '{\"deeper\":' || event_id || '}' ELSE regexp_extract(props, '\"k\": ([0-9]+)', 1) END AS k, CASE WHEN event_id % 4 = 0 THEN event_id::VARCHAR END AS deeper, NULL::VARCHAR AS absent FROM events",
     "json_root_explode": f"WITH {_JSON_SQL} SELECT source_id, entry_ord FROM j",
     "json_mapped_field": f"WITH {_JSON_SQL} SELECT source_id, entry_ord, CASE WHEN title = '' THEN '0' ELSE title END AS title, NULL::VARCHAR AS unmapped FROM j",
     "json_identity_filter": f"WITH {_JSON_SQL} SELECT CASE WHEN good THEN 'accepted' WHEN doc_id % 11 = 0 THEN 'no usable identifier' ELSE 'identifier is an object' END AS outcome, count(*) AS n FROM j GROUP BY 1",
-    "json_url_template": "SELECT doc_id, 'https://x.example/' || lang || '%2Fa%20b%2A' || doc_id || '?v={1}' AS url, true AS bad FROM documents",
+    "json_url_template": "SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN 'https://x.example/' || lang || '%2Fa%20b%2A' || doc_id || '?v={1}' END AS url, doc_id % 3 = 0 AS bad FROM documents",
     "json_dates": f"WITH {_JSON_SQL} SELECT source_id, entry_ord, published_at FROM j",
     "feed_entries": f"WITH {_FEED_SQL} SELECT source_id, entry_ord FROM f",
     "feed_repair": f"WITH {_FEED_SQL} SELECT source_id, entry_ord, title, true AS read FROM f WHERE contains(title, '&')",
@@ -392,6 +454,11 @@ SQL = {
     "feed_content": f"WITH {_FEED_SQL} SELECT source_id, entry_ord, md5(content) AS content_md5 FROM f",
     "feed_dates": f"WITH {_FEED_SQL} SELECT source_id, entry_ord, published_at FROM f",
     "feed_items": f"WITH {_FEED_SQL} SELECT source_id, guid, title, published_at, 'en' AS lang, 'moving' AS section, url, md5(content) AS content_md5, entry_ord FROM fi",
+    "feed_permalink": f"WITH {_ODD_FEED_SQL} SELECT title, guid, url FROM o",
+    "feed_xhtml": f"WITH {_ODD_FEED_SQL} SELECT title, content FROM o",
+    "feed_zones": f"WITH {_ODD_FEED_SQL} SELECT title, published_at FROM o",
+    "crawl_run": f"""WITH {_CARDS_SQL}, c AS (SELECT source_id, regexp_replace(split_part(source_id, '-', 1), '[^0-9]', '', 'g')::INT % 3 AS k, split_part(source_id, '-', 2) AS chunk, count(*) AS n FROM h GROUP BY 1),
+b AS (SELECT *, k = 1 OR (k = 0 AND chunk LIKE '1%') AS blocked FROM c) SELECT source_id, CASE WHEN blocked THEN 0 ELSE n END AS n_collected, '' AS reason, CASE WHEN blocked THEN 'silent' ELSE 'ok' END AS state FROM b""",
     "html_links": f"WITH {_LINKS_SQL} SELECT page_id, entry_ord, href FROM raw",
     "html_selector": f"WITH {_LINKS_SQL} SELECT page_id, entry_ord, href FROM raw WHERE contains(href, '/t')",
     "html_resolve": f"WITH {_LINKS_SQL} SELECT page_id, entry_ord, link FROM res",
@@ -401,7 +468,7 @@ SQL = {
     "html_titles": f"WITH {_CARDS_SQL} SELECT guid, title FROM h",
     "html_dates": f"WITH {_CARDS_SQL} SELECT guid, published_at FROM h",
     "html_excerpts": f"WITH {_CARDS_SQL} SELECT guid, content FROM h",
-    "html_zero_yield": "SELECT page_id::VARCHAR AS source_id FROM pages",
+    "html_zero_yield": "SELECT page_id::VARCHAR AS source_id FROM pages WHERE page_id % 3 > 0",
     "crawl_permission": "SELECT page_id, starts_with(p, '/fr/8') OR NOT (starts_with(p, '/fr') OR starts_with(p, '/de/1')) AS allowed FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*([^#]*)', 1) AS p FROM pages)",
     "registry_valid": f"WITH {_DECLARED_SQL} SELECT source_ord, id, type, 'https://x.example' AS url, 'en' AS lang, 'learn' AS section FROM good",
     "registry_rejects": f"WITH {_DECLARED_SQL} SELECT n AS source_ord, CASE WHEN n % 5 = 4 THEN 'missing key: section' WHEN n % 9 = 8 THEN 'unknown key: colour' ELSE 'priority is not a number' END AS reason FROM d WHERE n NOT IN (SELECT source_ord FROM good)",
@@ -414,11 +481,17 @@ UNION ALL SELECT id, 'id declared twice' FROM good GROUP BY id HAVING count(*) >
     "union_sources": f"{_MIXED_SQL} SELECT source_ord, source_id, guid, url FROM got",
     "source_isolation": f"{_MIXED_SQL} SELECT s.source_id, count(g.guid) AS n_collected, any_value(reason) AS reason, CASE WHEN any_value(reason) <> '' THEN 'failed' WHEN count(g.guid) = 0 THEN 'silent' ELSE 'ok' END AS state FROM src s LEFT JOIN got g USING (source_id) GROUP BY 1",
     "entry_quarantine": f"WITH {_JSON_SQL} SELECT source_id, entry_ord, CASE WHEN doc_id % 11 = 0 THEN 'no usable identifier' ELSE 'identifier is an object' END AS reason FROM j WHERE NOT good",
-    "empty_config": "SELECT source AS source_id, source AS guid FROM documents WHERE false",
+    "empty_config": f"WITH {_JSON_SQL} SELECT source_id, count(*) FILTER (good) AS n_collected, CASE WHEN count(*) FILTER (good) = 0 THEN 'silent' ELSE 'ok' END AS state FROM j WHERE regexp_replace(split_part(source_id, '-', 1), '[^0-9]', '', 'g')::INT % 3 > 0 GROUP BY 1",
     "failure_reason": "SELECT doc_id, 'ValueError: ' || CASE WHEN length(l) > 110 THEN left(l, 107) || '...' ELSE l END AS reason FROM (SELECT doc_id, trim(split_part(coalesce(text, ''), chr(10), 1), ' ') AS l FROM documents)",
     "item_contract": f"WITH {views.ITEMS_SQL} SELECT item_ord, 'published_at is null' AS problem FROM items WHERE entry_ord % 9 = 0",
-    "pipeline_run": _MIXED_SQL.replace("WITH ", "WITH ", 1) + """,
-kept AS (SELECT g.*, row_number() OVER (PARTITION BY coalesce(nullif(regexp_replace(g.url, '/+$', ''), ''), g.source_id || ':' || g.guid) ORDER BY s.priority DESC, g.source_ord, g.entry_ord) AS place FROM got g JOIN src s USING (source_id))
+    "pipeline_run": _MIXED_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """,
+items AS (SELECT *, row_number() OVER (ORDER BY source_ord, entry_ord, url) AS item_ord FROM got),
+keys AS (SELECT item_ord, 'url:' || regexp_replace(regexp_replace(url, '^https://', ''), '/+$', '') AS key FROM items WHERE url <> '' UNION ALL SELECT item_ord, 'guid:' || source_id || ':' || guid FROM items),
+hubs AS (SELECT item_ord, min(item_ord) OVER (PARTITION BY key) AS hub FROM keys),
+links AS (SELECT item_ord AS a, hub AS b FROM hubs WHERE item_ord <> hub UNION SELECT hub, item_ord FROM hubs WHERE item_ord <> hub),
+reach AS (SELECT item_ord AS node, item_ord AS label FROM items UNION SELECT l.b, r.label FROM reach r JOIN links l ON l.a = r.node AND r.label < l.b),
+classes AS (SELECT node AS item_ord, min(label) AS component FROM reach GROUP BY node),
+kept AS (SELECT i.*, row_number() OVER (PARTITION BY c.component ORDER BY s.priority DESC, i.item_ord) AS place FROM items i JOIN classes c USING (item_ord) JOIN src s USING (source_id))
 SELECT s.source_ord, s.source_id, any_value(s.type) AS type, count(k.guid) AS n_collected, count(*) FILTER (k.place = 1) AS n_retained,
   count(*) FILTER (abs(epoch_us(k.published_at) - epoch_us(TIMESTAMP '2024-06-01')) <= 90000000) AS n_approximate, any_value(reason) AS reason,
   CASE WHEN any_value(reason) <> '' THEN 'failed' WHEN count(k.guid) = 0 THEN 'silent' WHEN count(*) FILTER (k.place = 1) = 0 THEN 'absorbed' ELSE 'ok' END AS state

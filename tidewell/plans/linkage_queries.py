@@ -100,6 +100,28 @@ def conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.conservation(rows, linked.report)
 
 
+def _twice(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, linkage.Linked]:
+    """Every source declared twice: items of odd places come from the second declaration."""
+    linked, known = _linked(spark, sf_dir), views.registry(spark, sf_dir)
+    items = views.items(spark, sf_dir).withColumn("source_ord", F.col("source_ord") + (F.col("entry_ord") % 2 * 5000).cast("int"))
+    both = known.unionByName(known.withColumn("source_ord", F.col("source_ord") + 5000))
+    return report.source_report(both, items, linked.members.where("item_ord = winner_ord").select("source_id"), views.run_ts()), linked
+
+
+def twice_declared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _twice(spark, sf_dir)[0].select("source_ord", "source_id", "n_collected", "n_retained", "n_approximate", "state")
+
+
+def twice_declared_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, linked = _twice(spark, sf_dir)
+    return report.conservation(rows, linked.report)
+
+
+def twice_declared_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, linked = _twice(spark, sf_dir)
+    return report.report_lines(rows, linkage.summary(linked.report)).where("part = 0").select("line")
+
+
 _SUMMARY = """
 SELECT CASE WHEN coalesce((SELECT sum(losers) FROM lost), 0) = 0 THEN 'Deduplication: no duplicates.' ELSE
   'Deduplication: ' || (SELECT sum(losers) FROM lost)::VARCHAR || ' duplicate(s) removed - removed: '
@@ -112,7 +134,19 @@ rep AS (SELECT r.source_ord, r.id AS source_id, r.type, r.reason, coalesce(c.n,
   FROM registry r LEFT JOIN (SELECT source_id, count(*) AS n, count(*) FILTER (abs(epoch_us(published_at) - epoch_us(TIMESTAMP '2024-06-01')) <= 90000000) AS late FROM items GROUP BY 1) c ON c.source_id = r.id
   LEFT JOIN (SELECT source_id, count(*) AS n FROM ranked WHERE place = 1 GROUP BY 1) k ON k.source_id = r.id)
 """
+_TWICE = CLASSES_SQL + """,
+decl AS (SELECT * FROM registry UNION ALL SELECT source_ord + 5000, id, type, priority, reason FROM registry),
+found AS (SELECT source_ord + 5000 * (entry_ord % 2) AS source_ord, count(*) AS n, count(*) FILTER (abs(epoch_us(published_at) - epoch_us(TIMESTAMP '2024-06-01')) <= 90000000) AS late FROM items GROUP BY 1),
+kept AS (SELECT source_id, count(*) AS n FROM ranked WHERE place = 1 GROUP BY 1)
+"""
 SQL = {
+    "twice_declared": f"""WITH RECURSIVE {_TWICE} SELECT b.source_ord, b.id AS source_id, coalesce(f.n, 0) AS n_collected, coalesce(k.n, 0) AS n_retained, coalesce(f.late, 0) AS n_approximate,
+  CASE WHEN b.reason <> '' THEN 'failed' WHEN coalesce(f.n, 0) = 0 THEN 'silent' WHEN coalesce(k.n, 0) = 0 THEN 'absorbed' ELSE 'ok' END AS state
+  FROM decl b LEFT JOIN found f USING (source_ord) LEFT JOIN kept k ON k.source_id = b.id""",
+    "twice_declared_totals": f"""WITH RECURSIVE {_TWICE}, n AS (SELECT (SELECT count(*) FROM items) AS collected, (SELECT count(*) FROM ranked WHERE place = 1) AS retained, (SELECT coalesce(sum(losers), 0)::BIGINT FROM lost) AS losers)
+  SELECT collected, retained, losers, retained + losers = collected AS holds FROM n""",
+    "twice_declared_header": f"""WITH RECURSIVE {_TWICE}, n AS (SELECT (SELECT count(*) FROM items) AS collected, (SELECT count(*) FROM ranked WHERE place = 1) AS retained, (SELECT count(*) FROM decl) AS sources)
+  SELECT 'Collection: ' || retained || ' item(s) from ' || sources || ' source(s)' || CASE WHEN collected > retained THEN ' - ' || collected || ' collected, ' || (collected - retained) || ' duplicate(s) removed' ELSE '' END AS line FROM n""",
     "identity_keys": f"WITH {ITEMS_SQL} SELECT item_ord, 'url:' || norm AS key FROM items UNION ALL SELECT item_ord, 'guid:' || source_id || ':' || guid FROM items",
     "components": f"WITH RECURSIVE {CLASSES_SQL} SELECT item_ord, component FROM classes",
     "retained_items": f"WITH RECURSIVE {CLASSES_SQL} SELECT component AS first_ord, item_ord, i.source_id, guid, title, published_at, lang, url, md5(content) AS content_md5 FROM ranked JOIN items i USING (item_ord) WHERE place = 1",

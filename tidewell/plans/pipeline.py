@@ -20,16 +20,18 @@ class Run(NamedTuple):
     quarantine: DataFrame
 
 
-def run(sources: DataFrame | None, run_ts: Column, spark: SparkSession | None = None) -> Run:
+def run(sources: DataFrame | None, run_ts: Column, spark: SparkSession | None = None, robots: DataFrame | None = None) -> Run:
     """Collect, link and report. ``sources`` are registry rows with ``payload``; None (no configuration) gives empty results.
 
+    ``robots`` (``host, body``) holds landed crawl rules; without it every page is allowed.
+
     Retained items carry ``first_ord``, by which they are ordered.
     """
     if sources is None:
         empty = [spark.createDataFrame([], s) for s in (schemas.ORDERED_ITEM, schemas.SOURCE_REPORT, schemas.DEDUP_REPORT)]
         return Run(*empty, spark.createDataFrame([], payloads.REJECT))
-    found, rejects, judged = payloads.collect(sources, run_ts)
-    items, _ = materialize(found, "items")
+    items, rejects, judged = payloads.collect(sources, run_ts, robots)
+    judged, _ = materialize(judged, "judged")  # failures are found by parsing payloads
     linked = linkage.link(items, linkage.last_priorities(judged))
     return Run(linked.retained, report.source_report(judged, items, linked.retained, run_ts), linked.report, rejects)
 

@@ -2,12 +2,13 @@
 
 Intermediate results that cut a lineage are Parquet tables in the folder that the cluster
 names in ``spark.checkpoint.dir``; every executor and the driver can read them, so losing an
-executor never loses one. Only where that setting is absent (tests) a local folder is made.
+executor never loses one. Only in local mode (tests) a local folder is made where that is unset.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -34,9 +35,11 @@ def build_session(app: str = "tidewell", master: str | None = None, **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder; a temporary one where none is configured."""
+    """The cluster's shared scratch folder. In local mode, where none is configured, a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own_dir:
             _own_dir.append(tempfile.mkdtemp(prefix="tidewell-"))
             atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)

@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell import schemas
-from tidewell.operators import feed_items, html_items, json_items
+from tidewell.operators import common, feed_items, html_items, json_items
+from tidewell.session import materialize
 
-#: A connector maps payloads joined to their sources, and the run's instant, to items and rejected entries.
-CONNECTORS: dict[str, Callable[[DataFrame, Column], tuple[DataFrame, DataFrame]]] = {
-    "rss": feed_items.items,
-    "json": json_items.items,
-    "scrape": html_items.items,
+#: A connector maps payloads joined to their sources, and the run's instant, to entries, rejected ones with ``reject``.
+CONNECTORS: dict[str, Callable[[DataFrame, Column], DataFrame]] = {
+    "rss": feed_items.judged,
+    "json": json_items.judged,
+    "scrape": html_items.judged,
 }
+#: Name under which pages are crawled.
+AGENT = "tidewell"
 REJECT = "source_id string, source_ord int, entry_ord bigint, reason string"
 
 
@@ -50,16 +53,20 @@ def failure(type_: Column, payload: Column) -> Column:
     )
 
 
-def collect(sources: DataFrame, run_ts: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+def collect(sources: DataFrame, run_ts: Column, robots: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Items of all sources, rejected entries, and sources with their failure ``reason``.
 
     ``sources`` are registry rows with ``payload``. A source that fails, or an entry that is
-    rejected, never takes others with it. Items carry ``source_ord, entry_ord, item_ord``.
+    rejected, never takes others with it. With ``robots`` (``host, body``), a page whose host forbids
+    it yields nothing, without being a failure. Every payload is parsed once: entries are
+    written as a table and then split. Items carry ``source_ord, entry_ord, item_ord``.
     """
-    spark = sources.sparkSession
     judged = sources.withColumn("reason", failure(F.col("type"), F.col("payload")))
-    items, rejects = spark.createDataFrame([], schemas.ORDERED_ITEM), spark.createDataFrame([], REJECT)
+    open_pages = judged if robots is None else html_items.crawl_permission(judged, robots, AGENT).where("allowed or type <> 'scrape'").drop("allowed")
+    columns = ["source_id", "source_ord", "entry_ord", "guid", "title", "published_at", "lang", "section", "url", "content", "reject"]
+    parts = []
     for kind, connector in CONNECTORS.items():
-        own, bad = connector(judged.where((F.col("type") == kind) & (F.col("reason") == "")), run_ts)
-        items, rejects = items.unionByName(own), rejects.unionByName(bad)
-    return items, rejects, judged.drop("payload")
+        entries = connector(open_pages.where((F.col("type") == kind) & (F.col("reason") == "")), run_ts)
+        parts.append(entries.withColumn("entry_ord", F.col("entry_ord").cast("bigint")).select(*columns))
+    entries, _ = materialize(reduce(DataFrame.unionByName, parts), "entries")
+    return *common.split(entries), judged.drop("payload")
