@@ -4,21 +4,23 @@ Arrivals are a slim log ``(row digest, stable id, content locator)``: texts neve
 stream. A streaming aggregation keyed by digest keeps, in RocksDB and without a watermark (so
 without expiry), the smallest document id, the locator of that document's content and the
 number of rows. Spark sums per task before the shuffle, so a digest that a third of all rows
-share costs one row per task. Hits, that is rows whose digest occurs more than once, are then
-compared in full with the text that the locator names; rows that differ (a digest collision)
-are grouped again by their whole text.
+share costs one row per task. Every micro-batch then checks its hits, that is the rows whose digest
+occurs more than once: they are compared in full with the text that the locator names; rows that
+differ (a digest collision) are grouped again by their whole text.
 
-Production feeds call :func:`ingest` with their own streaming arrival log and a lasting state
-folder: each run consumes what is new, and the state outlives it.
+Production feeds call :func:`ingest` with their own streaming arrival log, a lasting state
+folder and a check: each run consumes what is new, and the state outlives it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.tables import SPACE
-from tidewell.session import materialize, scratch_path
+from tidewell.llm.tables import SPACE, join_groups, without
+from tidewell.session import drop_path, materialize, scratch_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Set while a stream starts: disk-backed state with one memory bound for all stores of an executor.
@@ -32,10 +34,8 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.maintenanceInterval": "15s",
 }
-#: Rows of one group of copies that one salt takes when texts are compared.
-ROWS_PER_SALT = 512
 #: Groups of copies, of about 150 bytes each, that are broadcast at most when hits are compared.
-BROADCAST_GROUPS = 200_000
+BROADCAST_GROUPS = 50_000
 
 
 def normalised(text: Column) -> Column:
@@ -49,11 +49,14 @@ def arrivals(docs: DataFrame, digest_chars: int = 64) -> DataFrame:
     return hashed.withColumn("digest", F.left("text_sha256", F.lit(digest_chars)))
 
 
-def ingest(log: DataFrame, state_dir: str, index_dir: str, trigger: dict | None = None) -> None:
+def ingest(log: DataFrame, state_dir: str, index_dir: str, trigger: dict | None = None, check: Callable[[DataFrame, int], None] | None = None) -> None:
     """Run the stateful stream over the streaming arrival log until it has consumed what is there.
 
     Appends to ``index_dir``, for each micro-batch, the state of every digest it touched:
-    ``digest, keep_id, locator, n, batch``. Exactly-once: a replayed batch overwrites its own folder.
+    ``digest, keep_id, locator, n, batch``, and then calls ``check`` with those that occurred more
+    than once and the batch's number. Exactly-once: a replayed batch overwrites its own folder
+    and is checked again. Settings of the state store are changed in the log's session while the
+    stream runs, and put back.
     """
     spark = log.sparkSession
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "locator")
@@ -62,6 +65,8 @@ def ingest(log: DataFrame, state_dir: str, index_dir: str, trigger: dict | None
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{index_dir}/batch={number}")
+        if check:
+            check(spark.read.schema(batch.schema).parquet(f"{index_dir}/batch={number}").where("n > 1"), number)
 
     before = {key: spark.conf.get(key, None) for key in STATE_CONF}
     for key, value in STATE_CONF.items():
@@ -80,19 +85,6 @@ def digest_index(spark: SparkSession, index_dir: str) -> DataFrame:
     return written.groupBy("digest").agg(F.max(F.struct("batch", "keep_id", "locator", "n")).alias("s")).select("digest", "s.keep_id", "s.locator", "s.n")
 
 
-def _width(n: Column) -> Column:
-    """Number of salts of a group of ``n`` rows."""
-    return F.ceil(n / F.lit(ROWS_PER_SALT)).cast("int")
-
-
-def _salt(width: Column) -> Column:
-    return F.when(width > 1, F.pmod(F.xxhash64("doc_id"), width)).otherwise(0).cast("int")
-
-
-def _per_salt(groups: DataFrame) -> DataFrame:
-    return groups.withColumn("salt", F.explode(F.sequence(F.lit(0), _width(F.col("n")) - 1)))
-
-
 def exact_dedup(docs: DataFrame, digest_chars: int = 64, files_per_batch: int | None = None) -> DataFrame:
     """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
@@ -107,40 +99,57 @@ def exact_dedup(docs: DataFrame, digest_chars: int = 64, files_per_batch: int |
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     log, log_dir = materialize(arrivals(docs, digest_chars), "arrivals")
-    index_dir = scratch_path(spark, "digests")
+    index_dir, state_dir, collided_dir = (scratch_path(spark, x) for x in ("digests", "state", "collided"))
+
+    def check(touched: DataFrame, number: int) -> None:
+        differing(docs, touched, digest_chars).write.mode("overwrite").parquet(f"{collided_dir}/batch={number}")
+
     stream = spark.readStream.schema(log.schema)
     stream = stream.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else stream
-    ingest(stream.parquet(log_dir), scratch_path(spark, "state"), index_dir)
+    ingest(stream.parquet(log_dir), state_dir, index_dir, check=check)
     groups, _ = materialize(digest_index(spark, index_dir).where("n > 1"), "groups")
-
-    collided, regrouped = _checked(docs, groups, digest_chars)
-    if collided is not None:
-        groups = groups.join(collided, "digest", "left_anti")
-    large = groups.where(F.col("n") > ROWS_PER_SALT).select("digest", _width(F.col("n")).alias("width"))
-    rows = log.join(large, "digest", "left").withColumn("salt", _salt(F.coalesce("width", F.lit(1))))
-    found = rows.join(_per_salt(groups.select("digest", "keep_id", "n")), ["digest", "salt"], "left")
-    if collided is not None:
-        found = found.join(regrouped, "doc_id", "left").withColumn("keep_id", F.coalesce("own_keep_id", "keep_id")).withColumn("n", F.coalesce("own_n", "n"))
+    for used in (state_dir, index_dir):
+        drop_path(spark, used)
+
+    collided = spark.read.schema("digest string, batch long").parquet(collided_dir).select("digest").distinct()
+    any_collided, rows = bool(collided.take(1)), log.drop("locator")
+    if any_collided:
+        rows, groups = rows.join(collided, "digest", "left_anti"), groups.join(collided, "digest", "left_anti")
+    found = join_groups(rows, groups.select("digest", "keep_id", "n"), "digest", log.count(), ["doc_id"]).select("doc_id", "keep_id", "n", "text_sha256")
+    if any_collided:
+        body = normalised(F.col("text"))
+        those = docs.select("doc_id", body.alias("body"), F.left(F.sha2(body, 256), F.lit(digest_chars)).alias("digest")).join(collided, "digest", "left_semi")
+        own = those.groupBy("body").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
+        found = found.unionByName(join_groups(those, own, "body", log.count(), ["doc_id"]).select("doc_id", "keep_id", "n", F.sha2("body", 256).alias("text_sha256")))
     keep = F.coalesce("keep_id", "doc_id")
     return found.select("doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
 
 
-def _checked(docs: DataFrame, groups: DataFrame, digest_chars: int) -> tuple[DataFrame | None, DataFrame | None]:
-    """Compare every hit in full with the text that the state's locator names.
+def differing(docs: DataFrame, groups: DataFrame, digest_chars: int = 64) -> DataFrame:
+    """The digests (``digest``) of ``groups`` under which whole texts of ``docs`` differ.
 
-    Returns the digests under which texts differ and, for their rows, groups by whole text;
-    ``(None, None)`` if every hit agrees. Only the texts of hits are shuffled where the groups
-    are few enough to be broadcast (checked by count); beyond that the texts join by digest.
+    ``groups`` is ``digest, keep_id, locator, n``. Every row of a group is compared with the text that
+    the locator names. Only texts of hits are shuffled where the groups are few enough to be
+    broadcast (checked by count); beyond that texts join by digest, hot digests salted.
     """
-    few = groups.count() <= BROADCAST_GROUPS
-    body = normalised(F.col("text"))
+    size = groups.agg(F.count(F.lit(1)), F.sum("n")).first()
+    total, body = size[1] or 0, normalised(F.col("text"))
     rows = docs.select("doc_id", F.input_file_name().alias("at"), body.alias("body")).withColumn("digest", F.left(F.sha2("body", 256), F.lit(digest_chars)))
-    hits = rows.join(F.broadcast(groups) if few else groups, "digest").withColumn("salt", _salt(_width(F.col("n"))))
-    kept = hits.where("doc_id = keep_id and at = locator").groupBy("digest", "n").agg(F.first("body").alias("kept_body"))
-    unequal = hits.select("digest", "salt", "body").join(_per_salt(kept).select("digest", "salt", "kept_body"), ["digest", "salt"]).where("body <> kept_body")
-    collided, _ = materialize(unequal.select("digest").distinct(), "collided")
-    if not collided.take(1):
-        return None, None
-    those = hits.join(collided, "digest", "left_semi")
-    own = those.groupBy("body").agg(F.min("doc_id").alias("own_keep_id"), F.count(F.lit(1)).alias("own_n"))
-    return collided, those.select("doc_id", "body").join(own, "body").select("doc_id", "own_keep_id", "own_n").distinct()
+    if size[0] <= BROADCAST_GROUPS:
+        hits = rows.join(F.broadcast(groups), "digest")
+    else:
+        hits = join_groups(rows, groups, "digest", total, ["doc_id", "at"]).where("n is not null")
+    kept = hits.where("doc_id <=> keep_id and at = locator").groupBy("digest", "n").agg(F.first("body").alias("kept_body"))
+    compared = join_groups(hits.select("doc_id", "at", "digest", "body"), kept, "digest", total, ["doc_id", "at"])
+    return compared.where("body <> kept_body").select("digest").distinct()
+
+
+def without_copies(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` less copies: of equal texts one row stays, that of the smallest ``doc_id``.
+
+    Rows without an id stay only where their text has no named row, and then one of them. Of rows
+    that repeat with id and text one stays. An empty table stays empty.
+    """
+    found, _ = materialize(exact_dedup(docs).select("doc_id", F.xxhash64("text_sha256").alias("version"), "kept"), "verdicts")
+    twins = found.where("kept").groupBy("doc_id", "version").count().where("count > 1").drop("count")
+    return without(docs, F.xxhash64(F.sha2(normalised(F.col("text")), 256)), found.where("not kept").select("doc_id", "version").distinct(), twins)
