@@ -140,7 +140,7 @@ def differing(docs: DataFrame, groups: DataFrame, digest_chars: int = 64) -> Dat
     else:
         hits = join_groups(rows, groups, "digest", total, ["doc_id", "at"]).where("n is not null")
     kept = hits.where("doc_id <=> keep_id and at = locator").groupBy("digest", "n").agg(F.first("body").alias("kept_body"))
-    compared = join_groups(hits.select("doc_id", "at", "digest", "body"), kept, "digest", total, ["doc_id", "at"])
+    compared = join_groups(hits.select("doc_id", "at", "digest", "body"), kept, "digest", total, ["doc_id", "at"], groups)
     return compared.where("body <> kept_body").select("digest").distinct()
 
 

@@ -69,16 +69,17 @@ def bounded_sample(df: DataFrame, key: str, limit: int, salt: int = 0) -> DataFr
 HOT = 1024
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, total: int, by: list[str]) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, total: int, by: list[str], sized: DataFrame | None = None) -> DataFrame:
     """Left join of ``rows`` with ``groups``, which has one row per ``key`` and its number ``n`` of rows.
 
     Hot keys are salted: their rows are dealt by a hash of the columns ``by``, their group is
     repeated per salt. With ``total`` rows in all, at most ``HOT`` keys are hot, so what says
-    which ones is broadcast, and at most twice as many rows are added.
+    which ones is broadcast, and at most twice as many rows are added. ``sized`` may give keys and
+    numbers from a table that is cheaper to read.
     """
     least = max(1, total // HOT)
     width = F.greatest(F.ceil(F.col("n") / least), F.lit(1)).cast("int")
-    hot = groups.where(F.col("n") > least).select(key, width.alias("_width"))
+    hot = (groups if sized is None else sized).where(F.col("n") > least).select(key, width.alias("_width"))
     salted = rows.join(F.broadcast(hot), key, "left")
     salted = salted.withColumn("_salt", F.when(F.col("_width").isNotNull(), F.pmod(F.xxhash64(*by), F.col("_width"))).otherwise(0).cast("int")).drop("_width")
     repeated = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > least, width).otherwise(1) - 1)))
