@@ -118,6 +118,11 @@ PUBLISHED = [
     ("BSD-ASIS", f"this software is provided by the regents and contributors {_MERCHANT}"),
     ("ISC-PERM", f"permission to use copy modify and or distribute {_APPEAR}"),
     ("ISC-PERM", f"permission to use copy modify and distribute {_APPEAR}"),
+    ("CC0-TITLE", "cc0 1 0 universal"),
+    ("ZLIB-PERM", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
+    ("ZLIB-ALTER", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("BOOST-TITLE", "boost software license version 1 0 august 17th 2003"),
+    ("BOOST-LIC", "distributed under the boost software license version 1 0"),
 ]
 PUBLISHED_RULES = [
     ("Apache-2.0", ["APACHE-TITLE"], 1.0),
@@ -141,8 +146,20 @@ PUBLISHED_RULES = [
     ("AGPL-3.0", ["GPL-FREE", "AGPL3-REDIST"], 1.0),
     ("AGPL-3.0", ["GPL-FREE", "AGPL-REDIST", "V3-LATER"], 1.0),
     ("MPL-2.0", ["MPL-TITLE"], 0.9),
-    ("BSD-2-Clause", ["BSD-REDIST", "BSD-ASIS"], 1.0),
+    ("BSD-2-Clause", ["BSD-REDIST", "BSD-ASIS"], 0.9),
+    ("BSD-3-Clause", ["BSD-REDIST", "BSD-NAME", "BSD-ASIS"], 1.0),
+    ("CC0-1.0", ["CC0-TITLE"], 1.0),
+    ("Zlib", ["ZLIB-PERM", "ZLIB-ALTER"], 1.0),
+    ("BSL-1.0", ["BOOST-TITLE"], 1.0),
+    ("BSL-1.0", ["BOOST-LIC"], 0.9),
 ]
+
+
+def rule_pattern(name: str, keys: list[str], rules: list[tuple]) -> str:
+    """A pattern for the comma-framed identifier sequence: the keys in order, with only identifiers of the same licence between."""
+    own = "|".join(sorted({k for n, all_keys, _ in rules if n == name for k in all_keys}))
+    return "," + f",(?:(?:{own}),)*".join(keys) + ","
+
 #: "v. 2.0" is no sentence end, nor is it at the end of a wrapped line.
 _VERSION = r"(?<![a-z0-9])(v|ver|vers)\.[\x20\x09]*(?:\r?\n[\x20\x09#*/;%-]*)?(?=[0-9])"
 
@@ -176,7 +193,7 @@ def scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: list[tup
     found = docs.select("doc_id", F.transform(parts, lambda s: F.element_at(known, F.replace(s, F.lit(" N "), F.lit(" ")))).alias("keys"))
     line = F.concat(F.lit(","), F.array_join("keys", ","), F.lit(","))
     found = found.select("doc_id", F.array_join("keys", ",").alias("sentence_ids"), line.alias("line"))
-    hits = [F.when(F.contains("line", F.lit("," + ",".join(keys) + ",")), F.struct((-F.lit(float(sure))).alias("rank"), F.lit(name).alias("name"))) for name, keys, sure in rules]
+    hits = [F.when(F.regexp_like("line", F.lit(rule_pattern(name, keys, rules))), F.struct((-F.lit(float(sure))).alias("rank"), F.lit(name).alias("name"))) for name, keys, sure in rules]
     matched = F.when(F.col("sentence_ids") == "", F.array().cast("array<struct<rank:double,name:string>>")).otherwise(F.array_compact(F.array(*hits)))
     found = found.select("doc_id", "sentence_ids", matched.alias("matched"))
     best = F.array_min("matched")
@@ -192,14 +209,14 @@ def scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: list[tup
 def oracle_sql() -> str:
     """The same over ``documents`` in DuckDB."""
     known = ", ".join(f"('{k}', '{s}')" for k, s in SENTENCES.items())
-    rules = ", ".join(f"('{name}', ',{','.join(keys)},', {sure})" for name, keys, sure in RULES)
+    rules = ", ".join(f"('{name}', '{rule_pattern(name, keys, RULES)}', {sure})" for name, keys, sure in RULES)
     return rf"""
 WITH known(id, sentence) AS (VALUES {known}), rules(name, keys, sure) AS (VALUES {rules}),
 parts AS (SELECT doc_id, unnest(p) AS part, generate_subscripts(p, 1) AS pos
           FROM (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '\n|[.;:!?][\x20\x09]+') AS p FROM documents)),
 seq AS (SELECT doc_id, string_agg(id, ',' ORDER BY pos) AS ids FROM parts JOIN known
         ON sentence = trim(regexp_replace(lower(part), '[^a-z0-9]+', ' ', 'g')) GROUP BY doc_id),
-hits AS (SELECT doc_id, name, max(sure) AS sure FROM seq JOIN rules ON contains(',' || ids || ',', keys) GROUP BY ALL),
+hits AS (SELECT doc_id, name, max(sure) AS sure FROM seq JOIN rules ON regexp_matches(',' || ids || ',', keys) GROUP BY ALL),
 best AS (SELECT doc_id, string_agg(name, ',' ORDER BY name) AS licenses, arg_min(name, (-sure, name)) AS license, max(sure) AS confidence FROM hits GROUP BY doc_id)
 SELECT d.doc_id, coalesce(ids, '') AS sentence_ids, coalesce(licenses, '') AS licenses, license, coalesce(confidence, 0)::DOUBLE AS confidence
 FROM documents d LEFT JOIN seq USING (doc_id) LEFT JOIN best USING (doc_id)
