@@ -56,6 +56,9 @@ def test_pii_base(spark, monkeypatch):
         assert [got[i].n_email, got[i].n_ip, got[i].n_card, got[i].n_phone] == [sum(s[0] == k for s in spans) for k in BASE]
         assert got[i].base_sha256 == hashlib.sha256(",".join("%s:%d:%d" % s for s in spans).encode()).hexdigest(), repr(text)
         assert {"%s:%d:%d" % s for s in spans} <= set(got[i].spans.split(","))
+        assert len(got[i].spans.split(",")) == len(got[i].scores.split(","))
+    monkeypatch.setattr(tables, "documents", lambda *_: spark.createDataFrame([(1, "write to a@b.co"), (2, "see a@b.co here"), (3, "call +1 555 010 9999"), (4, "see +1 555 010 9999")], "doc_id long, text string"))
+    assert {r.doc_id: r.scores for r in catalog.op9_pii(spark, "").collect()} == {1: "1.0", 2: "0.9", 3: "0.95", 4: "0.6"}
 
 
 def test_pii_added_and_redacted(spark):

@@ -53,7 +53,8 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect(tables.documents(spark, sf_dir).select("doc_id", "text")).drop("text")
     counts = [F.size(F.filter("pii", pii.is_kind(k))).cast("long").alias(f"n_{k}") for k in pii.BASE]
     base = F.filter("pii", pii.is_kind(*pii.BASE))
-    return found.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("pii")).alias("spans"))
+    scores = F.array_join(F.transform("pii", lambda x: F.round(x["score"], 2).cast("string")), ",")  # of the spans, in their order
+    return found.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("pii")).alias("spans"), scores.alias("scores"))
 
 
 def op10_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
