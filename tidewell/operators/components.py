@@ -2,7 +2,7 @@
 
 Kiveris et al., "Connected Components in MapReduce and Beyond", SoCC 2014. Each round is two
 aggregations with map-side combine and two joins back on the node; every intermediate has at
-most as many rows as the edge set, so one node that touches a third of all edges costs a
+most as many rows as the edge set (repeats of a large star go in the small star that follows), so one node that touches a third of all edges costs a
 skewed join that AQE splits, never a quadratic expansion.
 """
 
@@ -17,7 +17,7 @@ from tidewell.session import drop_path, materialize
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -41,13 +41,14 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     empty result. Nodes without an edge do not appear: the caller supplies ``component = node``.
     """
     spark = edges.sparkSession
-    ends, _ = materialize(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null"), "ends")
-    nodes_of_loops = ends.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("component"))
-    current = ends.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    current, path = materialize(current, "edges")
+    ends = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
+    ends, _ = materialize(ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    nodes_of_loops = ends.where("u = v").select(F.col("u").alias("node"), F.col("v").alias("component"))
+    current, path = ends.where("u <> v"), None
     while not _is_forest_of_stars(current):
         after, new_path = materialize(_small_star(_large_star(current)), "edges")
-        drop_path(spark, path)
+        if path:
+            drop_path(spark, path)
         current, path = after, new_path
     labelled = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("component"))

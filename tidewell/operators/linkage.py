@@ -14,12 +14,12 @@ from tidewell.session import materialize
 
 def identity_keys(items: DataFrame) -> DataFrame:
     """``item_ord, key``: the normalised URL and the source-scoped guid of each item, as far as it has them."""
-    url, guid = urls.normalise(F.col("url")), F.coalesce("guid", F.lit(""))
+    read = items.select("item_ord", "source_id", urls.normalise(F.col("url")).alias("url"), F.coalesce("guid", F.lit("")).alias("guid"))
     keys = F.array_compact(F.array(
-        F.when(url != "", F.concat(F.lit("url:"), url)),
-        F.when(guid != "", F.concat(F.lit("guid:"), F.coalesce("source_id", F.lit("")), F.lit(":"), guid)),
+        F.when(F.col("url") != "", F.concat(F.lit("url:"), "url")),
+        F.when(F.col("guid") != "", F.concat(F.lit("guid:"), F.coalesce("source_id", F.lit("")), F.lit(":"), "guid")),
     ))
-    return items.select("item_ord", F.explode(keys).alias("key"))
+    return read.select("item_ord", F.explode(keys).alias("key"))
 
 
 def classes(items: DataFrame) -> DataFrame:
