@@ -46,6 +46,74 @@ def test_edges(spark, module, column):
     assert module.classify(cases.empty(spark), some).count() == 0
 
 
+def test_word_vectors_against_slow_sums(spark):
+    docs = tables.documents(spark, f"{compare.DATA}/sf0.001").repartition(5)
+    texts = [r.text or "" for r in docs.collect()]
+    places, signs = quality.random_vectors()
+    sums = np.zeros((quality.BUCKETS, quality.DIMENSIONS))
+    for text in texts:
+        ids = quality.tokens(text).tolist()
+        for i, word in enumerate(ids):
+            for j in (i - 2, i - 1, i + 1, i + 2):
+                if 0 <= j < len(ids):
+                    for place, sign in zip(places[ids[j]], signs[ids[j]]):
+                        sums[word, place] += sign
+    common = [sum(row[d] for row in sums) / np.abs(sums).sum() for d in range(quality.DIMENSIONS)]
+    got = quality.word_vectors(docs)
+    for bucket in {b for text in texts[:40] for b in quality.tokens(text).tolist()}:
+        own = sums[bucket] - np.array(common) * np.abs(sums[bucket]).sum()
+        assert np.allclose(got[bucket], own / (np.sqrt((own**2).sum()) + 1e-9), atol=1e-5)
+    ids = quality.tokens(texts[0])
+    rows = [got[b].astype(float) for b in ids]
+    mean = sum(rows) / len(rows)
+    spread = np.sqrt(sum((r - mean) ** 2 for r in rows) / len(rows))
+    likeness = sum(a @ b for a, b in zip(rows, rows[1:])) / (len(rows) - 1)
+    assert np.allclose(quality.pooled(ids, got), [*mean, *spread, likeness, np.log(1 + len(rows))], atol=1e-4)
+
+
+def test_quality_network_against_finite_differences():
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (14, 3))
+    y = (x[:, 0] + rng.normal(0, 0.5, 14) > 0).astype(float)
+    slow, trained = (quality.Network(x, y, hidden=4, epochs=n) for n in (0, 5))
+    z = (x - x.mean(axis=0)) / (x.std(axis=0) + 1e-6)
+
+    def loss(w):
+        logit = np.tanh(z @ w[0] + w[1]) @ w[2] + w[3]
+        return np.log(1 + np.exp(np.where(y > 0, -logit, logit))).mean() + 0.5e-4 * sum((a**2).sum() for a in w)
+
+    first, second = [0 * w for w in slow.w], [0 * w for w in slow.w]
+    for step in range(1, 6):  # Adam, one batch a step
+        slopes = [np.zeros(w.shape) for w in slow.w]
+        for w, g in zip(slow.w, slopes):
+            for at in np.ndindex(w.shape):
+                w[at] += 1e-5
+                up = loss(slow.w)
+                w[at] -= 2e-5
+                g[at] = (up - loss(slow.w)) / 2e-5
+                w[at] += 1e-5
+        for j, g in enumerate(slopes):
+            first[j], second[j] = 0.9 * first[j] + 0.1 * g, 0.999 * second[j] + 0.001 * g**2
+            slow.w[j] = slow.w[j] - 0.01 * first[j] / (1 - 0.9**step) / (np.sqrt(second[j] / (1 - 0.999**step)) + 1e-8)
+    assert all(np.allclose(a, b, atol=1e-5) for a, b in zip(slow.w, trained.w))
+
+
+def test_temperature_has_the_least_loss():
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, (300, 3))
+    y = (x[:, 0] + rng.normal(0, 1, 300) > 0).astype(float)
+    net = quality.Network(x[:100], y[:100])
+    net.w[2], net.w[3] = 5 * net.w[2], 5 * net.w[3]  # too sure of itself
+    net.calibrate(x[100:], y[100:])
+
+    def loss(t):
+        p = 1 / (1 + np.exp(-net.logit(x[100:]) / t))
+        return -np.mean(np.log(np.where(y[100:] > 0, p, 1 - p) + 1e-300))
+
+    assert net.temperature > 1 and all(loss(net.temperature) <= loss(t) + 1e-9 for t in (0.25, 0.5, 1, 8, net.temperature * 1.1, net.temperature / 1.1))
+    assert np.allclose(net.score(x), 1 / (1 + np.exp(-np.clip(net.logit(x) / net.temperature, -30, 30))))
+
+
 def small_risk(seed=0):
     rng = np.random.default_rng(seed)
     p, u = rng.normal(1, 1, (7, 5)), rng.normal(0, 1, (11, 5))
