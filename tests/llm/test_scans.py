@@ -71,6 +71,43 @@ def test_pii_added_and_redacted(spark):
     assert [r.pii for r in alone.collect()] == [[], []] and pii.redact(alone).orderBy("doc_id").collect()[1].text is None
 
 
+def slow_secrets(text):
+    """Keys and tokens with a context word within 40 characters, up to the neighbouring proposals."""
+    found = list(re.finditer(r"(?<![A-Za-z0-9_+/.-])[A-Za-z0-9_+/-]{20,}(?![A-Za-z0-9_+/-])(?!@|\.[A-Za-z0-9])", text))
+    out = []
+    for i, m in enumerate(found):
+        before = text[max(found[i - 1].end() if i else 0, m.start() - 40) : m.start()]
+        after = text[m.end() : min(found[i + 1].start() if i + 1 < len(found) else len(text), m.end() + 40)]
+        v = m[0]
+        real = len(v) <= 512 and re.search("[0-9]", v) and re.search("[A-Za-z]", v) and re.search("[A-Za-z0-9]{12}", v) and len(set(v)) >= 10
+        if real and re.search(rf"(?i)\b(?:{pii.CONTEXT['secret']})", before + " " + after):
+            out.append((m.start(), m.end()))
+    return out
+
+
+def test_pii_secrets(spark):
+    rng = random.Random(3)
+    hexes, mixed = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    rows = [
+        'deploy with token = "9b0b3c6a43eb78aa99cbd7049c572391524f37a8".',
+        "api_key=sk_live_51HqLyjWDarjtT1zdp7dc then more",
+        "commit 9b0b3c6a43eb78aa99cbd7049c572391524f37a8 fixed it",
+        "the key is aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa1 here",
+        "key points of some-long-and-winding-page-name-2020",
+        "token 9b0b3c6a43eb78aa99cbd7049c572391524f37a8@mail.example.org",
+        "key " + "a1b2c3d4e5f6" * 100,
+        "é😀 secret: QWxhZGRpbjpvcGVuIHNlc2FtZQ1x/+ab",
+    ]
+    for _ in range(200):
+        parts = [rng.choice(["token", "the", "key", "of", "plain words " * 5, "".join(rng.choices(hexes, k=rng.randint(15, 45))), "".join(rng.choices(mixed, k=rng.randint(15, 30))), "=", "é"]) for _ in range(8)]
+        rows.append(rng.choice([" ", "", ": ", "."]).join(parts))
+    table = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: [(s.start, s.end) for s in r.pii if s.kind == "secret"] for r in pii.detect(table).collect()}
+    assert got == {i: slow_secrets(t) for i, t in enumerate(rows)}
+    assert [len(got[i]) for i in range(8)] == [1, 1, 0, 0, 0, 0, 0, 1]
+    assert pii.redact(pii.detect(table)).where("doc_id = 0").first().text == 'deploy with token = "<SECRET>".'
+
+
 def test_pii_edges(spark):
     out = pii.redact(pii.detect(cases.edges(spark).withColumn("pii", F.lit(1))))
     assert out.columns == ["doc_id", "text", "score"] and out.count() == len(cases.EDGES)

@@ -25,6 +25,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])",
+    "secret": r"(?<![A-Za-z0-9_+/.-])[A-Za-z0-9_+/-]{20,}+(?!@|\.[A-Za-z0-9])",
 }
 BASE = ("email", "ip", "card", "phone")
 #: A character that every proposal of the kind holds; texts without it are not searched.
@@ -37,13 +38,18 @@ CONTEXT = {
     "phone": "phone|tel|call|mobile|fax|cell",
     "iban": "iban|bank|account|konto|compte|cuenta",
     "ssn": "ssn|social|security|taxpayer",
+    "secret": "token|secret|key|api|auth|bearer|credential|password|passwd|pwd",
 }
 #: Score of a span before context: confirmed by a checksum or rich in form, or by form alone.
-PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.4}
+PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.4, "secret": 0.3}
 #: What a context word adds, how many characters around a span (up to the next
 #: span of its kind) are looked at, and the least score of an added kind.
 BOOST, NEAR, LEAST = 0.35, 40, 0.5
 
+#: Different characters that a key or token holds at least, so words and rulers are none, and the most it holds in
+#: all: longer values are data. It also needs a digit, a letter, and twelve of them in a row, unlike names of paths.
+DISTINCT, MOST = 10, 512
+
 
 def _digits(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "")
@@ -71,6 +77,7 @@ CONFIRM = {
     "phone": lambda m: F.length(_digits(m)).between(8, 15),
     "iban": lambda m: F.length(F.regexp_replace(m, r"\x20", "")).between(15, 34) & (_mod97(m) == 1),
     "ssn": lambda m: F.lit(True),
+    "secret": lambda m: (F.length(m) <= MOST) & F.regexp_like(m, F.lit("[0-9]")) & F.regexp_like(m, F.lit("[A-Za-z]")) & F.regexp_like(m, F.lit("[A-Za-z0-9]{12}")) & (F.size(F.array_distinct(F.split(m, ""))) >= DISTINCT),
 }
 
 
