@@ -34,11 +34,11 @@ def test_ids_are_those_of_the_tokenizers_library():
 
 def test_counts_of_the_corpus(spark):
     docs, codec = cases.edges(spark), bpe.codec(JSON)
-    df, n, total = packing.corpus_counts(packing.tokenised(docs, JSON))
+    df, n, total, rests = packing.corpus_counts(packing.tokenised(docs, JSON))
     ids = [np.frombuffer(codec.encode(b or "") + b"\0\0\0\0", "<u4") for _, b, _ in cases.EDGES]
     want = Counter(t for x in ids for t in set(x.tolist()))
-    assert (n, total) == (len(ids), sum(map(len, ids))) and {i: int(k) for i, k in enumerate(df) if k} == want
-    assert packing.corpus_counts(packing.tokenised(cases.empty(spark), JSON))[1:] == (0, 0)
+    assert (n, total) == (len(ids), sum(map(len, ids))) and rests == sum(len(x) % 1024 for x in ids) and {i: int(k) for i, k in enumerate(df) if k} == want
+    assert packing.corpus_counts(packing.tokenised(cases.empty(spark), JSON))[1:] == (0, 0, 0)
 
 
 def check_packing(pieces, texts):
@@ -78,6 +78,55 @@ def test_packing_edges(spark):
     assert packing.pack(cases.empty(spark), JSON).count() == 0
 
 
+def test_rests_and_own_windows(spark):
+    docs = cases.edges(spark).dropDuplicates()
+    for window in (1, 7, 64):
+        pieces = packing.pack(docs, JSON, window=window, shard_tokens=300).withColumn("ids_crc32", F.crc32("ids")).collect()
+        check_packing(pieces, {a: b for a, b, _ in cases.EDGES})
+        held = Counter()
+        for p in pieces:
+            held[p.sequence_id] += p.length
+        assert max(held.values()) <= window and (window > 1 or set(held.values()) == {1})
+
+
+def slow_pack(rests, idf, mean, window):
+    """Windows of a shard: the longest rest left seeds one, the best unused rests for it fill the space."""
+    at, out = [0] * len(rests), []
+
+    def score(query, d):
+        got = 0.0
+        for t in sorted(set(query)):
+            tf = rests[d].count(t)
+            got += idf[t] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(rests[d]) / mean))
+        return got
+
+    for seed in sorted(range(len(rests)), key=lambda d: -len(rests[d])):
+        query = rests[seed][at[seed] :]
+        if not query:
+            continue
+        others = [d for d in range(len(rests)) if d != seed and at[d] < len(rests[d])]
+        row, free = [], window
+        for d in [seed, *sorted(others, key=lambda d: -round(score(query, d), 9))]:
+            take = min(free, len(rests[d]) - at[d])
+            if take:
+                row.append((d, at[d], take))
+                at[d], free = at[d] + take, free - take
+        out.append(row)
+    return out
+
+
+def test_packer_equals_a_slow_one():
+    rng = np.random.default_rng(7)
+    for _ in range(40):
+        ids = [rng.integers(0, 30, rng.integers(1, 16)).astype(np.uint32) for _ in range(rng.integers(1, 25))]
+        idf = np.where(rng.random(30) < 0.2, 0, rng.random(30)).astype(np.float32)
+        got = defaultdict(list)
+        for d, start, n, sequence, offset in packing.Shard(ids, idf, 8.0).pack(16):
+            assert offset == sum(x[2] for x in got[sequence])
+            got[sequence].append((d, start, n))
+        assert list(got.values()) == slow_pack([x.tolist() for x in ids], idf.tolist(), 8.0, 16)
+
+
 def test_scores_are_bm25():
     rng = np.random.default_rng(2)
     ids = [rng.integers(0, 40, rng.integers(1, 60)).astype(np.uint32) for _ in range(30)]

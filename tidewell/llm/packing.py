@@ -2,14 +2,18 @@
 
 Documents are tokenised once into a table; each task also leaves the number of its documents
 that hold each token, so document frequencies over the whole corpus (one number per vocabulary
-entry) come from that table without another pass over texts. The token table is then range
-partitioned and sorted by a lexical key, the tokens that weigh most in a document, so related
-documents come together wherever the table holds them, and a frequent first token is split by
-the next ones. It is read in runs of documents, each run a shard with its own inverted index;
-retrieval and filling happen inside a shard, so a task holds one shard at a time whatever the
-input's size. Other shards are not asked: README gives the share of true neighbours found.
-
-Documents may be cut: a neighbour longer than the free space fills it, and its rest stays in
+entry) come from that table without another pass over texts.
+
+As many ids as fill windows of their own do so where they stand: such windows need no neighbours
+and are never shuffled. What is left of a document, less than a window, is its rest. Rests are
+range partitioned and sorted by a lexical key, the tokens that weigh most in the whole document,
+so related ones come together wherever the table holds them, a frequent first token is split by
+the next ones, and no row of the shuffle is larger than a window. They are read in runs, each run
+a shard with its own inverted index of rests; retrieval and filling happen inside a shard, so a
+task holds one shard at a time whatever the input's size. Other shards are not asked: README
+gives the share of true neighbours found.
+
+A rest may be cut: a neighbour longer than the free space fills it, and what remains stays in
 the pool. So only the last window of a shard is not full.
 """
 
@@ -20,26 +24,34 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tidewell.llm import bpe
 from tidewell.llm.tables import slices, texts_of
 from tidewell.session import scratch_path
 
-#: Ids of a window, the id that ends a document, and ids of a shard (one window in 512 may be padded).
+#: Ids of a window, the id that ends a document, and ids of a shard's rests (one window in 512 may be padded).
 WINDOW, END, SHARD_TOKENS = 1024, 0, 1 << 19
 #: Shards of a partition, about, and tokens of a document's key.
 PARTITION_SHARDS, KEY_TOKENS = 8, 4
 #: BM25 saturation and length normalisation.
 K1, B = 1.2, 0.75
 
-_TOKENS = "doc_id long, ids binary, n_tokens long, frequencies binary, n_docs long"
+#: Sequence ids of windows that one document fills have this bit; task and count follow it in all of them.
+_OWN, _TASK = 1 << 61, 1 << 32
+#: ``at`` numbers a document's windows across the table; ``whole`` fills them and ``rest`` is left.
+_TOKENS = "doc_id long, at long, whole binary, rest binary, n_tokens long, n_rest long, frequencies binary, n_docs long"
+_PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 #: The split of byte-level tokenizers files (fixed value), and characters that any Unicode version classes alike.
 _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _OTHER = re.compile("[^\x00-\u024f]")
@@ -77,50 +89,62 @@ def ids_of(path: str) -> Ids:
     return Ids(path)
 
 
-def tokenised(docs: DataFrame, path: str) -> DataFrame:
-    """Write the token table: ids with the end id, and one row per task with its counts."""
+def tokenised(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
+    """Write the token table: ids with the end id, cut at the last full window, and one row per task with its counts."""
     spark = docs.sparkSession
-    names = [f.split()[0] for f in _TOKENS.split(", ")]
+    schema = to_arrow_schema(StructType.fromDDL(_TOKENS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = ids_of(path)
-        frequency, rows, total = np.zeros(own.size, np.uint32), 0, 0
-        end = np.array([END], "<u4").tobytes()
+        frequency, rows, total, rests = np.zeros(own.size, np.uint32), 0, 0, 0
+        end, at = np.array([END], "<u4").tobytes(), TaskContext.get().partitionId() * _TASK
         for b in slices(batches, rows=256, size=4 << 20):
             ids = [own.encode(t) + end for t in texts_of(b)]
-            lengths = [len(x) // 4 for x in ids]
             frequency += np.bincount(np.concatenate([np.unique(np.frombuffer(x, "<u4")) for x in ids]), minlength=own.size).astype(np.uint32)
-            rows, total = rows + len(ids), total + sum(lengths)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary()), pa.array(lengths, pa.int64()), pa.nulls(len(ids), pa.binary()), pa.nulls(len(ids), pa.int64())], names)
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total]), pa.array([frequency.tobytes()], pa.binary()), pa.array([rows])], names)
+            lengths = np.array([len(x) // 4 for x in ids])
+            cut = lengths // window * window
+            first = at + np.cumsum(cut // window + 1) - (cut // window + 1)
+            rows, total, rests, at = rows + len(ids), total + int(lengths.sum()), rests + int((lengths - cut).sum()), int(first[-1] + cut[-1] // window + 1)
+            whole, rest = ([x[: 4 * c] for x, c in zip(ids, cut.tolist())], [x[4 * c :] for x, c in zip(ids, cut.tolist())])
+            none = pa.nulls(len(ids))
+            columns = [b.column("doc_id"), first, whole, rest, lengths, lengths - cut, none, none]
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) if not isinstance(x, pa.Array) else x.cast(f.type) for x, f in zip(columns, schema)], schema=schema)
+        counts = [None, None, None, None, total, rests, frequency.tobytes(), rows]
+        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(counts, schema)], schema=schema)
 
     table = scratch_path(spark, "tokens")
     docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _TOKENS).write.option("compression", "zstd").parquet(table)
     return spark.read.schema(_TOKENS).parquet(table)
 
 
-def corpus_counts(tokens: DataFrame) -> tuple[np.ndarray, int, int]:
-    """Documents that hold each token, documents, and tokens, over the whole corpus.
+class Counts(NamedTuple):
+    """Documents that hold each token, documents, tokens, and tokens of rests, over the whole corpus."""
+
+    df: np.ndarray
+    docs: int
+    tokens: int
+    rests: int
 
-    Only the rows of counts are read. One number per vocabulary entry reaches the driver.
-    """
+
+def corpus_counts(tokens: DataFrame) -> Counts:
+    """Only the rows of counts are read. One number per vocabulary entry reaches the driver."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, sums = None, np.zeros(2, np.int64)
+        total, sums = None, np.zeros(3, np.int64)
         for b in batches:
-            sums += [sum(b.column("n_docs").to_pylist()), sum(b.column("n_tokens").to_pylist())]
+            sums += [sum(b.column(c).to_pylist()) for c in ("n_docs", "n_tokens", "n_rest")]
             for x in b.column("frequencies").to_pylist():
                 part = np.frombuffer(x, np.uint32).astype(np.int64)
                 total = part if total is None else total + part
         if total is not None:
             at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-2, -1], at])), pa.array(np.concatenate([sums, total[at]]))], ["token", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-3, -2, -1], at])), pa.array(np.concatenate([sums, total[at]]))], ["token", "n"])
 
-    counts = tokens.where("frequencies is not null").select("n_tokens", "frequencies", "n_docs")
+    counts = tokens.where("frequencies is not null").select("n_tokens", "n_rest", "frequencies", "n_docs")
     rows = counts.mapInArrow(add, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
-    found = np.zeros(max(rows.column("token").to_pylist(), default=-1) + 3, np.int64)
-    found[rows.column("token").to_numpy() + 2] = rows.column("n").to_numpy()
-    return found[2:], int(found[0]) if len(found) > 2 else 0, int(found[1]) if len(found) > 2 else 0
+    found = np.zeros(max(rows.column("token").to_pylist(), default=-1) + 4, np.int64)
+    found[rows.column("token").to_numpy() + 3] = rows.column("n").to_numpy()
+    return Counts(found[3:], *found[:3].tolist())
 
 
 def keys(ids: list[np.ndarray], idf: np.ndarray, rank: np.ndarray, mean_length: float) -> list[bytes]:
@@ -140,29 +164,47 @@ def keys(ids: list[np.ndarray], idf: np.ndarray, rank: np.ndarray, mean_length:
     return [ranks[a : min(b, a + KEY_TOKENS)].tobytes() for a, b in zip(start[:-1], start[1:])]
 
 
-def by_content(tokens: DataFrame, df: np.ndarray, idf: np.ndarray, mean_length: float, total: int, shard_tokens: int) -> DataFrame:
-    """``doc_id, ids`` in the order of the documents' keys, in partitions of a few shards.
+def by_content(tokens: DataFrame, counts: Counts, idf: np.ndarray, shard_tokens: int) -> DataFrame:
+    """``doc_id, n_tokens, rest`` in the order of the documents' keys, in partitions of a few shards.
 
     Tokens that too few documents hold to fill half a shard would only bring copies together, so they are left out.
     """
-    used = (idf > 0) & (df >= max(2, shard_tokens / mean_length / 2))
-    rank = np.full(len(df), -1, np.int64)
-    rank[np.argsort(df, kind="stable")] = np.arange(len(df))
+    mean_length = max(1, counts.tokens) / max(1, counts.docs)
+    used = (idf > 0) & (counts.df >= max(2, shard_tokens * counts.docs / max(1, counts.rests) / 2))
+    rank = np.full(len(counts.df), -1, np.int64)
+    rank[np.argsort(counts.df, kind="stable")] = np.arange(len(counts.df))
     rank[~used] = -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "ids", rows=256, size=4 << 20):
-            column = b.column("ids")
-            own = keys([np.frombuffer(column[i].as_buffer(), "<u4") for i in range(b.num_rows)], idf, rank, mean_length)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), column, pa.array(own, pa.binary())], ["doc_id", "ids", "key"])
+        for b in slices(batches, "whole", rows=256, size=4 << 20):
+            ids = [np.frombuffer(w + r, "<u4") for w, r in zip(b.column("whole").to_pylist(), b.column("rest").to_pylist())]
+            own = pa.array(keys(ids, idf, rank, mean_length), pa.binary())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "at", "n_tokens", "rest")), own], ["doc_id", "at", "n_tokens", "rest", "key"])
+
+    rests = tokens.where("n_rest > 0 and frequencies is null").select("doc_id", "at", "n_tokens", "whole", "rest")
+    keyed = rests.mapInArrow(run, "doc_id long, at long, n_tokens long, rest binary, key binary")
+    parts = max(1, counts.rests // (PARTITION_SHARDS * shard_tokens))
+    return keyed.repartitionByRange(parts, "key", "at").sortWithinPartitions("key", "at").select("doc_id", "n_tokens", "rest")
+
+
+def own_windows(tokens: DataFrame, window: int) -> DataFrame:
+    """Pieces of the windows that documents fill by themselves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "whole", rows=256, size=4 << 20):
+            n = pc.binary_length(b.column("whole")).to_numpy() // (4 * window)
+            of = np.repeat(np.arange(b.num_rows), n)
+            count = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+            whole, same = b.column("whole").to_pylist(), np.full(len(of), window)
+            ids = [whole[d][4 * window * i : 4 * window * (i + 1)] for d, i in zip(of.tolist(), count.tolist())]
+            cols = [b.column("doc_id").take(pa.array(of)), count * window, same, b.column("n_tokens").take(pa.array(of)), b.column("at").to_numpy()[of] + count + _OWN, same * 0, ids]
+            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in cols], ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
-    keyed = tokens.where("ids is not null").select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, key binary")
-    parts = max(1, total // (PARTITION_SHARDS * shard_tokens))
-    return keyed.repartitionByRange(parts, "key", "doc_id").sortWithinPartitions("key", "doc_id", "ids").select("doc_id", "ids")
+    return tokens.where("n_tokens > n_rest and frequencies is null").select("doc_id", "at", "n_tokens", "whole").mapInArrow(run, _PIECES)
 
 
 class Shard:
-    """Documents of a shard with their inverted index."""
+    """Rests of a shard, each shorter than a window, with their inverted index."""
 
     def __init__(self, ids: list[np.ndarray], idf: np.ndarray, mean_length: float):
         self.ids = ids
@@ -183,21 +225,15 @@ class Shard:
         return np.bincount(self.doc[at], weights=self.weight[at], minlength=len(self.ids))
 
     def pack(self, window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int]]:
-        """Pieces ``(document, start, length, sequence, offset)``; sequences count from 0 and have no gaps."""
+        """Pieces ``(rest, start, length, sequence, offset)``; sequences count from 0 and have no gaps."""
         sequence = 0
-        rest = np.zeros(len(self.ids), np.int64)  # where each document's unused ids start
+        used = np.zeros(len(self.ids), np.int64)  # how many ids of each rest are packed
         left = np.array([len(x) for x in self.ids], np.int64)
-        for d in range(len(self.ids)):
-            while left[d] >= window:
-                yield d, int(rest[d]), window, sequence, 0
-                rest[d] += window
-                left[d] -= window
-                sequence += 1
         for seed in np.argsort(-left, kind="stable").tolist():
             if not left[seed]:
                 continue
             taken, free = [(seed, int(left[seed]))], window - int(left[seed])
-            query = self.ids[seed][rest[seed] :]
+            query = self.ids[seed][used[seed] :]
             unused = left > 0
             unused[seed] = False
             pool = np.flatnonzero(unused)
@@ -211,8 +247,8 @@ class Shard:
                         break
             offset = 0
             for d, take in taken:
-                yield d, int(rest[d]), take, sequence, offset
-                rest[d] += take
+                yield d, int(used[d]), take, sequence, offset
+                used[d] += take
                 left[d] -= take
                 offset += take
             sequence += 1
@@ -223,43 +259,40 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, shard_tokens: int = S
 
     ``path`` is a tokenizers file. Null and empty texts are documents of the end id alone.
     Rows that repeat a ``doc_id`` or a text are packed like others; a null ``doc_id`` passes
-    through. Very long texts fill windows of their own and their rest is pooled. Other columns
+    through. Long texts fill windows of their own and their rest is pooled. Other columns
     are ignored. An empty table gives an empty result.
     """
-    tokens = tokenised(docs, path)
-    df, n, total = corpus_counts(tokens)
-    mean_length = max(1, total) / max(1, n)
-    idf = np.maximum(0, np.log((n - df + 0.5) / (df + 0.5))).astype(np.float32)
+    tokens = tokenised(docs, path, window)
+    counts = corpus_counts(tokens)
+    idf = np.maximum(0, np.log((counts.docs - counts.df + 0.5) / (counts.df + 0.5))).astype(np.float32)
+    mean_rest = max(1, counts.rests) / max(1, counts.docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = TaskContext.get().partitionId() << 32
-        names, ids, held = [], [], 0
+        base = TaskContext.get().partitionId() * _TASK
+        names, sizes, ids, held = [], [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal base, names, ids, held
-            shard = Shard(ids, idf, mean_length)
-            pieces = list(shard.pack(window))
+            nonlocal base, names, sizes, ids, held
+            pieces = np.array(list(Shard(ids, idf, mean_rest).pack(window)), np.int64)
+            name, size, length = pa.array(names, pa.int64()), np.array(sizes), np.array([len(x) for x in ids])
             for i in range(0, len(pieces), 4096):
-                part = pieces[i : i + 4096]
-                cols = [
-                    pa.array([names[p[0]] for p in part], pa.int64()), pa.array([p[1] for p in part], pa.int64()), pa.array([p[2] for p in part], pa.int64()),
-                    pa.array([len(ids[p[0]]) for p in part], pa.int64()), pa.array([base + p[3] for p in part], pa.int64()), pa.array([p[4] for p in part], pa.int64()),
-                    pa.array([ids[p[0]][p[1] : p[1] + p[2]].tobytes() for p in part], pa.binary()),
-                ]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
-            base += pieces[-1][3] + 1
-            names, ids, held = [], [], 0
+                d, at, n, sequence, offset = pieces[i : i + 4096].T
+                own = [ids[a][b : b + c].tobytes() for a, b, c in zip(d.tolist(), at.tolist(), n.tolist())]
+                cols = [name.take(pa.array(d)), size[d] - length[d] + at, n, size[d], base + sequence, offset, own]
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in cols], ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
+            base += int(pieces[-1][3]) + 1
+            names, sizes, ids, held = [], [], [], 0
 
         for b in batches:
-            for i in range(b.num_rows):
-                x = np.frombuffer(b.column(1)[i].as_buffer(), "<u4").copy()
-                names.append(b.column(0)[i].as_py())
-                ids.append(x)
-                held += len(x)
+            for name, size, x in zip(*(b.column(c).to_pylist() for c in ("doc_id", "n_tokens", "rest"))):
+                names.append(name)
+                sizes.append(size)
+                ids.append(np.frombuffer(x, "<u4"))
+                held += len(ids[-1])
                 if held >= shard_tokens:
                     yield from flush()
         if ids:
             yield from flush()
 
-    schema = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
-    return by_content(tokens, df, idf, mean_length, total, shard_tokens).mapInArrow(run, schema)
+    rests = by_content(tokens, counts, idf, shard_tokens).mapInArrow(run, _PIECES)
+    return own_windows(tokens, window).unionAll(rests)
