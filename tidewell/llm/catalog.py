@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import bpe, exact_dedup, license_scan, line_dedup, packing, periodic_runs, pii, quality, quality_rules, simhash, tables, toxicity
+from tidewell.llm import bpe, conversation_repair, exact_dedup, license_scan, line_dedup, packing, periodic_runs, pii, quality, quality_rules, simhash, tables, toxicity
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op10_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(tables.conversations(spark, sf_dir), conversation_repair.damaged)
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tables.documents(spark, sf_dir).select("doc_id", "text")
     return periodic_runs.summary(periodic_runs.periodic_runs(docs, change=periodic_runs.planted))
