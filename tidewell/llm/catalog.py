@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import bpe, conversation_repair, exact_dedup, license_scan, line_dedup, packing, periodic_runs, pii, quality, quality_rules, simhash, tables, toxicity
+from tidewell.llm import bpe, chat_format, conversation_repair, exact_dedup, license_scan, line_dedup, packing, periodic_runs, pii, quality, quality_rules, simhash, tables, toxicity
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +71,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.summary(periodic_runs.periodic_runs(docs, change=periodic_runs.planted))
 
 
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = chat_format.log_of(chat_format.with_probe(tables.conversations(spark, sf_dir)))
+    return chat_format.read_back(chat_format.format_log(log))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -89,5 +94,17 @@ FROM n
 """
 
 
+OP13_SQL = r"""
+WITH said AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+              UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+turns AS (SELECT *, regexp_replace(text, '([<[])(\\*)(/?s>|/?INST\]|ANS\]|/?ROLE\]|END\])', '\1\\\2\3', 'g') AS escaped FROM said)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length(escaped) + CASE role WHEN 'user' THEN 16 WHEN 'assistant' THEN 9 ELSE 21 + length(role) END)::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op4_license_scan": license_scan.oracle_sql(), "op7_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op4_license_scan": license_scan.oracle_sql(), "op7_line_dedup": line_dedup.ORACLE_SQL, "op13_chat_format": OP13_SQL}
