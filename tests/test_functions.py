@@ -1,6 +1,8 @@
 """URL and date functions on single values."""
 
+import _pydatetime
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -60,6 +62,11 @@ SHOWN = {
     "(Jul 24, 2026)": (2026, 7, 24),
     "24 Decade 2026": (2026, 12, 24),
     "by May Smith, 3 June 2025": (2025, 6, 3),
+    "3 Mar 2024, updated May 5 2024": (2024, 5, 5),
+    "3 Mar 2024, updated Foo 5 2024": (2024, 3, 3),
+    "on Feb 30, 2024, no: 1 Mar 2024": (2024, 3, 1),
+    "Jul\xa024,\u20032026": (2026, 7, 24),
+    "July 24 (2026)": None,
     "2026-W30-5": (2026, 7, 24),
     "2026W305": (2026, 7, 24),
     "2020-W53-7T10:00:00+02:00": (2021, 1, 3, 8),
@@ -94,6 +101,37 @@ def test_displayed_dates(spark):
     assert dict(zip(SHOWN, got)) == {k: v and dt.datetime(*v) for k, v in SHOWN.items()}
 
 
+def iso_forms():
+    """Dates, separators, times and offsets in all their spellings, and texts near to them."""
+    days = ["2024-07-24", "20240724", "2024-W30-3", "2024-W30", "2024W303", "2024W30", "2020-W53-7", "2021-W53-1", "2024-02-30", "0000-01-01", "2024-7-24", "2024-W00-1", "2024-W30-8", "9999-12-31", "0001-01-01", "2024-0724"]
+    times = ["", "T", "T10", " 1015", "T10:15", "t101500", "T10:15:00", "x10:15:00.5", "T101500,1234567", "T10:15:60", "T24:00", "T10:60", "T1", "T101", "T10:1500", "T10:15.5", "T23:59:59.999999", "😀10:15", "1015", "110", "1101500", "-10:00"]
+    offsets = ["", "Z", "z", "+02", "-0530", "+05:30", "+05:30:15", "-053015", "-23:59:59.5", "+24:00", "+5", "+05:3", "Z+01", "+05:99", "+00:00", "+0530:15", "-"]
+    rng = random.Random(9)
+    made = {d + t + o for d in days for t in times for o in offsets}
+    made |= {x[:i] + rng.choice("0123456789-:TWZ+., ") + x[i + rng.randint(0, 1) :] for x in rng.choices(sorted(made), k=6000) for i in [rng.randint(0, len(x))]}
+    return sorted(made)
+
+
+def read_iso(text, library=dt):
+    """By the standard library, in microseconds of UTC; None where it reads nothing."""
+    try:
+        read = library.datetime.fromisoformat(text.removesuffix("Z") + "+00:00" if text.endswith("Z") else text)
+        read = read if read.tzinfo is None else read.astimezone(library.timezone.utc).replace(tzinfo=None)
+        return (read - library.datetime(1970, 1, 1)) // library.timedelta(microseconds=1)
+    except (ValueError, OverflowError, AssertionError, IndexError):
+        return None
+
+
+def test_iso_forms_equal_the_standard_library(spark):
+    texts = iso_forms()
+    want = {t: read_iso(t) for t in texts}
+    agreed = [t for t in texts if want[t] == read_iso(t, _pydatetime)]  # its two readers differ on stray characters before offsets
+    assert len(agreed) > 9000 and sum(want[t] is not None for t in agreed) > 1000
+    rows = spark.createDataFrame([(t,) for t in agreed], "t string")
+    got = {r.t: r.m for r in rows.select("t", F.unix_micros(dates.iso(F.col("t"))).alias("m")).collect()}
+    assert {t: (want[t], got[t]) for t in agreed if want[t] != got[t]} == {}
+
+
 @pytest.mark.parametrize("text", ["Fri, 24 Jul 2026 10:00:00 GMT", "24 Jul 2026 12:00:00 +0200", "24 Jul 26 10:00:00 GMT", "24 Jul 2026 05:00:00 EST", "24 Jul 2026 06:00:00 edt", "Fri, 24 Jul 26 03:00 PDT", "24 Jul 2026 10:00:00 Z"])
 def test_rfc822(spark, text):
     assert column(spark, [text], lambda c: dates.rfc822(c).cast("timestamp_ntz")) == [dt.datetime(2026, 7, 24, 10)]

@@ -3,9 +3,11 @@
 import itertools
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
-from tidewell.operators import linkage
+from tidewell.operators import common, linkage
 from tidewell.operators.components import connected_components
 
 FIELDS = "item_ord long, source_id string, guid string, url string, title string"
@@ -66,3 +68,30 @@ def test_components_of_random_graphs(spark):
 
 def test_components_of_nothing(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).select(F.count("*")).first()[0] == 0
+
+
+def test_item_numbers_keep_the_order_of_any_source(spark):
+    places = [(s, e) for s in (-(1 << 31), -1, 0, 7, 8_388_607, 8_388_608, 10_000_000, (1 << 31) - 1) for e in (0, 1, 5, (1 << 32) - 1)]
+    rows = spark.createDataFrame(places, "source_ord int, entry_ord long").repartition(3)
+    got = rows.select("*", common.item_ord(F.col("source_ord"), F.col("entry_ord")).alias("n")).orderBy("n").collect()
+    assert [(r.source_ord, r.entry_ord) for r in got] == sorted(places) and len({r.n for r in got}) == len(places)
+    for source, entry, bits in ((0, 1 << 32, 32), (0, -1, 32), (1 << 23, 0, 40)):
+        with pytest.raises(Exception, match="out of range"):
+            spark.range(1).select(common.item_ord(F.lit(source), F.lit(entry), bits)).collect()
+
+
+def test_dense_places(spark):
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("k"), F.lit("x").alias("_v")).repartition(5)
+    got = common.numbered(rows, "k")
+    assert got.columns == ["k", "_v", "place"]
+    assert [r.place for r in got.orderBy("k").collect()] == list(range(1000))
+    assert common.numbered(rows.limit(0), "k").count() == 0
+
+
+def test_classes_keep_registry_order_beyond_eight_million_sources(spark):
+    rows = [(20_000_000, 0, "z", "https://x.example/a"), (3, 5, "y", "https://x.example/b"), (9_000_000, 1, "x", "https://x.example/a"), (9_000_000, 0, "x", "https://x.example/c")]
+    items = spark.createDataFrame(rows, "source_ord int, entry_ord long, source_id string, url string").withColumn("guid", F.lit(""))
+    items = items.withColumn("item_ord", common.item_ord(F.col("source_ord"), F.col("entry_ord")))
+    linked = linkage.link(items, spark.createDataFrame([], "source_id string, priority int"))
+    got = linkage.in_order(linked.retained).orderBy("place").collect()
+    assert [(r.source_id, r.url[-1]) for r in got] == [("y", "b"), ("x", "c"), ("x", "a")]

@@ -17,22 +17,52 @@ _FIRST, _LAST = -62135596800, 253402300799
 ZONES = {"UT": "+0000", "UTC": "+0000", "GMT": "+0000", "Z": "+0000", "EST": "-0500", "EDT": "-0400", "CST": "-0600", "CDT": "-0500", "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700"}
 
 
-def _of_week(text: Column) -> Column:
-    """An ISO week date (``2026-W30-5``; without a day its Monday) as a calendar date, what follows it unchanged; null for others."""
-    form = r"^(\d{4})-?W(\d{2})(?:-?([1-7]))?(?=$|[T ])"
-    year, week, day = (F.regexp_extract(text, form, i).try_cast("int") for i in (1, 2, 3))
-    start = F.date_trunc("week", F.try_make_timestamp(year, F.lit(1), F.lit(4), F.lit(0), F.lit(0), F.lit(0))).cast("date")
-    there = F.date_add(start, (week - 1) * 7 + F.coalesce(day, F.lit(1)) - 1)
-    return F.when(F.regexp_like(text, F.lit(form)) & (F.weekofyear(there) == week), F.concat(F.date_format(there, "yyyy-MM-dd"), F.regexp_replace(text, form, "")))
+#: ISO 8601, extended or basic: a calendar date, or a week date with a day or without (then the week's Monday). In a basic
+#: week date, digits that follow are a day, or a separator and a time, as their number allows.
+_DATE = r"(?:(\d{4})(-?)(\d{2})\2(\d{2})|(\d{4})-W(\d{2})(?:-(\d)(?!\d))?|(\d{4})W(\d{2})(?:(\d)(?=(?:\d(?:\d\d)*)?(?!\d))|(?=(?:\d(?:\d\d)+)?(?!\d))))"
+#: After any one character a time to hours, minutes, seconds or fractions, and an offset of the same form.
+_CLOCK = r"(\d{2})(?:(:?)(\d{2})(?:\%d(\d{2})(?:[.,](\d+))?)?)?"
+_ISO = rf"(?s)^{_DATE}(?:.{_CLOCK % 12}(?:([+-]){_CLOCK % 18}|Z)?|Z)?\z"
+#: What is read from it: year, month, day; week, its day; hours, minutes, seconds, fraction; sign, and the same four.
+_MARK = "\x1f"
+_PARTS = _MARK.join(("$1$5$8", "$3", "$4", "$6$9", "$7$10", "$11", "$13", "$14", "$15", "$16", "$17", "$19", "$20", "$21"))
+_DAY_MICROS = 86_400_000_000
+
+
+def _int(text: Column) -> Column:
+    """A number; zero where the text is empty."""
+    return F.coalesce(text.try_cast("int"), F.lit(0))
+
+
+def _made(year: Column, month: Column, day: Column) -> Column:
+    """Midnight of a date of the years 1 to 9999, or null."""
+    zero = F.lit(0)
+    return F.when(year > 0, F.try_make_timestamp(year, month, day, zero, zero, zero))
+
+
+def _week_day(year: Column, week: Column, day: Column) -> Column:
+    """Midnight of a day of an ISO week; null where the year has no such week."""
+    start = F.date_trunc("week", _made(year, F.lit(1), F.lit(4))).cast("date")
+    monday = F.date_add(start, (week - 1) * 7)
+    return F.when(day.between(1, 7) & (F.weekofyear(monday) == week), F.date_add(monday, day - 1).cast("timestamp"))
 
 
 def iso(text: Column) -> Column:
-    """ISO 8601 date (calendar or week date) or date and time; without an offset it is UTC."""
-    text = F.coalesce(_of_week(text), text)
-    extended = F.regexp_like(text, F.lit(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}([.,]\d+)?)?)?(Z|[+-]\d{2}(:?\d{2})?)?)?$"))
-    spelled = F.regexp_replace(F.regexp_replace(F.replace(text, F.lit(","), F.lit(".")), r"^(.{10}[T ]\d{2})(?=$|Z|[+-])", "$1:00"), r"([+-]\d{2})(\d{2})$", "$1:$2")
-    basic = F.regexp_like(text, F.lit(r"^\d{8}$"))
-    return F.when(extended, spelled.try_cast("timestamp")).when(basic, F.try_to_timestamp(text, F.lit("yyyyMMdd")))
+    """ISO 8601 date (calendar or week date) or date and time, extended or basic; without an offset it is UTC."""
+    parts = F.split(F.when(~F.contains(text, F.lit(_MARK)), F.regexp_replace(text, _ISO, _PARTS)), _MARK)
+
+    def instant(p: Column) -> Column:
+        def micros(first: int) -> Column:
+            seconds = (_int(p[first]) * 60 + _int(p[first + 1])) * 60 + _int(p[first + 2])
+            return seconds.cast("bigint") * 1_000_000 + _int(F.rpad(F.left(p[first + 3], F.lit(6)), 6, "0"))
+
+        week = F.when(p[4] == "", F.lit(1)).otherwise(_int(p[4]))
+        day = F.when(p[3] == "", _made(_int(p[0]), _int(p[1]), _int(p[2]))).otherwise(_week_day(_int(p[0]), _int(p[3]), week))
+        sane = (_int(p[5]) < 24) & (_int(p[6]) < 60) & (_int(p[7]) < 60) & (micros(10) < _DAY_MICROS)
+        moved = F.unix_micros(day) + micros(5) - F.when(p[9] == "-", -micros(10)).otherwise(micros(10))
+        return F.when(sane & moved.between(_FIRST * 1_000_000, _LAST * 1_000_000 + 999_999), F.timestamp_micros(moved))
+
+    return F.get(F.transform(F.filter(F.array(parts), lambda p: F.size(p) == 14), instant), F.lit(0))
 
 
 def epoch(number: Column) -> Column:
@@ -52,36 +82,26 @@ def rfc822(text: Column) -> Column:
     return F.when(F.size(parts) == 5, read)
 
 
-def _worded(text: Column) -> Column:
-    """The first month name with a day and a year beside it: month, day, year or day, month, year.
-
-    Only words and numbers count; a day may carry an ordinal ending.
-    """
-    months = F.create_map(*[F.lit(x) for pair in MONTHS.items() for x in pair])
-    words = F.regexp_extract_all(text, F.lit("[0-9]+(?:st|nd|rd|th)?|[A-Za-z]+"), F.lit(0))
+#: A month's name, a day and a year beside it, as pages show them (fixed values): month, day, year; and day, month, year.
+_NAME, _DAY, _YEAR = "([A-Za-z]{3,9})", "([0-9]{1,2})", "([0-9]{4})"
+_MONTH_FIRST = rf"(?U){_NAME}\.?\s+{_DAY}(?:st|nd|rd|th)?,?\s+{_YEAR}"
+_DAY_FIRST = rf"(?U){_DAY}\s+{_NAME}\.?,?\s+{_YEAR}"
+#: Numeric dates (fixed values).
+_NUMERIC = {r"^\d{4}-\d{1,2}-\d{1,2}$": "yyyy-M-d", r"^\d{1,2}/\d{1,2}/\d{4}$": "d/M/yyyy", r"^\d{4}/\d{1,2}/\d{1,2}$": "yyyy/M/d"}
 
-    def month(word: Column) -> Column:
-        return F.when(F.length(word).between(3, 9), F.try_element_at(months, F.lower(F.left(word, F.lit(3)))))
 
-    def day(word: Column, ordinal: bool) -> Column:
-        return F.regexp_extract(word, r"^(\d{1,2})(?:st|nd|rd|th)?$" if ordinal else r"^(\d{1,2})$", 1).try_cast("int")
-
-    def year(word: Column) -> Column:
-        return F.regexp_extract(word, r"^(\d{4})(?!\d)", 1).try_cast("int")
+def _worded(text: Column) -> Column:
+    """The first place in a text that reads month, day, year; where it is no date, the first that reads day, month, year."""
+    months = F.create_map(*[F.lit(x) for pair in MONTHS.items() for x in pair])
 
-    def at(i: Column) -> Column:
-        before, after, last = F.get(words, i - 1), F.get(words, i + 1), F.get(words, i + 2)
-        late = F.when(year(last).isNotNull(), F.struct(year(last).alias("y"), day(after, True).alias("d")))
-        early = F.when(year(after).isNotNull(), F.struct(year(after).alias("y"), day(before, False).alias("d")))
-        found = F.when(late["d"].isNotNull(), late).otherwise(early)
-        return F.when(month(F.get(words, i)).isNotNull() & found["d"].isNotNull(), F.concat_ws("-", F.lpad(found["y"].cast("string"), 4, "0"), F.lpad(month(F.get(words, i)).cast("string"), 2, "0"), F.lpad(found["d"].cast("string"), 2, "0")))
+    def first(form: str, month: int, day: int) -> Column:
+        number = F.try_element_at(months, F.lower(F.left(F.regexp_extract(text, form, month), F.lit(3))))
+        return _made(_int(F.regexp_extract(text, form, 3)), number, _int(F.regexp_extract(text, form, day)))
 
-    dates = F.array_compact(F.transform(words, lambda _, i: at(i)))
-    return F.get(dates, F.lit(0)).try_cast("timestamp")
+    return F.coalesce(first(_MONTH_FIRST, 1, 2), first(_DAY_FIRST, 2, 1))
 
 
 def displayed(text: Column) -> Column:
     """A date shown on a page: ISO, numeric (Y-M-D, D/M/Y, Y/M/D), or with an English month name."""
-    numeric = {r"^\d{4}-\d{1,2}-\d{1,2}$": "yyyy-M-d", r"^\d{1,2}/\d{1,2}/\d{4}$": "d/M/yyyy", r"^\d{4}/\d{1,2}/\d{1,2}$": "yyyy/M/d"}
-    read = [F.when(F.regexp_like(text, F.lit(form)), F.try_to_timestamp(text, F.lit(pattern))) for form, pattern in numeric.items()]
+    read = [F.when(F.regexp_like(text, F.lit(form)), F.try_to_timestamp(text, F.lit(pattern))) for form, pattern in _NUMERIC.items()]
     return F.coalesce(iso(text), *read, _worded(text))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions import urls
+from tidewell.operators import common
 from tidewell.operators.components import connected_components
 from tidewell.session import materialize
 
@@ -71,6 +72,11 @@ def link(items: DataFrame, priorities: DataFrame) -> Linked:
     return Linked(members, retained, report)
 
 
+def in_order(retained: DataFrame) -> DataFrame:
+    """Retained items with their ``place``, from 0: classes in the order in which their first items appeared."""
+    return common.numbered(retained, "first_ord")
+
+
 def total_losers(report: DataFrame) -> DataFrame:
     return report.agg(F.coalesce(F.sum("losers"), F.lit(0)).alias("total_losers"))
 

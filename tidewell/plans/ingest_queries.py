@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell import schemas
 from tidewell.functions import urls
-from tidewell.operators import feed_items, html_items, json_items, linkage, report
+from tidewell.operators import common, feed_items, html_items, json_items, linkage, report
 from tidewell.plans import pipeline, views
 from tidewell.session import materialize, scratch_path
 from tidewell.sources import payloads, registry
@@ -389,7 +389,7 @@ src AS (SELECT source_id, source_ord::INT AS source_ord, part, priority, CASE pa
   CASE WHEN part < 3 THEN '' ELSE CASE source_ord % 3 WHEN 0 THEN 'unknown source type ''gopher''' WHEN 1 THEN 'JSONDecodeError: payload is not JSON' ELSE 'FileNotFoundError: payload missing' END END AS reason FROM declared),
 got AS (SELECT s.source_ord, s.source_id, fi.guid, fi.url, fi.entry_ord, fi.published_at FROM fi JOIN src s USING (source_id) WHERE part = 0
   UNION ALL SELECT s.source_ord, s.source_id, j.doc_id::VARCHAR, 'https://papers.example/p/' || j.doc_id, j.entry_ord, j.published_at FROM j JOIN src s USING (source_id) WHERE part = 1 AND good
-  UNION ALL SELECT s.source_ord, s.source_id, h.guid, h.guid, NULL, h.published_at FROM h JOIN src s USING (source_id) WHERE part = 2)
+  UNION ALL SELECT s.source_ord, s.source_id, h.guid, h.guid, h.doc_id, h.published_at FROM h JOIN src s USING (source_id) WHERE part = 2)
 """
 
 
@@ -434,11 +434,61 @@ def item_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.contract(rows)
 
 
+#: How the dates of ``json_iso_forms`` are spelled: patterns, and the hours by which the clock is ahead; the last two are no dates.
+_ISO_FORMS = (
+    ("yyyyMMdd'T'HHmmss'Z'", 0), ("yyyy-MM-dd'T'HHmmss", 0), ("yyyyMMdd'T'HH", 0), ("yyyy-MM-dd't'HH:mm:ss'+05'", 5), ("yyyy-MM-dd HH:mm:ss,SSSSSS'-0330'", -3.5), ("yyyyMMdd'x'HH:mm:ss'+05:30:00'", 5.5),
+    ("yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'", 0), ("yyyy-MM-dd'T'HH:mm'+023000'", 2.5), ("yyyyMMdd'Z'", 0), ("yyyy-MM-dd'T'HH:mm:ss'+5'", 0), ("yyyy-MM-dd'T'HH'h'", 0),
+)
+
+
+def json_iso_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists whose dates are spelled in every form of ISO 8601, read back."""
+    n = F.col("doc_id")
+    second = F.unix_timestamp(F.lit(_DAY).cast("timestamp")) + n * 60
+    spelled = [F.when(n % len(_ISO_FORMS) == i, F.date_format(F.timestamp_seconds(second + int(hours * 3600)), form)) for i, (form, hours) in enumerate(_ISO_FORMS)]
+    entry = F.to_json(F.struct(n.cast("string").alias("id"), F.coalesce(*spelled).alias("at")))
+    payload = F.concat(F.lit("["), _joined("doc_id", entry, ", "), F.lit("]"))
+    rows = _declared(views.documents(spark, sf_dir), "json", payload, mapping=_mapping(guid="id", published_at="at"))
+    return json_items.items(rows, views.run_ts())[0].select("guid", _plain_time())
+
+
+def html_two_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards that show two dates: month first counts before day first, wherever it stands."""
+    n = F.col("doc_id")
+    first, last = (F.timestamp_seconds(F.unix_timestamp(F.lit(day).cast("timestamp")) + n * 86400) for day in (_DAY, "2024-06-25"))
+    late = F.when(n % 4 == 0, F.date_format(last, "MMM d, yyyy")).when(n % 4 == 1, F.date_format(last, "MMMM dd yyyy")).when(n % 4 == 2, F.concat(F.date_format(last, "MMMM d"), F.lit("th, "), F.date_format(last, "yyyy"))).otherwise(F.lit("Foo 31, 2024"))
+    card = F.concat(F.lit('<a href="/news/'), n.cast("string"), F.lit('"><h2>t</h2><time>'), F.date_format(first, "d MMM yyyy"), F.lit(", updated "), late, F.lit("</time></a>"))
+    rows = _declared(views.documents(spark, sf_dir), "scrape", _joined("doc_id", card), selector=F.lit("/news/"), base_url=F.lit("https://site.example"))
+    return html_items.items(rows, views.run_ts())[0].select("guid", _plain_time())
+
+
+def item_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of sources numbered from ten million on, each with its place in registry order."""
+    sources = json_sources(spark, sf_dir).withColumn("source_ord", F.col("source_ord") + 10_000_000)
+    found, _, _ = payloads.collect(sources, views.run_ts())
+    return common.numbered(found, "item_ord").select("source_id", "guid", "place")
+
+
+def retained_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a whole run retains, with the place of each item's class."""
+    done = pipeline.run(_mixed(spark, sf_dir), views.run_ts())
+    return linkage.in_order(done.items).select("source_id", "guid", "url", "place")
+
+
 def pipeline_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = pipeline.run(_mixed(spark, sf_dir), views.run_ts())
     return done.source_report.select("source_ord", "source_id", "type", "n_collected", "n_retained", "n_approximate", "reason", "state")
 
 
+_LINKED_SQL = _MIXED_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """,
+items AS (SELECT *, row_number() OVER (ORDER BY source_ord, entry_ord, url) AS item_ord FROM got),
+keys AS (SELECT item_ord, 'url:' || regexp_replace(regexp_replace(url, '^https://', ''), '/+$', '') AS key FROM items WHERE url <> '' UNION ALL SELECT item_ord, 'guid:' || source_id || ':' || guid FROM items),
+hubs AS (SELECT item_ord, min(item_ord) OVER (PARTITION BY key) AS hub FROM keys),
+links AS (SELECT item_ord AS a, hub AS b FROM hubs WHERE item_ord <> hub UNION SELECT hub, item_ord FROM hubs WHERE item_ord <> hub),
+reach AS (SELECT item_ord AS node, item_ord AS label FROM items UNION SELECT l.b, r.label FROM reach r JOIN links l ON l.a = r.node AND r.label < l.b),
+classes AS (SELECT node AS item_ord, min(label) AS component FROM reach GROUP BY node),
+kept AS (SELECT i.*, c.component, row_number() OVER (PARTITION BY c.component ORDER BY s.priority DESC, i.item_ord) AS place FROM items i JOIN classes c USING (item_ord) JOIN src s USING (source_id))
+"""
 _HTML_ROW = "source_id, guid, title, published_at, 'en' AS lang, 'moving' AS section, guid AS url, content"
 SQL = {
     "json_items": f"WITH {_JSON_SQL} SELECT source_id, doc_id::VARCHAR AS guid, title, published_at, 'en' AS lang, 'moving' AS section, 'https://papers.example/p/' || doc_id AS url, md5(content) AS content_md5, entry_ord FROM j WHERE good",
@@ -484,18 +534,14 @@ UNION ALL SELECT id, 'id declared twice' FROM good GROUP BY id HAVING count(*) >
     "empty_config": f"WITH {_JSON_SQL} SELECT source_id, count(*) FILTER (good) AS n_collected, CASE WHEN count(*) FILTER (good) = 0 THEN 'silent' ELSE 'ok' END AS state FROM j WHERE regexp_replace(split_part(source_id, '-', 1), '[^0-9]', '', 'g')::INT % 3 > 0 GROUP BY 1",
     "failure_reason": "SELECT doc_id, 'ValueError: ' || CASE WHEN length(l) > 110 THEN left(l, 107) || '...' ELSE l END AS reason FROM (SELECT doc_id, trim(split_part(coalesce(text, ''), chr(10), 1), ' ') AS l FROM documents)",
     "item_contract": f"WITH {views.ITEMS_SQL} SELECT item_ord, 'published_at is null' AS problem FROM items WHERE entry_ord % 9 = 0",
-    "pipeline_run": _MIXED_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """,
-items AS (SELECT *, row_number() OVER (ORDER BY source_ord, entry_ord, url) AS item_ord FROM got),
-keys AS (SELECT item_ord, 'url:' || regexp_replace(regexp_replace(url, '^https://', ''), '/+$', '') AS key FROM items WHERE url <> '' UNION ALL SELECT item_ord, 'guid:' || source_id || ':' || guid FROM items),
-hubs AS (SELECT item_ord, min(item_ord) OVER (PARTITION BY key) AS hub FROM keys),
-links AS (SELECT item_ord AS a, hub AS b FROM hubs WHERE item_ord <> hub UNION SELECT hub, item_ord FROM hubs WHERE item_ord <> hub),
-reach AS (SELECT item_ord AS node, item_ord AS label FROM items UNION SELECT l.b, r.label FROM reach r JOIN links l ON l.a = r.node AND r.label < l.b),
-classes AS (SELECT node AS item_ord, min(label) AS component FROM reach GROUP BY node),
-kept AS (SELECT i.*, row_number() OVER (PARTITION BY c.component ORDER BY s.priority DESC, i.item_ord) AS place FROM items i JOIN classes c USING (item_ord) JOIN src s USING (source_id))
-SELECT s.source_ord, s.source_id, any_value(s.type) AS type, count(k.guid) AS n_collected, count(*) FILTER (k.place = 1) AS n_retained,
+    "pipeline_run": f"""{_LINKED_SQL} SELECT s.source_ord, s.source_id, any_value(s.type) AS type, count(k.guid) AS n_collected, count(*) FILTER (k.place = 1) AS n_retained,
   count(*) FILTER (abs(epoch_us(k.published_at) - epoch_us(TIMESTAMP '2024-06-01')) <= 90000000) AS n_approximate, any_value(reason) AS reason,
   CASE WHEN any_value(reason) <> '' THEN 'failed' WHEN count(k.guid) = 0 THEN 'silent' WHEN count(*) FILTER (k.place = 1) = 0 THEN 'absorbed' ELSE 'ok' END AS state
 FROM src s LEFT JOIN kept k USING (source_id) GROUP BY s.source_ord, s.source_id""",
+    "retained_order": f"{_LINKED_SQL} SELECT source_id, guid, url, row_number() OVER (ORDER BY component) - 1 AS place FROM kept WHERE place = 1",
+    "item_order": f"WITH {_JSON_SQL} SELECT source_id, doc_id::VARCHAR AS guid, row_number() OVER (ORDER BY regexp_replace(split_part(source_id, '-', 1), '[^0-9]', '', 'g')::INT, split_part(source_id, '-', 2)::INT, entry_ord) - 1 AS place FROM j WHERE good",
+    "json_iso_forms": f"WITH i AS (SELECT doc_id, doc_id % {len(_ISO_FORMS)} AS k, TIMESTAMP '2024-05-25' + to_minutes(doc_id) AS ts FROM documents) SELECT doc_id::VARCHAR AS guid, CASE WHEN k >= {len(_ISO_FORMS) - 2} THEN TIMESTAMP '2024-06-01' WHEN k = {len(_ISO_FORMS) - 3} THEN date_trunc('day', ts) WHEN k = 2 THEN date_trunc('hour', ts) ELSE ts END AS published_at FROM i",
+    "html_two_dates": "SELECT 'https://site.example/news/' || doc_id AS guid, CASE WHEN doc_id % 4 = 3 THEN TIMESTAMP '2024-05-25' ELSE TIMESTAMP '2024-06-25' END + to_days(doc_id::INT) AS published_at FROM documents",
 }
 QUERIES = {name: globals().get(f"{name}_") or globals()[name] for name in SQL}
 QUERIES |= {n: globals()[f"{n}_"] for n in ("json_items", "feed_items", "html_items")}

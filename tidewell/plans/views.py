@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.operators import common
+
 #: Start of a run, and first publication, of the views below.
 RUN_TS, FIRST_TS = "2024-06-01 00:00:00", "2024-05-25 00:00:00"
 
@@ -45,7 +47,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("text").alias("content"),
         source_ord.alias("source_ord"),
         F.col("doc_id").alias("entry_ord"),
-        (F.shiftleft(source_ord.cast("bigint"), 40) + F.col("doc_id")).alias("item_ord"),
+        common.item_ord(source_ord, F.col("doc_id"), 40).alias("item_ord"),
     )
 
 
