@@ -135,6 +135,15 @@ def test_repair_leaves_cdata_alone(spark):
     assert (row.title, row.content) == ("R&D & a & b & c", "x & <p>y</p> ]]> &z;")
 
 
+def test_entry_ends_in_text_cut_nothing(spark):
+    feed = """<rss><!-- <item><title>no</title></item> --><item><title>A&nbsp;b &eacute; R&D &none; <![CDATA[&nbsp; </title></item>]]></title><description><![CDATA[x </item> y <item> <!-- ]]>&hellip;</description></item>
+<entry><title>B <!-- </entry> --> &copy;</title><id>2</id><content>a\0b</content></entry><item><title>C</title><description><![CDATA[open</description></item><item><title>D</title></item></rss>"""
+    done = pipeline.run(typed(spark, [source(0, "f", "rss", feed), source(1, "none", "rss", "<![CDATA[<item></item>]]>"), source(2, "null", "rss", None)]), F.lit(NOW).cast("timestamp"))
+    got = [(r.entry_ord, r.title, r.content) for r in done.items.orderBy("item_ord").collect()]
+    assert got == [(0, "A\xa0b é R&D &none; &nbsp; </title></item>", "x </item> y <item> <!-- …"), (1, "B  ©", "ab"), (3, "D", "")]
+    assert [(r.entry_ord, r.reason) for r in done.quarantine.collect()] == [(2, "entry is not XML")]
+
+
 def test_an_id_declared_twice(spark):
     def feed(n):
         return "<rss>" + "".join(f"<item><title>t</title><link>https://t.example/{i}</link></item>" for i in n) + "</rss>"
@@ -168,3 +177,23 @@ def test_scratch_needs_a_shared_folder(spark):
     far = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=SimpleNamespace(master="yarn"))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.shared_dir(far)
+
+
+def test_a_payload_is_parsed_once(spark):
+    mapping = {"guid": "id"}
+    rows = typed(spark, [source(0, "a", "json", '[{"id": 1}, {"id": 2}]', mapping=mapping), source(1, "b", "json", "{", mapping=mapping), source(2, "c", "json", "[]", mapping=mapping), source(3, "d", "json", '{"id": [{"id": 1}]}', mapping=mapping), source(4, "e", "json", "7", mapping=mapping)])
+    judged = json_items.judged(rows, F.lit(NOW).cast("timestamp"))
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    plan = judged._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert plan.count("parseJson(") == 1 and "variant_explode" in plan and "ArrayType" not in plan
+    assert sorted((r.source_ord, r.entry_ord, r.guid, r.failure) for r in judged.collect() if r.failure is None) == [(0, 0, "1", None), (0, 1, "2", None)]
+    assert [(r.source_ord, r.entry_ord, r.failure) for r in judged.where("failure is not null").collect()] == [(1, None, "JSONDecodeError: payload is not JSON")]
+
+
+def test_a_large_list(spark):
+    n = 400_000
+    payload = F.concat(F.lit('{"l": ['), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit('{"id": '), i.cast("string"), F.lit(', "t": "a title of some length"}'))), ", "), F.lit("]}"))
+    rows = typed(spark, [source(0, "a", "json", "", root_path="l", mapping={"guid": "id", "title": "t"})]).withColumn("payload", payload)
+    got = json_items.items(rows, F.lit(NOW).cast("timestamp"))[0].agg(F.count("*"), F.max("entry_ord"), F.sum(F.col("guid").cast("long")))
+    assert tuple(got.first()) == (n, n - 1, n * (n + 1) // 2)

@@ -51,18 +51,21 @@ def iso(text: Column) -> Column:
     """ISO 8601 date (calendar or week date) or date and time, extended or basic; without an offset it is UTC."""
     parts = F.split(F.when(~F.contains(text, F.lit(_MARK)), F.regexp_replace(text, _ISO, _PARTS)), _MARK)
 
-    def instant(p: Column) -> Column:
-        def micros(first: int) -> Column:
-            seconds = (_int(p[first]) * 60 + _int(p[first + 1])) * 60 + _int(p[first + 2])
-            return seconds.cast("bigint") * 1_000_000 + _int(F.rpad(F.left(p[first + 3], F.lit(6)), 6, "0"))
-
-        week = F.when(p[4] == "", F.lit(1)).otherwise(_int(p[4]))
-        day = F.when(p[3] == "", _made(_int(p[0]), _int(p[1]), _int(p[2]))).otherwise(_week_day(_int(p[0]), _int(p[3]), week))
-        sane = (_int(p[5]) < 24) & (_int(p[6]) < 60) & (_int(p[7]) < 60) & (micros(10) < _DAY_MICROS)
-        moved = F.unix_micros(day) + micros(5) - F.when(p[9] == "-", -micros(10)).otherwise(micros(10))
-        return F.when(sane & moved.between(_FIRST * 1_000_000, _LAST * 1_000_000 + 999_999), F.timestamp_micros(moved))
-
-    return F.get(F.transform(F.filter(F.array(parts), lambda p: F.size(p) == 14), instant), F.lit(0))
+    def number(part: Column, i: Column) -> Column:
+        digits = F.when(i.isin(8, 13), F.rpad(F.left(part, F.lit(6)), 6, "0")).when((i == 4) & (part == ""), "1").when(i == 9, F.concat(part, F.lit("1"))).otherwise(part)
+        return F.coalesce(digits.try_cast("bigint"), F.lit(0))
+
+    def instant(n: Column) -> Column:
+        at = [F.get(n, F.lit(i)) for i in range(14)]
+        year, month, day, week, week_day = (x.cast("int") for x in at[:5])
+        there = F.when(week == 0, F.when(month > 0, _made(year, month, day))).otherwise(_week_day(year, week, week_day))
+        clock, offset = (((at[i] * 60 + at[i + 1]) * 60 + at[i + 2]) * 1_000_000 + at[i + 3] for i in (5, 10))
+        moved = F.unix_micros(there) + clock - at[9] * offset
+        sane = (at[5] < 24) & (at[6] < 60) & (at[7] < 60) & (offset < _DAY_MICROS) & moved.between(_FIRST * 1_000_000, _LAST * 1_000_000 + 999_999)
+        return F.when(sane, F.timestamp_micros(moved))
+
+    numbers = F.transform(F.filter(F.array(parts), lambda p: F.size(p) == 14), lambda p: F.transform(p, number))
+    return F.get(F.transform(numbers, instant), F.lit(0))
 
 
 def epoch(number: Column) -> Column:

@@ -47,12 +47,19 @@ def numbered(rows: DataFrame, *order: str, name: str = "place") -> DataFrame:
     return placed.select(*rows.columns, (F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).alias(name))
 
 
+def short_reason(kind: Column, message: Column) -> Column:
+    """First line of a failure's message, cut to 110 characters, after its kind."""
+    line = F.trim(F.substring_index(message, "\n", 1))
+    return F.concat(kind, F.lit(": "), F.when(F.length(line) > 110, F.concat(F.left(line, F.lit(107)), F.lit("..."))).otherwise(line))
+
+
 def as_items(entries: DataFrame) -> DataFrame:
     """Project accepted entries to ordered items."""
     return entries.withColumn("item_ord", item_ord(F.col("source_ord"), F.col("entry_ord"))).select(*[F.col(f.name).cast(f.dataType) for f in schemas.ORDERED_ITEM.fields])
 
 
 def split(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Items (no ``reject``) and rejected entries."""
+    """Items (no ``reject``) and rejected entries; rows that only say that a source failed are neither."""
+    entries = entries.where("entry_ord is not null")
     bad = entries.where("reject is not null").select("source_id", "source_ord", F.col("entry_ord").cast("bigint").alias("entry_ord"), F.col("reject").alias("reason"))
     return as_items(entries.where("reject is null")), bad

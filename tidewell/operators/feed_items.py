@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+from functools import cache
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,32 +20,59 @@ ENTRY = (
     f"description {_TEXTS}, summary {_TEXTS}, content {_TEXTS}, `content:encoded` {_TEXTS}, _corrupt_record string"
 )
 _OPTIONS = {"mode": "PERMISSIVE", "valueTag": "_VALUE", "attributePrefix": "_", "columnNameOfCorruptRecord": "_corrupt_record"}
-#: An ampersand that starts no XML entity.
+#: An ampersand that starts no XML entity, and a reference to a name that XML itself does not know.
 _BARE = r"&(?!(?:amp|lt|gt|quot|apos|#[0-9]+|#x[0-9A-Fa-f]+);)"
+_NAMED = r"&(?!(?:amp|lt|gt|quot|apos);)[A-Za-z][A-Za-z0-9]*;"
+#: Parts of a feed in which markup is only text.
+_VERBATIM = r"(?s)<!\[CDATA\[.*?\]\]>|<!--.*?-->"
+#: What stands for such a part while entries are cut: its number between characters that XML does not hold.
+_HOLE = "\x00"
+
+
+def _between(text: Column, form: str, change: Callable[[Column], Column], also: Callable[[Column], Column] = lambda x: x) -> Column:
+    """``text`` with ``change`` applied to what lies between the matches of ``form``, and ``also`` to these."""
+    plain, held = F.split(text, form, -1), F.regexp_extract_all(text, F.lit(form), F.lit(0))
+    return F.array_join(F.flatten(F.zip_with(F.transform(plain, change), F.transform(held, also), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
 
 
 def entries(sources: DataFrame) -> DataFrame:
-    """Feeds to one row per entry element, in order. Cutting first keeps a broken entry from its neighbours."""
-    found = F.regexp_extract_all(F.coalesce("payload", F.lit("")), F.lit(r"(?s)<(item|entry)[\s>].*?</\1\s*>"), F.lit(0))
-    rows = sources.select(*common.SOURCE_COLUMNS, F.posexplode(found).alias("entry_ord", "xml"))
+    """Feeds to one row per entry element, in order. Cutting first keeps a broken entry from its neighbours.
+
+    CDATA sections and comments are taken out before, so markup in them cuts nothing; the sections are put back into the entries after.
+    """
+    payload = F.replace(F.coalesce("payload", F.lit("")), F.lit(_HOLE), F.lit(""))
+    numbered = F.transform(F.split(payload, _VERBATIM, -1), lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.lit(_HOLE), i.cast("string"), F.lit(_HOLE), x)))
+    cut = F.regexp_extract_all(F.array_join(numbered, ""), F.lit(r"(?s)<(item|entry)[\s>].*?</\1\s*>"), F.lit(0))
+    rows = sources.select(*common.SOURCE_COLUMNS, cut.alias("cut"), F.regexp_extract_all(payload, F.lit(_VERBATIM), F.lit(0)).alias("held"))
+    hole = f"{_HOLE}[0-9]+{_HOLE}"
+
+    def back(number: Column) -> Column:
+        part = F.get("held", F.replace(number, F.lit(_HOLE), F.lit("")).cast("int") - 1)
+        return F.when(F.startswith(part, F.lit("<!--")), "").otherwise(part)
+
+    whole = F.transform("cut", lambda x: _between(x, hole, lambda plain: plain, back))
+    rows = rows.select(*common.SOURCE_COLUMNS, F.posexplode(whole).alias("entry_ord", "xml"))
     return rows.withColumnRenamed("id", "source_id").drop("url")
 
 
+@cache
+def _names() -> str:
+    """The named characters of HTML 4 as a JSON object."""
+    return json.dumps({name: chr(point) for name, point in name2codepoint.items()})
+
+
 def _escaped(xml: Column) -> Column:
-    """Bare ampersands escaped outside CDATA sections."""
-    opening, closing = "<![CDATA[", "]]>"
+    """Outside CDATA sections, names that HTML gives to characters become these, and other bare ampersands are escaped."""
+    known = F.from_json(F.lit(_names()), "map<string,string>")
 
-    def piece(text: Column, i: Column) -> Column:
-        data = F.substring_index(text, closing, 1)
-        rest = F.substr(text, F.length(data) + len(closing) + 1)
-        kept = F.when(F.contains(text, F.lit(closing)), F.concat(data, F.lit(closing), F.regexp_replace(rest, _BARE, "&amp;"))).otherwise(text)
-        return F.when(i == 0, F.regexp_replace(text, _BARE, "&amp;")).otherwise(kept)
+    def character(reference: Column) -> Column:
+        return F.coalesce(F.try_element_at(known, F.substr(reference, F.lit(2), F.length(reference) - 2)), F.concat(F.lit("&amp;"), F.substr(reference, F.lit(2))))
 
-    return F.array_join(F.transform(F.split(xml, r"<!\[CDATA\["), piece), opening)
+    return _between(xml, _VERBATIM, lambda text: _between(text, _NAMED, lambda plain: F.regexp_replace(plain, _BARE, "&amp;"), character))
 
 
 def parsed(rows: DataFrame) -> DataFrame:
-    """Add ``e`` (the entry's fields); entries that are no XML are tried again with bare ampersands escaped."""
+    """Add ``e`` (the entry's fields); entries that are no XML are tried again with HTML's names resolved and bare ampersands escaped."""
     once = rows.withColumn("e", F.from_xml("xml", ENTRY, _OPTIONS))
     repaired = F.from_xml(_escaped(F.col("xml")), ENTRY, _OPTIONS)
     return once.withColumn("e", F.when(F.col("e._corrupt_record").isNull(), F.col("e")).otherwise(repaired))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,69 +24,107 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4"))
 
 
-class _Tree(HTMLParser):
-    """Open-element stack; remembers links with their descendants' texts."""
+class _Page(HTMLParser):
+    """One list of a page's texts, and for every element where its texts begin and end and which elements it holds.
+
+    Elements are numbered as they open, so those inside an element are the numbers up to its ``last``. Each tag
+    knows the places on the stack where it is open; thus work grows with the page, however deep it nests.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[dict] = []
-        self.links: list[dict] = []
+        self.texts: list[str] = []
+        self.begin: list[int] = []
+        self.end: list[int] = []
+        self.last: list[int] = []
+        self.parent: list[int] = []
+        self.stack: list[int] = []
+        self.tags: list[str] = []  # of the stack
+        self.open: dict[str, list[int]] = {}
+        self.found: dict[str, list[int]] = {tag: [] for tag in ("a", "time", "span", "p")}
+        self.found["heading"] = []
+        self.attrs: dict[int, dict[str, str]] = {}  # of links and times
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        values = {k: v or "" for k, v in attrs}
-        node = {"tag": tag, "attrs": values, "texts": [], "parent": self.stack[-1] if self.stack else None}
-        if tag == "a" and "href" in values:
-            node["inside"] = []
-            self.links.append(node)
-        for link in self.stack:
-            if "inside" in link:
-                link["inside"].append(node)
+        number = len(self.begin)
+        self.begin.append(len(self.texts))
+        self.end.append(len(self.texts))
+        self.last.append(number)
+        self.parent.append(self.stack[-1] if self.stack else -1)
+        kind = "heading" if tag in _HEADINGS else tag
+        if tag in ("a", "time"):
+            values = {k: v or "" for k, v in attrs}
+            kind = kind if tag == "time" or "href" in values else ""
+            self.attrs[number] = values
+        if kind in self.found:
+            self.found[kind].append(number)
         if tag not in _VOID:
-            self.stack.append(node)
+            self.open.setdefault(tag, []).append(len(self.stack))
+            self.stack.append(number)
+            self.tags.append(tag)
+
+    def _close(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            number = self.stack.pop()
+            self.open[self.tags.pop()].pop()
+            self.end[number], self.last[number] = len(self.texts), len(self.begin) - 1
 
     def handle_endtag(self, tag: str) -> None:
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i]["tag"] == tag:
-                del self.stack[i:]
-                return
+        if self.open.get(tag):
+            self._close(self.open[tag][-1])
 
     def handle_data(self, data: str) -> None:
         piece = data.strip()
-        if piece and not (self.stack and self.stack[-1]["tag"] in ("script", "style")):
-            for node in self.stack:
-                node["texts"].append(piece)
-
-
-def _within(node: dict, ancestor: dict) -> bool:
-    while node is not None:
-        if node is ancestor:
-            return True
-        node = node["parent"]
-    return False
-
-
-def _describe(link: dict) -> dict:
-    def text(node: dict) -> str:
-        return " ".join(node["texts"])
-
-    inside = link["inside"]
-    heading = next((n for n in inside if n["tag"] in _HEADINGS), None)
-    time = next((n for n in inside if n["tag"] == "time"), None)
-    block = time["parent"] if time and time["parent"] is not link else None
-    return {
-        "href": link["attrs"]["href"],
-        "heading": text(heading) if heading else "",
-        "spans": [{"text": text(n), "in_meta": block is not None and _within(n["parent"], block)} for n in inside if n["tag"] == "span"],
-        "time": (time["attrs"].get("datetime") or text(time)).strip() if time else None,
-        "paragraphs": [text(n) for n in inside if n["tag"] == "p"],
-    }
-
-
-_ARROW_LINK = pa.schema([
-    ("source_id", pa.string()), ("source_ord", pa.int32()), ("entry_ord", pa.int64()), ("href", pa.string()), ("heading", pa.string()),
-    ("spans", pa.list_(pa.struct([("text", pa.string()), ("in_meta", pa.bool_())]))), ("time", pa.string()), ("paragraphs", pa.list_(pa.string())),
-])
-_LINK = "source_id string, source_ord int, entry_ord bigint, href string, heading string, spans array<struct<text:string,in_meta:boolean>>, time string, paragraphs array<string>"
+        if piece and not (self.tags and self.tags[-1] in ("script", "style")):
+            self.texts.append(piece)
+
+    def close(self) -> None:
+        super().close()
+        self._close(0)
+        self.size = [0, *accumulate(map(len, self.texts))]
+        self.worded = [n for n in self.found["span"] if self.begin[n] < self.end[n]]
+        self.paragraphs = [n for n in self.found["p"] if self.begin[n] < self.end[n] and not self._is_call(n)]
+
+    def text(self, number: int) -> str:
+        return " ".join(self.texts[self.begin[number] : self.end[number]])
+
+    def _length(self, number: int) -> int:
+        a, b = self.begin[number], self.end[number]
+        return self.size[b] - self.size[a] + max(0, b - a - 1)
+
+    def _is_call(self, number: int) -> bool:
+        return self._length(number) < EXCERPT_LENGTH and self.text(number).lower().rstrip(LABEL_END) in ACTIONS
+
+    def _first(self, numbers: list[int], after: int, within: int) -> int | None:
+        """The first of ``numbers`` above ``after`` that element ``within`` holds."""
+        at = bisect(numbers, after)
+        return numbers[at] if at < len(numbers) and numbers[at] <= self.last[within] else None
+
+    def describe(self, link: int) -> tuple[str, str | None, str]:
+        """Title, shown date and excerpt of a link.
+
+        The title is the text of the first heading, else of the first span outside the block that holds the date.
+        The excerpt is the first paragraph that neither repeats the title nor is a short call to action.
+        """
+        heading, time = self._first(self.found["heading"], link, link), self._first(self.found["time"], link, link)
+        title = "" if heading is None else self.text(heading)
+        if not title:
+            span = self._first(self.worded, link, link)
+            block = -1 if time is None or self.parent[time] == link else self.parent[time]
+            if span is not None and block < span <= (self.last[block] if block >= 0 else -1):
+                span = self._first(self.worded, self.last[block], link)
+            title = "" if span is None else self.text(span)
+        paragraph = self._first(self.paragraphs, link, link)
+        while paragraph is not None and self._length(paragraph) == len(title) and self.text(paragraph) == title:
+            paragraph = self._first(self.paragraphs, paragraph, link)
+        shown = None if time is None else (self.attrs[time].get("datetime") or self.text(time)).strip()
+        return title, shown, "" if paragraph is None else self.text(paragraph)
+
+
+_LINK = "source_id string, source_ord int, entry_ord bigint, href string, title string, time string, excerpt string"
+_ARROW_LINK = pa.schema([("source_id", pa.string()), ("source_ord", pa.int32()), ("entry_ord", pa.int64()), *((c, pa.string()) for c in ("href", "title", "time", "excerpt"))])
+#: Links of a page that are handed on at once.
+_LINKS_AT_ONCE = 1024
 
 
 def links(sources: DataFrame) -> DataFrame:
@@ -96,13 +136,14 @@ def links(sources: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
             for ident, source_ord, selector, payload in zip(*(c.to_pylist() for c in batch.columns)):
-                tree = _Tree()
-                tree.feed(payload or "")
-                tree.close()
-                found += [{"source_id": ident, "source_ord": source_ord, "entry_ord": i, **_describe(a)} for i, a in enumerate(tree.links) if (selector or "") in a["attrs"]["href"]]
-            yield pa.RecordBatch.from_pylist(found, _ARROW_LINK)
+                page = _Page()
+                page.feed(payload or "")
+                page.close()
+                wanted = [(i, a) for i, a in enumerate(page.found["a"]) if (selector or "") in page.attrs[a]["href"]]
+                for at in range(0, len(wanted), _LINKS_AT_ONCE):
+                    rows = [(ident, source_ord, i, page.attrs[a]["href"], *page.describe(a)) for i, a in wanted[at : at + _LINKS_AT_ONCE]]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), _ARROW_LINK)], schema=_ARROW_LINK)
 
     return sources.select("id", "source_ord", "selector", "payload").mapInArrow(run, _LINK)
 
@@ -113,21 +154,6 @@ def raw_links(pages: DataFrame, html: str = "html") -> DataFrame:
     return pages.select("*", F.posexplode(found).alias("entry_ord", "href"))
 
 
-def title() -> Column:
-    """Text of the first heading, else of the first span outside the block that holds the date."""
-    outside = F.filter("spans", lambda s: ~s["in_meta"] & (s["text"] != ""))
-    return F.coalesce(F.nullif("heading", F.lit("")), F.get(outside, F.lit(0))["text"], F.lit(""))
-
-
-def excerpt(paragraphs: Column, title_: Column) -> Column:
-    """First paragraph that neither repeats the title nor is a short call to action."""
-    def label(p: Column) -> Column:
-        return F.regexp_replace(F.lower(p), f"[{LABEL_END}]+$", "")
-
-    good = F.filter(paragraphs, lambda p: (p != "") & (p != title_) & ~((F.length(p) < EXCERPT_LENGTH) & label(p).isin(*ACTIONS)))
-    return F.coalesce(F.get(good, F.lit(0)), F.lit(""))
-
-
 def same_domain(url: Column, base: Column) -> Column:
     return (urls.authority(base) == "") | (urls.authority(url) == urls.authority(base))
 
@@ -148,10 +174,10 @@ def judged(sources: DataFrame, run_ts: Column) -> DataFrame:
     about = sources.select(F.col("id").alias("source_id"), "source_ord", "lang", "section", F.when(common.text(F.col("base_url")) != "", F.col("base_url")).otherwise(F.col("url")).alias("base"))
     rows = links(sources).join(about, ["source_id", "source_ord"])
     rows = rows.withColumn("url", urls.resolve(F.col("base"), F.col("href"))).where(same_domain(F.col("url"), F.col("base")))
-    rows = first_of_page(rows.withColumn("title", title()), F.col("title") != "")
+    rows = first_of_page(rows, F.col("title") != "")
     return rows.select(
         "source_id", "source_ord", "entry_ord", F.col("url").alias("guid"), "title", F.coalesce(dates.displayed(F.col("time")), run_ts).alias("published_at"),
-        "lang", "section", "url", excerpt(F.col("paragraphs"), F.col("title")).alias("content"), F.when(F.col("title") == "", "no usable title").alias("reject"),
+        "lang", "section", "url", F.col("excerpt").alias("content"), F.when(F.col("title") == "", "no usable title").alias("reject"),
     )
 
 

@@ -20,11 +20,9 @@ def at(value: Column, dotted: Column) -> Column:
     return F.try_variant_get(value, path(dotted), "variant")
 
 
-def root(payload: Column, root_path: Column) -> Column:
-    """The entries at ``root_path`` (empty: the payload) as an array; null if that is no list."""
-    whole = F.try_parse_json(payload)
-    there = F.when(F.coalesce(root_path, F.lit("")) == "", whole).otherwise(at(whole, root_path))
-    return F.when(F.schema_of_variant(there).startswith("ARRAY<"), there.try_cast("array<variant>"))
+def root(whole: Column, root_path: Column) -> Column:
+    """What stands at ``root_path`` (empty: the whole) of a parsed payload, as a variant."""
+    return F.when(F.coalesce(root_path, F.lit("")) == "", whole).otherwise(at(whole, root_path))
 
 
 def field(entry: Column, mapping: Column, name: str) -> Column:
@@ -72,10 +70,26 @@ def bad_template(template: Column) -> Column:
     return F.rlike(F.regexp_replace(template, r"\{guid\}|\{\{|\}\}", ""), F.lit("[{}]"))
 
 
+def _listed(sources: DataFrame) -> DataFrame:
+    """Sources with their ``list``, and ``failure`` where the payload is no JSON. A payload is parsed here, once."""
+    parsed = sources.select(*common.SOURCE_COLUMNS, F.try_parse_json("payload").alias("whole"))
+    failure = F.when(F.col("whole").isNull(), common.short_reason(F.lit("JSONDecodeError"), F.lit("payload is not JSON")))
+    return parsed.select(*common.SOURCE_COLUMNS, root(F.col("whole"), F.col("root_path")).alias("list"), failure.alias("failure"))
+
+
+def _exploded(listed: DataFrame) -> DataFrame:
+    """One row per entry of a list, in order, and one without ``entry_ord`` for a source whose payload failed.
+
+    A list is walked, not copied into an array. Entries of an object, which have a key, are none; other values have no entries.
+    """
+    walked = listed.lateralJoin(listed.sparkSession.tvf.variant_explode_outer(F.col("list").outer())).where("(pos is not null and key is null) or failure is not null")
+    rows = walked.select(*common.SOURCE_COLUMNS, "failure", F.col("pos").alias("entry_ord"), F.col("value").alias("entry"))
+    return rows.withColumnRenamed("id", "source_id").withColumn("source_url", F.col("url")).drop("url")
+
+
 def entries(sources: DataFrame) -> DataFrame:
     """Payload lists to one row per entry, in order."""
-    rows = sources.select(*common.SOURCE_COLUMNS, F.posexplode(root(F.col("payload"), F.col("root_path"))).alias("entry_ord", "entry"))
-    return rows.withColumnRenamed("id", "source_id").withColumn("source_url", F.col("url")).drop("url")
+    return _exploded(_listed(sources)).where("failure is null").drop("failure")
 
 
 def project(rows: DataFrame, run_ts: Column) -> DataFrame:
@@ -94,13 +108,13 @@ def project(rows: DataFrame, run_ts: Column) -> DataFrame:
         "source_id", "source_ord", "entry_ord", guid.alias("guid"), truthy_text(F.col("_title")).alias("title"),
         instant(F.col("_published"), run_ts).alias("published_at"), "lang", "section",
         F.when(template != "", template_url(template, guid)).otherwise(truthy_text(F.col("_url"))).alias("url"),
-        truthy_text(F.col("_content")).alias("content"), reject.alias("reject"),
+        truthy_text(F.col("_content")).alias("content"), reject.alias("reject"), *(["failure"] if "failure" in rows.columns else []),
     )
 
 
 def judged(sources: DataFrame, run_ts: Column) -> DataFrame:
-    """Every entry of the lists, accepted or with its ``reject``."""
-    return project(entries(sources), run_ts)
+    """Every entry of the lists, accepted or with its ``reject``; and one row with its ``failure`` for each payload that is no JSON."""
+    return project(_exploded(_listed(sources)), run_ts)
 
 
 def items(sources: DataFrame, run_ts: Column) -> tuple[DataFrame, DataFrame]:

@@ -280,6 +280,34 @@ def odd_feed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _declared(views.documents(spark, sf_dir), "rss", F.concat(F.lit("<rss>"), _joined("doc_id", entry, "\n"), F.lit("</rss>")))
 
 
+def marked_feed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feeds whose contents hold the ends of entries, in CDATA sections and comments, and whose titles use HTML's names."""
+    n, number = F.col("doc_id"), F.col("doc_id").cast("string")
+    words = F.replace(F.regexp_replace(_text(), _NO_XML, " "), F.lit("]]>"), F.lit("]] >"))
+    names = F.when(n % 3 == 0, " caf&eacute;&nbsp;&hellip;").when(n % 3 == 1, " R&D &copy; &nosuch; &amp; &#233;").otherwise("")
+    tag = F.when(n % 2 == 0, "item").otherwise("entry")
+    entry = F.concat(
+        F.when(n % 5 == 0, "<!-- <item><title>gone</title></item> -->").otherwise(""), F.lit("<"), tag, F.lit("><title>t"), number, names, F.lit("</title><guid>"), number, F.lit("</guid>"),
+        F.when(n % 4 == 0, "<!-- </item></entry> <entry> -->").otherwise(""), F.lit("<description><![CDATA["), F.when(n % 2 == 1, "</entry></item><item> <!-- ").otherwise("&nbsp; "), words, F.lit("]]></description></"), tag, F.lit(">"),
+    )
+    return _declared(views.documents(spark, sf_dir), "rss", F.concat(F.lit("<feed>"), _joined("doc_id", entry, "\n"), F.lit("</feed>")))
+
+
+_MARKED_SQL = r"""
+m AS (SELECT doc_id, doc_id::VARCHAR AS guid, 't' || doc_id || CASE doc_id % 3 WHEN 0 THEN ' café' || chr(160) || '…' WHEN 1 THEN ' R&D © &nosuch; & é' ELSE '' END AS title,
+  CASE WHEN doc_id % 2 = 1 THEN '</entry></item><item> <!-- ' ELSE '&nbsp; ' END || replace(regexp_replace(regexp_replace(coalesce(text, ''), '[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFE}\x{FFFF}]', ' ', 'g'), '\r\n?', chr(10), 'g'), ']]>', ']] >') AS body FROM documents)
+"""
+
+
+def feed_marked_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = feed_items.items(marked_feed_sources(spark, sf_dir), views.run_ts())
+    return found.select("guid", F.md5("content").alias("content_md5"))
+
+
+def feed_named_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feed_items.items(marked_feed_sources(spark, sf_dir), views.run_ts())[0].select("guid", "title")
+
+
 _ZONES = [("GMT", 0), ("EST", -5), ("EDT", -4), ("CST", -6), ("MST", -7), ("PDT", -7), ("UT", 0)]
 _ODD_FEED_SQL = """
 o AS (SELECT doc_id, 't' || doc_id AS title, 'https://perma.example/' || doc_id AS guid, TIMESTAMP '2024-05-25' + to_minutes(doc_id) AS published_at,
@@ -426,7 +454,7 @@ def empty_config(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def failure_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.documents(spark, sf_dir).select("doc_id", payloads.short_reason(F.lit("ValueError"), F.coalesce("text", F.lit(""))).alias("reason"))
+    return views.documents(spark, sf_dir).select("doc_id", common.short_reason(F.lit("ValueError"), F.coalesce("text", F.lit(""))).alias("reason"))
 
 
 def item_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -507,6 +535,8 @@ SQL = {
     "feed_permalink": f"WITH {_ODD_FEED_SQL} SELECT title, guid, url FROM o",
     "feed_xhtml": f"WITH {_ODD_FEED_SQL} SELECT title, content FROM o",
     "feed_zones": f"WITH {_ODD_FEED_SQL} SELECT title, published_at FROM o",
+    "feed_marked_entries": f"WITH {_MARKED_SQL} SELECT guid, md5(regexp_replace(body, '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g')) AS content_md5 FROM m",
+    "feed_named_characters": f"WITH {_MARKED_SQL} SELECT guid, title FROM m",
     "crawl_run": f"""WITH {_CARDS_SQL}, c AS (SELECT source_id, regexp_replace(split_part(source_id, '-', 1), '[^0-9]', '', 'g')::INT % 3 AS k, split_part(source_id, '-', 2) AS chunk, count(*) AS n FROM h GROUP BY 1),
 b AS (SELECT *, k = 1 OR (k = 0 AND chunk LIKE '1%') AS blocked FROM c) SELECT source_id, CASE WHEN blocked THEN 0 ELSE n END AS n_collected, '' AS reason, CASE WHEN blocked THEN 'silent' ELSE 'ok' END AS state FROM b""",
     "html_links": f"WITH {_LINKS_SQL} SELECT page_id, entry_ord, href FROM raw",

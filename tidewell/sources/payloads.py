@@ -36,19 +36,11 @@ def of_registry(registry: DataFrame, files: DataFrame) -> DataFrame:
     return registry.join(landed, plain(F.col("url")) == F.col("_path"), "left").drop("_path")
 
 
-def short_reason(kind: Column, message: Column) -> Column:
-    """First line of a failure's message, cut to 110 characters, after its kind."""
-    line = F.trim(F.substring_index(message, "\n", 1))
-    return F.concat(kind, F.lit(": "), F.when(F.length(line) > 110, F.concat(F.left(line, F.lit(107)), F.lit("..."))).otherwise(line))
-
-
 def failure(type_: Column, payload: Column) -> Column:
-    """Why a source as a whole yields nothing; empty if it can be read."""
-    unread = (type_ == "json") & F.try_parse_json(payload).isNull()
+    """Why a source as a whole yields nothing, as far as shows without parsing; empty otherwise."""
     return (
         F.when(~type_.isin(*CONNECTORS), F.concat(F.lit("unknown source type '"), type_, F.lit("'")))
-        .when(payload.isNull() & (type_ != "rss"), short_reason(F.lit("FileNotFoundError"), F.lit("payload missing")))
-        .when(unread, short_reason(F.lit("JSONDecodeError"), F.lit("payload is not JSON")))
+        .when(payload.isNull() & (type_ != "rss"), common.short_reason(F.lit("FileNotFoundError"), F.lit("payload missing")))
         .otherwise("")
     )
 
@@ -58,8 +50,8 @@ def collect(sources: DataFrame, run_ts: Column, robots: DataFrame | None = None)
 
     ``sources`` are registry rows with ``payload``. A source that fails, or an entry that is
     rejected, never takes others with it. With ``robots`` (``host, body``), a page whose host forbids
-    it yields nothing, without being a failure. Every payload is parsed once: entries are
-    written as a table and then split. Items carry ``source_ord, entry_ord, item_ord``.
+    it yields nothing, without being a failure. Every payload is parsed once: entries, and
+    the failures that parsing finds, are written as a table and then split. Items carry ``source_ord, entry_ord, item_ord``.
     """
     judged = sources.withColumn("reason", failure(F.col("type"), F.col("payload")))
     open_pages = judged if robots is None else html_items.crawl_permission(judged, robots, AGENT).where("allowed or type <> 'scrape'").drop("allowed")
@@ -67,6 +59,9 @@ def collect(sources: DataFrame, run_ts: Column, robots: DataFrame | None = None)
     parts = []
     for kind, connector in CONNECTORS.items():
         entries = connector(open_pages.where((F.col("type") == kind) & (F.col("reason") == "")), run_ts)
-        parts.append(entries.withColumn("entry_ord", F.col("entry_ord").cast("bigint")).select(*columns))
+        entries = entries if "failure" in entries.columns else entries.withColumn("failure", F.lit(None).cast("string"))
+        parts.append(entries.withColumn("entry_ord", F.col("entry_ord").cast("bigint")).select(*columns, "failure"))
     entries, _ = materialize(reduce(DataFrame.unionByName, parts), "entries")
-    return *common.split(entries), judged.drop("payload")
+    failed = entries.where("failure is not null").select("source_ord", "failure")
+    judged = judged.drop("payload").join(failed, "source_ord", "left")
+    return *common.split(entries), judged.withColumn("reason", F.coalesce("failure", "reason")).drop("failure")
