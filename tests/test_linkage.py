@@ -3,12 +3,13 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
 
 from tidewell.operators import common, linkage
-from tidewell.operators.components import connected_components
+from tidewell.operators.components import connected_components, star_forest
 
 FIELDS = "item_ord long, source_id string, guid string, url string, title string"
 
@@ -66,6 +67,30 @@ def test_components_of_random_graphs(spark):
     assert got == {a: find(a) for a in list(up)}
 
 
+def test_stars_of_some_edges():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 30, 300):
+        a, b = rng.integers(-50, 50, n), rng.integers(-50, 50, n)
+        u, v = star_forest(a, b)
+        assert set(u.tolist()) | set(v.tolist()) == set(a.tolist()) | set(b.tolist()) and len(set(u.tolist())) == len(u)
+        assert not (set(u[u != v].tolist()) & set(v.tolist())) and (u >= v).all()
+        up = dict(zip(u.tolist(), v.tolist()))
+        assert all(up.get(x, x) == up.get(y, y) for x, y in zip(a.tolist(), b.tolist()))
+        assert len(set(map(lambda x: up.get(x, x), a.tolist()))) <= len({*a.tolist(), *b.tolist()})
+
+
+def test_contraction_saves_rounds(spark):
+    chain = spark.range(3000).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    seen = {}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)  # so that single edges can be contracted, which changes nothing
+    for at_once in (1, 1 << 20):
+        seen[at_once] = []
+        got = connected_components(chain.repartition(4, F.xxhash64("src")), rounds=seen[at_once], contract_rows=at_once)
+        assert {r.node: r.component for r in got.collect()} == {i: 0 for i in range(3001)}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert 2 * len(seen[1 << 20]) <= len(seen[1]) and 2 * sum(seen[1 << 20]) < sum(seen[1])
+
+
 def test_components_of_nothing(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).select(F.count("*")).first()[0] == 0
 
