@@ -9,6 +9,7 @@ import compare
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tidewell.llm import catalog, exact_dedup, line_dedup, simhash, tables
 from tidewell.operators.components import connected_components
@@ -166,6 +167,27 @@ def test_every_repeated_run_goes(spark):
     assert got[3] == "" and not [t for i, t in got.items() if i >= 500 and i % 10 and "w0n0" in t]
 
 
+@pytest.mark.parametrize("number", [-1, 1_000_000])
+def test_a_long_text_shared_with_many(spark, number):
+    """A text of 32,000 lines whose lines stand, four by four, in 8,000 other texts, before them and after them."""
+    n = 8000
+    line = lambda i: F.concat(F.lit("line number "), i.cast("string"), F.lit(" of the long text"))
+    part = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: line(F.col("id") * 4 + k)), "\n")
+    whole = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(4 * n - 1)), line), "\n")
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), part.alias("text")).unionAll(spark.range(1).select(F.lit(number).cast("long"), whole))
+    gone = {r.doc_id: r.n for r in line_dedup.line_dedup(docs).select("doc_id", F.size("deleted").alias("n")).where("n > 0").collect()}
+    assert gone == ({number: 4 * n} if number > 0 else {i: 4 for i in range(n)})
+
+
+def test_runs_grow_from_fingerprints(spark):
+    lines = [f"l{i}" for i in range(40)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(["x", *lines[5:30], "y"])), (3, "\n".join([*lines[3:5], "z", "l39"]))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (len(r.deleted), r.n_extended) for r in line_dedup.repeated_lines(table)[1].collect()}
+    assert got[2] == (25, 25) and got[3][0] == 2
+    assert [r.text for r in line_dedup.line_dedup(table).orderBy("doc_id").collect()] == [rows[0][1], "x\ny", "z\nl39"]
+
+
 def test_lines_edges(spark):
     out = line_dedup.line_dedup(cases.edges(spark))
     assert out.columns == ["doc_id", "text", "score", "deleted"] and out.count() == len(cases.EDGES)

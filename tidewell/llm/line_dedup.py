@@ -8,23 +8,25 @@ words is a fingerprint of its own.
 
 A fingerprint joins the first place of its gram (smallest document, then position). That is
 an aggregation with map-side combine and one row per distinct gram, never pairs of places, so
-a passage that a third of all documents hold stays linear; the join of places with first places
-is many-to-one, which AQE splits where it is skewed. A join gives a diagonal: two documents and
-the difference of places. Along it the match is extended both ways by comparing the two arrays
-of line hashes, and runs of ``GRAM`` lines or more, and long lines, are deleted at the later place.
+a passage that a third of all documents hold stays linear; places join first places with hot grams salted.
+A join gives a diagonal: two documents and the difference of places. Along it the match is extended both
+ways: grams that follow one another in both documents are a run (their positions less their number agree), and a
+run that holds a fingerprint is deleted at the later place. Rows stay one per matched place, however long texts are.
 
 Runs shorter than the guaranteed length, and the parts of a run that occurred earlier in other
 places than its fingerprints' first ones, need not lie on such a diagonal. So an exact check
-follows: the grams between fingerprints are held against the first place of their own gram. In
-the end a line is deleted exactly if it is long, or in a gram, and that occurred at an earlier place.
+follows: the other grams are deleted where their own gram has an earlier place. In the end a line is deleted
+exactly if it is long, or in a gram, and that occurred at an earlier place. For this all grams, not only
+fingerprints, must meet the first place of their own (README gives figures).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewell.llm.tables import SPACE, whole_text
+from tidewell.llm.tables import SPACE, join_groups, whole_text
 from tidewell.session import materialize
 
 #: Lines of a gram, grams of a window, and words of a line that is a fingerprint alone.
@@ -70,33 +72,28 @@ def _places(lines: Column) -> Column:
 def repeated_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Per distinct ``doc_id, version`` (hash of the text): its number of lines, and what is deleted.
 
-    Returns ``(doc_id, version, n_lines)`` and ``(doc_id, version, deleted)``; ``deleted`` are
-    positions among all lines, ascending, and rows without deletions are absent there. Rows with
+    Returns ``(doc_id, version, n_lines)`` and ``(doc_id, version, deleted, n_extended)``; ``deleted`` are
+    positions among all lines, ascending, ``n_extended`` of them in runs that hold a fingerprint, and
+    rows without deletions are absent there. Rows with
     a null ``doc_id`` neither lose lines nor count as an earlier place.
     """
     keyed = docs.where("doc_id is not null").select("doc_id", F.xxhash64(whole_text()).alias("version"), _lines(whole_text()).alias("lines"))
     lines, _ = materialize(keyed, "lines")
     lines = lines.dropDuplicates(["doc_id", "version"])
-    places, _ = materialize(lines.select("doc_id", "version", F.explode(_places(F.col("lines"))).alias("p")).select("doc_id", "version", "p.*"), "places")
-    first = places.groupBy("a", "b", "lone").agg(F.min(F.struct("doc_id", "version", "i")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    first = first.select("a", "b", "lone", F.col("first.doc_id").alias("first_id"), F.col("first.version").alias("first_version"), F.col("first.i").alias("first_i"))
-    later = places.join(first, ["a", "b", "lone"]).where("not (doc_id = first_id and version = first_version and i = first_i)")
-    later, _ = materialize(later.select("doc_id", "version", "i", "at", "last_at", "picked", "first_id", "first_version", "first_i"), "later")
-    diagonals = later.where("picked").select("doc_id", "version", "first_id", "first_version", (F.col("first_i") - F.col("i")).alias("shift")).distinct()
-
-    earlier = lines.select(F.col("doc_id").alias("first_id"), F.col("version").alias("first_version"), F.transform("lines", lambda x: x["h"]).alias("theirs"))
-    own = lines.select("doc_id", "version", F.transform("lines", lambda x: F.struct(x["at"], x["h"], x["long"])).alias("lines"))
-    both = diagonals.join(earlier, ["first_id", "first_version"]).join(own, ["doc_id", "version"])
-    agrees = F.transform("lines", lambda x, i: F.coalesce(x["h"] == F.get("theirs", i + F.col("shift")), F.lit(False)))
-    both = both.select("doc_id", "version", "lines", agrees.alias("same"))
-
-    def gone(x: Column, i: Column) -> Column:
-        near = F.coalesce(F.get("same", i - 1), F.lit(False)) | F.coalesce(F.get("same", i + 1), F.lit(False))
-        return F.when(F.get("same", i) & (near | x["long"]), x["at"])
-
-    along = both.select("doc_id", "version", F.array_compact(F.transform("lines", gone)).alias("gone"))
-    between = later.where("not picked").groupBy("doc_id", "version").agg(F.array_distinct(F.flatten(F.collect_list(F.array("at", "last_at")))).alias("gone"))
-    deleted = along.unionAll(between).groupBy("doc_id", "version").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("deleted")).where(F.size("deleted") > 0)
+    places = lines.select("doc_id", "version", F.explode(_places(F.col("lines"))).alias("p"))
+    places, _ = materialize(places.select("doc_id", "version", "p.i", "p.at", "p.last_at", F.struct("p.a", "p.b", "p.lone").alias("gram"), "p.picked"), "places")
+    first = places.groupBy("gram").agg(F.min(F.struct("doc_id", "version", "i")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first, _ = materialize(first, "firsts")
+    joined = join_groups(places, first, "gram", places.count(), ["doc_id", "version", "i"]).where("first is not null")
+    later = joined.where("not (doc_id = first.doc_id and version = first.version and i = first.i)")
+    later = later.select("doc_id", "version", "i", "at", "last_at", "picked", F.col("first.doc_id").alias("first_id"), F.col("first.version").alias("first_version"), (F.col("first.i") - F.col("i")).alias("shift"), F.col("gram.lone").alias("lone"))
+
+    diagonal = ["doc_id", "version", "first_id", "first_version", "shift", "lone"]
+    run = F.col("i") - F.row_number().over(W.partitionBy(*diagonal).orderBy("i"))
+    in_runs = later.withColumn("run", run).withColumn("extended", F.max("picked").over(W.partitionBy(*diagonal, "run")))
+    gone = in_runs.select("doc_id", "version", F.explode(F.array("at", "last_at")).alias("at"), "extended")
+    gone = gone.groupBy("doc_id", "version", "at").agg(F.max("extended").alias("extended"))
+    deleted = gone.groupBy("doc_id", "version").agg(F.array_sort(F.collect_list("at")).alias("deleted"), F.count_if("extended").alias("n_extended"))
     return lines.select("doc_id", "version", F.size("lines").alias("n_lines")), deleted
 
 
@@ -109,8 +106,10 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     """
     _, deleted = repeated_lines(docs)
     keyed = docs.drop("deleted").withColumn("_version", F.xxhash64(whole_text()))
-    joined = keyed.join(deleted.withColumnRenamed("version", "_version"), ["doc_id", "_version"], "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("deleted", i)), "\n")
+    joined = keyed.join(deleted.drop("n_extended").withColumnRenamed("version", "_version"), ["doc_id", "_version"], "left")
+    lines = F.split("text", "\n")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("deleted"))
+    kept = F.element_at(F.transform(F.array(lines), lambda own: F.array_join(F.transform(stay, lambda i: F.get(own, i)), "\n")), 1)
     out = joined.withColumn("text", F.when(F.col("deleted").isNull(), F.col("text")).otherwise(kept))
     return out.withColumn("deleted", F.coalesce("deleted", F.array().cast("array<int>"))).select(*[c for c in docs.columns if c != "deleted"], "deleted")
 
