@@ -83,7 +83,7 @@ CONFIRM = {
 
 def _running(values: Column, combine) -> Column:
     """Running total of an array under an associative ``combine``, by doubling steps (n log n, no growing arrays)."""
-    steps = F.array(*[F.lit(1 << i) for i in range(24)])
+    steps = F.transform(F.sequence(F.lit(1), F.length(F.bin(F.size(values)))), lambda i: F.call_function("shiftleft", F.lit(1), i - 1))
 
     def double(total: Column, k: Column) -> Column:
         n = F.size(total)
