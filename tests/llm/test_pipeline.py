@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from test_bpe import ALPHABET
 from test_scans import BASE, confirmed
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tidewell.llm import bpe, packing, tables
@@ -22,6 +23,14 @@ SF = f"{compare.DATA}/sf0.001"
 JSON = P.path("byte_bpe_50k.json")
 
 
+def test_added_tokens_as_the_library_gives_them():
+    plain, own = Tokenizer.from_file(JSON), packing.ids_of(JSON)
+    for text in ("<|endoftext|>", "a <|endoftext|> b", "a<|endoftext|><|endoftext|>\n é", "<|endoftext", "no |endoftext|>", "x  <|endoftext|>  y " * 3):
+        want = plain.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == want, text
+    assert np.frombuffer(own.encode("<|endoftext|>"), "<u4").tolist() == [50256]
+
+
 def test_ids_are_those_of_the_tokenizers_library():
     own, codec, rng = packing.ids_of(JSON), bpe.codec(JSON), random.Random(5)
     assert own.plain is not None

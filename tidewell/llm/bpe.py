@@ -67,7 +67,6 @@ class Codec:
     def __init__(self, path: str, pattern: str | None):
         if pattern is None:
             self.tokenizer = Tokenizer.from_file(path)
-            self.tokenizer.encode_special_tokens = True
         else:
             self.tokenizer = _from_ranks(path, pattern)
         of_char = {c: b for b, c in enumerate(byte_characters())}
@@ -76,6 +75,7 @@ class Codec:
         for token, i in vocabulary.items():
             self.bytes_of[i] = bytes(of_char[c] for c in token) if all(c in of_char for c in token) else token.encode()
         self.chars = dict(enumerate(byte_characters()))
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.first = _Words(self, "")
         self.spaced = _Words(self, " ")
@@ -84,13 +84,18 @@ class Codec:
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def has_added(self, text: str) -> bool:
+        return any(token in text for token in self.added)
+
     def letters(self, word: str, before: str) -> bytes:
         """Ids of letters alone after ``before`` (a space or nothing): one match of the splitting pattern."""
         spelled = (before + word).encode().decode("latin-1").translate(self.chars)
         return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
     def encode(self, text: str) -> bytes:
-        """Ids of a text as little-endian unsigned 32-bit integers."""
+        """Ids of a text as little-endian unsigned 32-bit integers. A tokenizers file's added tokens keep their own ids."""
+        if self.has_added(text):
+            return self.whole(text)
         out = []
         for line in _LINE.split(text):
             parts = line.split(" ")

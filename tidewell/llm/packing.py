@@ -61,7 +61,7 @@ class Ids:
     """Ids of a tokenizers file, by the quicker tiktoken wherever both libraries are bound to agree.
 
     That is where the file is plain byte-level BPE whose ids follow its merges (so ids are ranks),
-    for texts of Latin characters; all other texts are encoded by the tokenizers library.
+    for texts of Latin characters; all other texts, and those that hold an added token, are encoded by the tokenizers library.
     """
 
     def __init__(self, path: str):
@@ -79,7 +79,7 @@ class Ids:
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
-        if self.plain is None or _OTHER.search(text):
+        if self.plain is None or _OTHER.search(text) or self.codec.has_added(text):
             return self.codec.encode(text)
         return array("I", self.plain.encode_ordinary(text)).tobytes()
 
