@@ -242,6 +242,53 @@ def slow_counts(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), sum(x in lines[:i] for i, x in enumerate(lines)), len(repeated)
 
 
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are
+met:
+
+   * Redistributions of source code must retain the above copyright
+notice, this list of conditions and the following disclaimer.
+   * Neither the name of {} nor the names of its
+contributors may be used to endorse or promote products derived from
+this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS
+"AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT
+LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR
+A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL"""
+ADVERTISING = "   * All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software.\n   * Neither"
+MIT_PERM = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+NAMED = {
+    BSD.format("Google Inc."): ("BSD-3-Clause", "BSD-3-Clause"),
+    "\n".join(f"// {x}" for x in BSD.format("Google Inc.").split("\n")): ("BSD-3-Clause", "BSD-3-Clause"),
+    BSD.format("the LLVM Team, University of Illinois at\nUrbana-Champaign,"): ("BSD-3-Clause", "BSD-3-Clause"),
+    BSD.format("the FreeBSD Project").replace("THE COPYRIGHT HOLDERS AND CONTRIBUTORS", "THE FREEBSD PROJECT"): ("BSD-3-Clause", "BSD-3-Clause"),
+    BSD.format("X").replace("contributors may be used", "people can be used"): ("BSD-unspecified", "BSD-unspecified"),
+    BSD.format("the University").replace("   * Neither", ADVERTISING): ("BSD-4-Clause", "BSD-4-Clause"),
+    "# SPDX-License-Identifier: MIT\nx = 1": ("MIT", "MIT"),
+    "x /* spdx-license-identifier: (GPL-2.0-or-later WITH Linux-syscall-note) OR BSD-3-Clause */ y": ("BSD-3-Clause,GPL-2.0", "BSD-3-Clause"),
+    "// SPDX-License-Identifier: Apache-2.0 OR MIT": ("Apache-2.0,MIT", "Apache-2.0"),
+    "SPDX-License-Identifier: LicenseRef-Own": ("", None),
+    "## License\n\nThis project is licensed under the MIT License - see the [LICENSE](LICENSE) file for details.": ("MIT", "MIT"),
+    "This library is released under the\n3-clause BSD license.": ("BSD-3-Clause", "BSD-3-Clause"),
+    "Licensed under GPLv3.": ("GPL-3.0", "GPL-3.0"),
+    f'<html><p class="x">{MIT_PERM}</p><p>THE <b>SOFTWARE</b> IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED</p>': ("MIT", "MIT"),
+    "The name of the game is a good one. This project is licensed under no terms.": ("", None),
+}
+
+
+def test_names_expressions_and_markup(spark):
+    texts = list(NAMED)
+    got = {r.doc_id: (r.licenses, r.license) for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert {texts[i]: x for i, x in got.items()} == NAMED
+
+
+def test_spdx_identifiers_are_told_apart(spark):
+    rows = [(i, f"/* SPDX-License-Identifier: {x} */") for i, x in enumerate(license_scan.SPDX)]
+    got = {r.doc_id: r.licenses for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(license_scan.SPDX))
+
+
 def test_counts(spark):
     rng = random.Random(1)
     bits = ["a", "b", " ", "\n", "c ", "\xa0", "#", "a b a b a b ", "\n\n", "é"]

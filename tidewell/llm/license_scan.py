@@ -11,6 +11,8 @@ of it is SQL functions. The SQL knows the one-line notices only (``SENTENCES`` a
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,7 +79,7 @@ _LATER = "of the license or at your option any later version"
 _ENDORSE = "may be used to endorse or promote products derived from this software without specific prior written permission"
 _MERCHANT = "as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"
 _APPEAR = "this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"
-#: Whole sentences of the published licences and their notices, several of one identifier where wordings differ.
+#: Whole sentences of the published licences and their notices (fixed values), several of one identifier where wordings differ.
 PUBLISHED = [
     ("MIT-HEAD", "mit license"),
     ("MIT-HEAD", "the mit license mit"),
@@ -123,7 +125,50 @@ PUBLISHED = [
     ("ZLIB-ALTER", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
     ("BOOST-TITLE", "boost software license version 1 0 august 17th 2003"),
     ("BOOST-LIC", "distributed under the boost software license version 1 0"),
+    ("BSD-ADV", "all advertising materials mentioning features or use of this software must display the following acknowledgement"),
+    ("GPL3-LIC", "gplv3"),
+    ("GPL3-LIC", "licensed under gplv3"),
+    ("GPL3-LIC", "licensed under the gplv3"),
+    ("GPL2-LIC", "gplv2"),
+    ("GPL2-LIC", "licensed under gplv2"),
+    ("GPL2-LIC", "licensed under the gplv2"),
+    ("EPL-LIC", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0"),
+    ("WTFPL-TITLE", "do what the fuck you want to public license"),
+    ("PSF-LIC", "licensed to psf under a contributor agreement"),
+    ("ASF-LIC", "licensed to the apache software foundation asf under one or more contributor license agreements"),
+    ("ASF-GRANT", "the asf licenses this file to you under the apache license version 2 0 the license"),
+]
+#: Sentences that name somebody between a head and a tail (fixed values): identifier, head, tail; an empty tail: whatever follows.
+NAMING = [
+    ("BSD-NAME", "neither the name of", f"nor the names of its contributors {_ENDORSE}"),
+    ("BSD-NAME", "neither the names of", f"nor the names of its contributors {_ENDORSE}"),
+    ("BSD-NAME", "the name of", _ENDORSE.replace("may be used", "may not be used")),
+    ("BSD-NAME", "the names of", _ENDORSE.replace("may be used", "may not be used")),
+    ("BSD-ASIS", "this software is provided by", _MERCHANT),
+    ("BSD-SOME-NAME", "neither the name of", ""),
+    ("BSD-SOME-NAME", "neither the names of", ""),
 ]
+#: Most words of a name in such a sentence, and of what follows a head whose tail is not known.
+NAME_WORDS, REST_WORDS = 16, 60
+#: How projects say what they are under, and the licences they name there (fixed values).
+_SUBJECT = "(?:this|the) (?:project|software|library|package|code|repository|program|module|tool|file|application) is (?:released|licensed|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?"
+NAMED = {
+    "mit license": "MIT-LIC", "apache license version 2 0": "APACHE-LIC", "apache license 2 0": "APACHE-LIC", "apache 2 0 license": "APACHE-LIC", "gnu general public license version 3": "GPL3-LIC",
+    "gnu general public license v3 0": "GPL3-LIC", "gnu gpl v3": "GPL3-LIC", "gpl v3": "GPL3-LIC", "gplv3": "GPL3-LIC", "gplv3 license": "GPL3-LIC", "gnu general public license version 2": "GPL2-LIC",
+    "gnu general public license v2 0": "GPL2-LIC", "gnu gpl v2": "GPL2-LIC", "gpl v2": "GPL2-LIC", "gplv2": "GPL2-LIC", "gnu lesser general public license version 3": "LGPL-LIC", "gnu affero general public license version 3": "AGPL-LIC",
+    "mozilla public license version 2 0": "MPL-TITLE", "mozilla public license 2 0": "MPL-TITLE", "bsd 3 clause license": "BSD3-LIC", "3 clause bsd license": "BSD3-LIC", "new bsd license": "BSD3-LIC",
+    "bsd 2 clause license": "BSD2-LIC", "2 clause bsd license": "BSD2-LIC", "simplified bsd license": "BSD2-LIC", "isc license": "ISC-LIC", "unlicense": "UNLICENSE", "boost software license": "BOOST-LIC",
+}
+#: SPDX identifiers that are read from ``SPDX-License-Identifier`` lines (fixed values); -only, -or-later and + may follow those of GNU.
+SPDX = """0BSD AFL-3.0 AGPL-3.0 Apache-1.1 Apache-2.0 Artistic-2.0 BlueOak-1.0.0 BSD-2-Clause BSD-3-Clause BSD-4-Clause BSL-1.0 CC0-1.0 CC-BY-3.0 CC-BY-4.0
+CC-BY-NC-4.0 CC-BY-SA-3.0 CC-BY-SA-4.0 CDDL-1.0 CECILL-2.1 ECL-2.0 EPL-1.0 EPL-2.0 EUPL-1.2 FTL GFDL-1.3 GPL-1.0 GPL-2.0 GPL-3.0 HPND ICU ISC LGPL-2.0 LGPL-2.1 LGPL-3.0 Libpng
+MIT MIT-0 MPL-1.1 MPL-2.0 MS-PL MulanPSL-2.0 NCSA ODbL-1.0 OFL-1.1 OpenSSL OSL-3.0 PostgreSQL PSF-2.0 Python-2.0 Ruby UPL-1.0 Unicode-DFS-2016 Unlicense W3C WTFPL X11 Zlib ZPL-2.1""".split()
+_SPDX_HEAD = "spdx license identifier"
+
+
+def spelled(name: str) -> str:
+    """A name as it is after normalising."""
+    return re.sub("[^a-z0-9]+", " ", name.lower()).strip()
 PUBLISHED_RULES = [
     ("Apache-2.0", ["APACHE-TITLE"], 1.0),
     ("GPL-3.0", ["GPL3-TITLE"], 1.0),
@@ -152,6 +197,17 @@ PUBLISHED_RULES = [
     ("Zlib", ["ZLIB-PERM", "ZLIB-ALTER"], 1.0),
     ("BSL-1.0", ["BOOST-TITLE"], 1.0),
     ("BSL-1.0", ["BOOST-LIC"], 0.9),
+    ("BSD-4-Clause", ["BSD-REDIST", "BSD-ADV", "BSD-NAME"], 1.0),
+    ("BSD-4-Clause", ["BSD-REDIST", "BSD-ADV"], 0.8),
+    ("BSD-3-Clause", ["BSD3-LIC"], 0.9),
+    ("BSD-2-Clause", ["BSD2-LIC"], 0.9),
+    ("BSD-unspecified", ["BSD-REDIST", "BSD-SOME-NAME"], 0.8),
+    ("ISC", ["ISC-LIC"], 0.9),
+    ("EPL-2.0", ["EPL-LIC"], 1.0),
+    ("WTFPL", ["WTFPL-TITLE"], 1.0),
+    ("Python-2.0", ["PSF-LIC"], 0.8),
+    ("Apache-2.0", ["ASF-LIC", "ASF-GRANT"], 1.0),
+    *((name, [f"SPDX-{name}"], 1.0) for name in SPDX),
 ]
 
 
@@ -160,18 +216,50 @@ def rule_pattern(name: str, keys: list[str], rules: list[tuple]) -> str:
     own = "|".join(sorted({k for n, all_keys, _ in rules if n == name for k in all_keys}))
     return "," + f",(?:(?:{own}),)*".join(keys) + ","
 
-#: "v. 2.0" is no sentence end, nor is it at the end of a wrapped line.
+#: "v. 2.0" is no sentence end, nor is it at the end of a wrapped line; neither is "Inc." before a small letter.
 _VERSION = r"(?<![a-z0-9])(v|ver|vers)\.[\x20\x09]*(?:\r?\n[\x20\x09#*/;%-]*)?(?=[0-9])"
+_COMPANY = r"(?<![A-Za-z0-9])([Ii]nc|[Ll]td|[Cc]orp|[Cc]o|LLC|GmbH|[Dd]r|[Mm]r|[Ss]t|et al)\.(?=\s[\s#*/;%-]*[a-z])"
+#: Mark-up that ends a sentence, and other mark-up.
+_BLOCK, _INLINE = r"</?(?:p|br|div|li|pre|h[1-6]|td|tr|ul|ol|blockquote|body)\b[^<>]{0,200}>", r"</?(?:a|b|i|em|strong|code|span|tt|u|var)\b[^<>]{0,200}>"
 
 
 def marked(text: Column) -> Column:
-    """Words with one space between, ``S`` for sentence ends and blank lines, ``N`` for other line feeds."""
-    out = F.regexp_replace(F.lower(text), _VERSION, "$1 ")
+    """Words with one space between, ``S`` for sentence ends, blank lines and blocks of mark-up, ``N`` for other line feeds."""
+    out = F.lower(F.regexp_replace(text, _COMPANY, "$1 "))
+    out = F.when(F.contains(out, F.lit("<")), F.regexp_replace(F.regexp_replace(out, _INLINE, " "), _BLOCK, " S ")).otherwise(out)
+    out = F.regexp_replace(F.replace(out, F.lit("spdx-license-identifier:"), F.lit(f"\n{_SPDX_HEAD} ")), _VERSION, "$1 ")
     out = F.regexp_replace(out, r"[.;:!?](?=\s|\z)", " S ")
-    out = F.regexp_replace(out, r"\n[^a-z0-9\n]*(?=\n)", " S ")
+    out = F.regexp_replace(out, r"\n[^a-z0-9\nS]*(?=\n)", " S ")
     return F.regexp_replace(F.replace(out, F.lit("\n"), F.lit(" N ")), "[^a-z0-9SN]+", " ")
 
 
+def _wrapped(sentence: str) -> str:
+    """A pattern for a sentence that may be wrapped at any of its spaces."""
+    return sentence.replace(" ", "(?: N)? ")
+
+
+def _naming(head: str, tail: str) -> str:
+    words = f"(?:(?: N)? [a-z0-9]+){{1,{NAME_WORDS if tail else REST_WORDS}}}{'?' if tail else ''}"
+    return _wrapped(head) + words + (f"(?: N)? {_wrapped(tail)}" if tail else "")
+
+
+def _keys(sentences: Column, known: Column) -> Column:
+    """Identifiers of recognised sentences, in order; an SPDX line may have several, or none."""
+    ids = "|".join(sorted({spelled(x) for x in SPDX}, key=len, reverse=True))
+    by_name = F.create_map(*[F.lit(x) for name in SPDX for x in (spelled(name), f"SPDX-{name}")])
+    projects = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
+
+    def of(sentence: Column) -> Column:
+        named = F.lit(None).cast("string")
+        for key, head, tail in reversed(NAMING):
+            named = F.when(F.startswith(sentence, F.lit(f"{head} ")) & F.endswith(sentence, F.lit(f" {tail}" if tail else "")), key).otherwise(named)
+        said = F.try_element_at(projects, F.regexp_replace(sentence, f"^{_SUBJECT}(.*?)(?: see .*)?$", "$1"))
+        spdx = F.transform(F.regexp_extract_all(sentence, F.lit(f"(?<= )(?:{ids})(?= |$)"), F.lit(0)), lambda x: F.element_at(by_name, x))
+        return F.when(F.startswith(sentence, F.lit(_SPDX_HEAD)), spdx).otherwise(F.array(F.coalesce(F.try_element_at(known, sentence), said, named)))
+
+    return F.array_compact(F.flatten(F.transform(sentences, lambda s: of(F.replace(s, F.lit(" N "), F.lit(" "))))))
+
+
 def scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: list[tuple] = RULES + PUBLISHED_RULES, published: list[tuple[str, str]] = PUBLISHED) -> DataFrame:
     """One row per input row: ``doc_id, sentence_ids, licenses, license, confidence``.
 
@@ -183,14 +271,16 @@ def scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: list[tup
     """
     pairs = [(sentence, key) for key, sentence in [*sentences.items(), *published]]
     known = F.create_map(*[F.lit(x) for pair in pairs for x in pair])
-    starts = "|".join(sorted({s.split(" ")[0] for s, _ in pairs}))
-    wrapped = "|".join(s.replace(" ", "(?: N)? ") for s in sorted((s for s, _ in pairs), key=len, reverse=True))
+    starts = "|".join(sorted({s.split(" ")[0] for s, _ in pairs} | {h.split(" ")[0] for _, h, _ in NAMING} | {"spdx"}))
+    names = "|".join(map(_wrapped, sorted(NAMED, key=len, reverse=True)))
+    forms = [_wrapped(s) for s in sorted((s for s, _ in pairs), key=len, reverse=True)]
+    forms += [_naming(head, tail) for _, head, tail in NAMING] + [f"{_wrapped(_SUBJECT)}(?:{names})(?:(?: N)? see(?:(?: N)? [a-z0-9]+){{1,{NAME_WORDS}}})?", f"{_SPDX_HEAD}(?: [a-z0-9]+){{1,{REST_WORDS}}}"]
     text = whole_text()
     # Texts without the first word of any known sentence are not marked.
     some = F.regexp_like(text, F.lit(rf"(?i)(?<![a-z0-9])(?:{starts})(?![a-z0-9])"))
-    hits = F.regexp_extract_all(marked(text), F.lit(rf"(?:^ ?|(?<=[SN] ))({wrapped})(?= ?(?:[SN]|$))"), F.lit(1))
+    hits = F.regexp_extract_all(marked(text), F.lit(rf"(?:^ ?|(?<=[SN] ))({'|'.join(forms)})(?= ?(?:[SN]|$))"), F.lit(1))
     parts = F.when(some, hits).otherwise(F.array().cast("array<string>"))
-    found = docs.select("doc_id", F.transform(parts, lambda s: F.element_at(known, F.replace(s, F.lit(" N "), F.lit(" ")))).alias("keys"))
+    found = docs.select("doc_id", _keys(parts, known).alias("keys"))
     line = F.concat(F.lit(","), F.array_join("keys", ","), F.lit(","))
     found = found.select("doc_id", F.array_join("keys", ",").alias("sentence_ids"), line.alias("line"))
     hits = [F.when(F.regexp_like("line", F.lit(rule_pattern(name, keys, rules))), F.struct((-F.lit(float(sure))).alias("rank"), F.lit(name).alias("name"))) for name, keys, sure in rules]
