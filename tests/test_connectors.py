@@ -1,6 +1,8 @@
 """Registry, payload dispatch and the three connectors on literal payloads."""
 
 import datetime as dt
+import random
+from urllib.robotparser import RobotFileParser
 
 import pytest
 from pyspark.sql import functions as F
@@ -197,3 +199,53 @@ def test_a_large_list(spark):
     rows = typed(spark, [source(0, "a", "json", "", root_path="l", mapping={"guid": "id", "title": "t"})]).withColumn("payload", payload)
     got = json_items.items(rows, F.lit(NOW).cast("timestamp"))[0].agg(F.count("*"), F.max("entry_ord"), F.sum(F.col("guid").cast("long")))
     assert tuple(got.first()) == (n, n - 1, n * (n + 1) // 2)
+
+
+def robots_file(rng):
+    """Rules as found in the wild: groups with several agents, blank lines, comments, percent signs, odd fields."""
+    paths = ["/", "/a", "/a/b", "/a%2fb", "/a%20b", "/a b", "/\u00e9", "/%C3%A9", "", "*", "/*", "/x?q=1", "/a;p", "a"]
+    lines = []
+    for _ in range(rng.randint(0, 4)):
+        lines += [f"User-Agent: {rng.choice(['*', 'tidewell', 'Tide', 'other', 'well/2'])}" for _ in range(rng.randint(0, 2))]
+        lines += [rng.choice(["", "# note", "Sitemap: x", "Crawl-delay: 2", "nonsense", " "]) for _ in range(rng.randint(0, 2))]
+        lines += [f"{rng.choice(['Allow', 'Disallow', 'disallow '])}: {rng.choice(paths)}{rng.choice(['', ' # why', ' '])}" for _ in range(rng.randint(0, 4))]
+        lines += [""] * rng.randint(0, 1)
+    return rng.choice(["\n", "\r\n"]).join(lines)
+
+
+def test_crawl_rules_equal_the_standard_library(spark):
+    rng = random.Random(12)
+    files = {f"h{i}.example": robots_file(rng) for i in range(300)}
+    tails = ["", "/", "/a", "/a/b", "/a%2Fb", "/a%20b/c", "/a b", "/%c3%a9", "/\u00e9/x", "/x?q=1&r=2", "/x", "?q", "/a;p", "/a;", "/b#f", "/*", "/a?"]
+    pages = [(f"https://{h}{t}",) for h in files for t in tails] + [("https://free.example/a",)]
+    want = {}
+    for (url,) in pages:
+        read = RobotFileParser()
+        read.parse(files.get(url.split("/")[2].split("?")[0], "").splitlines())
+        want[url] = read.can_fetch("tidewell/1.0 (x)", url)
+    found = html_items.crawl_permission(spark.createDataFrame(pages, "url string"), spark.createDataFrame(list(files.items()), "host string, body string"), "tidewell/1.0 (x)")
+    got = {r.url: r.allowed for r in found.collect()}
+    assert {u: (want[u], got[u]) for u in want if want[u] != got[u]} == {} and 500 < sum(want.values()) < len(want) - 500
+
+
+def test_many_rules_of_one_host(spark):
+    body = "User-agent: *\n" + "".join(f"Disallow: /part{i:05}/\nAllow: /part{i:05}\n" for i in range(20_000))
+    pages = spark.range(0, 40_000, 7).select(F.concat(F.lit("https://h.example/part"), F.lpad(F.col("id").cast("string"), 5, "0"), F.when(F.col("id") % 2 == 0, "/x").otherwise("")).alias("url"), "id")
+    got = html_items.crawl_permission(pages, spark.createDataFrame([("h.example", body)], "host string, body string"), "tidewell")
+    blocked = {r.id for r in got.where("not allowed").collect()}
+    assert blocked == {i for i in range(0, 40_000, 7) if i % 2 == 0 and i < 20_000}
+
+
+@pytest.mark.parametrize("encoding, declared", [("iso-8859-1", "ISO-8859-1"), ("cp1252", "windows-1252"), ("utf-16", "utf-16"), ("utf-16-be", "utf-16"), ("utf-8-sig", ""), ("utf-8", ""), ("utf-8", "nonsense"), ("utf-32", "utf-32"), ("koi8-r", "koi8-r")])
+def test_encodings(spark, tmp_path, encoding, declared):
+    text = ("<?xml version='1.0' encoding='" + declared + "'?>" if declared else "") + "<rss><item><title>" + ("\u043f\u0440\u0438" if encoding == "koi8-r" else "d\u00e9j\u00e0") + "</title></item></rss>"
+    (tmp_path / "f.xml").write_bytes(text.encode(encoding))
+    assert payloads.scan(spark, str(tmp_path)).first().payload == text
+
+
+def test_bytes_that_do_not_fit(spark, tmp_path):
+    (tmp_path / "f.xml").write_bytes(b"<rss>\xff\xfe ok</rss>")
+    (tmp_path / "g.html").write_bytes("<html><meta charset=iso-8859-1><p>\u00e9".encode("latin-1"))
+    (tmp_path / "h.xml").write_bytes(b"")
+    got = {r.path[-6:]: r.payload for r in payloads.scan(spark, str(tmp_path)).collect()}
+    assert got == {"/f.xml": "<rss>\ufffd\ufffd ok</rss>", "g.html": "<html><meta charset=iso-8859-1><p>\u00e9"}

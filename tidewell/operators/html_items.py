@@ -6,14 +6,19 @@ from bisect import bisect
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from itertools import accumulate
+from urllib.parse import quote, unquote, urlparse, urlunparse
+from urllib.robotparser import RobotFileParser
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tidewell.functions import dates, urls
 from tidewell.operators import common
+from tidewell.session import materialize
 
 #: Short texts that call to action and are no excerpt (fixed values), and the length from which a text is one.
 ACTIONS = ("read more", "lire la suite", "en savoir plus", "learn more", "read", "more")
@@ -191,28 +196,53 @@ def zero_yield(sources: DataFrame, found: DataFrame) -> DataFrame:
     return sources.select(F.col("id").alias("source_id")).join(found.select("source_id").distinct(), "source_id", "left_anti")
 
 
+_RULE = "host string, ord int, prefix string, allow boolean"
+
+
+def _rules(robots: DataFrame, agent: str) -> DataFrame:
+    """``host, ord, prefix, allow``: the rules for an agent in landed files, in order; paths are percent-encoded. Files are read by the standard library."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for host, body in zip(*(c.to_pylist() for c in batch.columns)):
+                read = RobotFileParser()
+                read.parse((body or "").splitlines())
+                group = next((e for e in read.entries if e.applies_to(agent)), read.default_entry)
+                rows += [(host, i, r.path, r.allowance) for i, r in enumerate(group.rulelines if group else ())]
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, kinds)], ["host", "ord", "prefix", "allow"])
+
+    return robots.dropDuplicates(["host"]).select("host", "body").mapInArrow(run, _RULE)
+
+
+@F.pandas_udf(StringType())
+def crawl_path(url: pd.Series) -> pd.Series:
+    """What rules are held against: path, query and fragment, percent-decoded and encoded again; ``/`` where there is none."""
+
+    def one(text: str | None) -> str:
+        try:
+            parts = urlparse(unquote(text or ""))
+        except ValueError:  # brackets that hold no address
+            return "/"
+        return quote(urlunparse(("", "", *parts[2:]))) or "/"
+
+    return url.map(one)
+
+
 def crawl_permission(pages: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
-    """Add ``allowed`` to pages (``url``) by landed robots rules (``host, body``).
+    """Add ``allowed`` to pages (``url``) by landed robots rules (``host, body``; of several rows of a host one counts).
 
-    A group of rules that names the agent goes before the one for all; in a group the first
-    rule whose path starts the page's path decides. Without rules, or for other schemes than
-    http and https, a page is allowed. A host's rules are few, so they are ordered per host.
+    The first group of rules that names the agent decides, else the one for all; in a group the first
+    rule whose path starts the page's path. Without rules, or for other schemes than http and https, a page is
+    allowed. A page looks up its path cut to each length that its host's rules have, so the work does not grow with the number of rules.
     """
-    name = agent.split("/")[0].lower()
-    lines = robots.select("host", F.posexplode(F.split(F.coalesce("body", F.lit("")), "\r?\n")).alias("ord", "line"))
-    lines = lines.select("host", "ord", F.trim(F.regexp_replace("line", "#.*$", "")).alias("line")).where(F.contains("line", F.lit(":")))
-    lines = lines.select("host", "ord", F.lower(F.trim(F.substring_index("line", ":", 1))).alias("field"), F.trim(F.regexp_replace("line", "^[^:]*:", "")).alias("value")).where(F.col("field").isin("user-agent", "allow", "disallow"))
-    by_host = W.partitionBy("host").orderBy("ord")
-    starts = (F.col("field") == "user-agent") & (F.coalesce(F.lag("field").over(by_host), F.lit("")) != "user-agent")
-    lines = lines.withColumn("starts", starts).withColumn("group", F.sum(F.col("starts").cast("int")).over(by_host))
-    named = F.when((F.col("value") != "*") & F.contains(F.lit(name), F.lower("value")), 2).when(F.col("value") == "*", 1)
-    groups = lines.where("field = 'user-agent'").groupBy("host", "group").agg(F.max(named).alias("rank")).where("rank is not null")
-    chosen = groups.groupBy("host").agg(F.max(F.struct("rank", (-F.col("group")).alias("back"))).alias("g")).select("host", (-F.col("g.back")).alias("group"))
-    rules = lines.where("field <> 'user-agent'").join(chosen, ["host", "group"]).select("host", "ord", F.col("value").alias("prefix"), ((F.col("field") == "allow") | (F.col("value") == "")).alias("allow"))
-    asked = pages.withColumn("_host", urls.authority(F.col("url"))).withColumn("_path", F.regexp_extract("url", r"^[a-z]+://[^/?#]*([^#]*)", 1))
-    asked = asked.withColumn("_path", F.when(F.col("_path").startswith("/"), F.col("_path")).otherwise(F.concat(F.lit("/"), "_path")))
-    per_host = rules.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("ord", "prefix", "allow"))).alias("rules"))
-    joined = asked.join(per_host, F.col("_host") == F.col("host"), "left")
-    decides = F.filter("rules", lambda r: F.startswith(F.col("_path"), r["prefix"]) | (r["prefix"] == "*"))
-    allowed = F.coalesce(F.get(decides, F.lit(0))["allow"], F.lit(True)) | ~F.rlike("url", F.lit("^https?://"))
-    return joined.withColumn("allowed", allowed).select(*pages.columns, "allowed")
+    rules, _ = materialize(_rules(robots, agent), "rules")
+    asked = pages.withColumns({"_host": urls.authority(F.col("url")), "_path": crawl_path(F.col("url"))})
+    lengths = rules.groupBy("host").agg(F.collect_set(F.length("prefix")).alias("lengths"))
+    places = asked.select("_host", "_path").distinct().join(lengths, F.col("_host") == F.col("host"))
+    cuts = places.select("_host", "_path", F.explode(F.filter("lengths", lambda n: n <= F.length("_path"))).alias("n"))
+    met = cuts.join(rules, (F.col("_host") == F.col("host")) & (F.left("_path", F.col("n")) == F.col("prefix")))
+    decided = met.groupBy("_host", "_path").agg(F.min(F.struct("ord", "allow")).alias("first")).select("_host", "_path", F.col("first.allow").alias("_allow"))
+    allowed = F.coalesce("_allow", F.lit(True)) | ~F.rlike("url", F.lit("^https?://"))
+    return asked.join(decided, ["_host", "_path"], "left").withColumn("allowed", allowed).select(*pages.columns, "allowed")

@@ -304,6 +304,22 @@ def feed_marked_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("guid", F.md5("content").alias("content_md5"))
 
 
+def feed_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feeds landed as bytes in five encodings, declared or marked."""
+    n, number = F.col("doc_id"), F.col("doc_id").cast("string")
+    entry = F.concat(F.lit("<item><title>d\u00e9j\u00e0 "), F.md5(_text()), F.lit("</title><guid>"), number, F.lit("</guid></item>"))
+    rows = _declared(views.documents(spark, sf_dir), "rss", _joined("doc_id", entry, "\n"))
+    way = F.col("source_ord") % 5
+
+    def landed(encoding: str, declared: str, mark: str = "") -> Column:
+        head = f'<?xml version="1.0" encoding="{declared}"?>' if declared else ""
+        return F.encode(F.concat(F.lit(mark + head + "<rss>"), F.col("payload"), F.lit("</rss>")), encoding)
+
+    content = F.when(way == 0, landed("ISO-8859-1", "ISO-8859-1")).when(way == 1, landed("UTF-16", "UTF-16")).when(way == 2, landed("UTF-8", "", "\ufeff")).when(way == 3, landed("UTF-16LE", "utf-16")).otherwise(landed("UTF-8", "no-such-name"))
+    found, _ = feed_items.items(rows.withColumn("payload", payloads.decoded(content)), views.run_ts())
+    return found.select("guid", "title")
+
+
 def feed_named_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feed_items.items(marked_feed_sources(spark, sf_dir), views.run_ts())[0].select("guid", "title")
 
@@ -536,6 +552,7 @@ SQL = {
     "feed_xhtml": f"WITH {_ODD_FEED_SQL} SELECT title, content FROM o",
     "feed_zones": f"WITH {_ODD_FEED_SQL} SELECT title, published_at FROM o",
     "feed_marked_entries": f"WITH {_MARKED_SQL} SELECT guid, md5(regexp_replace(body, '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g')) AS content_md5 FROM m",
+    "feed_encodings": "SELECT doc_id::VARCHAR AS guid, 'déjà ' || md5(coalesce(text, '')) AS title FROM documents",
     "feed_named_characters": f"WITH {_MARKED_SQL} SELECT guid, title FROM m",
     "crawl_run": f"""WITH {_CARDS_SQL}, c AS (SELECT source_id, regexp_replace(split_part(source_id, '-', 1), '[^0-9]', '', 'g')::INT % 3 AS k, split_part(source_id, '-', 2) AS chunk, count(*) AS n FROM h GROUP BY 1),
 b AS (SELECT *, k = 1 OR (k = 0 AND chunk LIKE '1%') AS blocked FROM c) SELECT source_id, CASE WHEN blocked THEN 0 ELSE n END AS n_collected, '' AS reason, CASE WHEN blocked THEN 'silent' ELSE 'ok' END AS state FROM b""",

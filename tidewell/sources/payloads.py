@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tidewell.operators import common, feed_items, html_items, json_items
 from tidewell.session import materialize
@@ -22,9 +25,33 @@ AGENT = "tidewell"
 REJECT = "source_id string, source_ord int, entry_ord bigint, reason string"
 
 
+#: Marks at the start of a document and the encodings they stand for (fixed values), longest first.
+_MARKS = ((b"\xff\xfe\x00\x00", "utf-32"), (b"\x00\x00\xfe\xff", "utf-32"), (b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16"), (b"<\x00?\x00", "utf-16-le"), (b"\x00<\x00?", "utf-16-be"))
+#: Where XML and HTML declare one.
+_DECLARED = re.compile(rb"""^\s*<\?xml\b[^>]*?\bencoding\s*=\s*["']([A-Za-z0-9._:-]+)["']|<meta\b[^>]*?\bcharset\s*=\s*["']?([A-Za-z0-9._:-]+)""", re.I)
+_HEAD_BYTES = 2048
+
+
+def _text_of(content: bytes) -> str:
+    encoding = next((e for mark, e in _MARKS if content.startswith(mark)), None)
+    if not encoding:
+        found = _DECLARED.search(content[:_HEAD_BYTES])
+        encoding = (found[1] or found[2]).decode() if found else "utf-8"
+    try:
+        return content.decode(encoding, "replace")
+    except LookupError:  # an unknown name
+        return content.decode("utf-8", "replace")
+
+
+@F.pandas_udf(StringType())
+def decoded(content: pd.Series) -> pd.Series:
+    """Text of whole documents: by byte-order mark, else as XML or HTML declares, else UTF-8; bytes that do not fit become U+FFFD."""
+    return content.map(lambda x: None if x is None else _text_of(bytes(x)))
+
+
 def scan(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """Whole documents from files: ``path, payload``."""
-    return spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("payload"))
+    """Whole documents from files: ``path, payload``. Files without bytes have no row."""
+    return spark.read.format("binaryFile").load(paths).select("path", decoded("content").alias("payload"))
 
 
 def of_registry(registry: DataFrame, files: DataFrame) -> DataFrame:
