@@ -506,6 +506,24 @@ def html_two_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_items.items(rows, views.run_ts())[0].select("guid", _plain_time())
 
 
+def html_odd_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards with empty headings, tags beside dates, headings inside spans, elements that stay open, calls to action, and none of a title."""
+    n, title = F.col("doc_id"), F.md5(_text())
+    forms = (
+        ("<h2> </h2><span>", "</span><p>", "</p><p>about ", "</p>"),
+        ('<div><span>Tag</span><time datetime="2024-07-01T10:00:00Z"></time></div><span> </span><span>', "</span><p>Learn more →</p><p>x ", "</p>"),
+        ("<span><h3>", "</h3> more</span>"),
+        ("<h4>", "<p>read"),
+        ("<time>12/05/2024</time><span>", "</span><p>READ MORE ››</p>"),
+        ("<p>only ", "</p>"),
+    )
+    inner = F.coalesce(*[F.when(n % len(forms) == i, F.concat_ws("", *[x for piece in form for x in (F.lit(piece), title)][:-1])) for i, form in enumerate(forms)])
+    card = F.concat(F.lit('<a href="/news/'), n.cast("string"), F.lit('">'), inner, F.lit("</a>"))
+    rows = _declared(views.documents(spark, sf_dir), "scrape", _joined("doc_id", card), selector=F.lit("/news/"), base_url=F.lit("https://site.example"))
+    found, _ = html_items.items(rows, views.run_ts())
+    return found.select("guid", "title", _plain_time(), "content")
+
+
 def item_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of sources numbered from ten million on, each with its place in registry order."""
     sources = json_sources(spark, sf_dir).withColumn("source_ord", F.col("source_ord") + 10_000_000)
@@ -588,6 +606,9 @@ FROM src s LEFT JOIN kept k USING (source_id) GROUP BY s.source_ord, s.source_id
     "retained_order": f"{_LINKED_SQL} SELECT source_id, guid, url, row_number() OVER (ORDER BY component) - 1 AS place FROM kept WHERE place = 1",
     "item_order": f"WITH {_JSON_SQL} SELECT source_id, doc_id::VARCHAR AS guid, row_number() OVER (ORDER BY regexp_replace(split_part(source_id, '-', 1), '[^0-9]', '', 'g')::INT, split_part(source_id, '-', 2)::INT, entry_ord) - 1 AS place FROM j WHERE good",
     "json_iso_forms": f"WITH i AS (SELECT doc_id, doc_id % {len(_ISO_FORMS)} AS k, TIMESTAMP '2024-05-25' + to_minutes(doc_id) AS ts FROM documents) SELECT doc_id::VARCHAR AS guid, CASE WHEN k >= {len(_ISO_FORMS) - 2} THEN TIMESTAMP '2024-06-01' WHEN k = {len(_ISO_FORMS) - 3} THEN date_trunc('day', ts) WHEN k = 2 THEN date_trunc('hour', ts) ELSE ts END AS published_at FROM i",
+    "html_odd_cards": """WITH c AS (SELECT 'https://site.example/news/' || doc_id AS guid, doc_id % 6 AS k, md5(coalesce(text, '')) AS t FROM documents)
+SELECT guid, CASE k WHEN 3 THEN t || ' read' ELSE t END AS title, CASE k WHEN 1 THEN TIMESTAMP '2024-07-01 10:00:00' WHEN 4 THEN TIMESTAMP '2024-05-12' ELSE TIMESTAMP '2024-06-01' END AS published_at,
+  CASE k WHEN 0 THEN 'about ' || t WHEN 1 THEN 'x ' || t ELSE '' END AS content FROM c WHERE k < 5""",
     "html_two_dates": "SELECT 'https://site.example/news/' || doc_id AS guid, CASE WHEN doc_id % 4 = 3 THEN TIMESTAMP '2024-05-25' ELSE TIMESTAMP '2024-06-25' END + to_days(doc_id::INT) AS published_at FROM documents",
 }
 QUERIES = {name: globals().get(f"{name}_") or globals()[name] for name in SQL}
