@@ -1,8 +1,10 @@
 """Exact and near deduplication, and line deduplication, against brute force."""
 
 import hashlib
+import os
 import re
 from collections import Counter, defaultdict
+from urllib.parse import urlsplit
 
 import cases
 import compare
@@ -64,8 +66,84 @@ def test_exact_collisions(spark, monkeypatch, few):
         assert Counter(tuple(r) for r in exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), **options).collect()) == want
 
 
+def deliver(spark, folder, deliveries, digest_chars=64, fail=()):
+    """Absorb lists of files, each a list of rows; return the files asked for per delivery, and the state."""
+    asked, names = [], {}
+
+    def lost(files):
+        raise RuntimeError("lost")
+
+    for number, files in enumerate(deliveries):
+        for k, rows in enumerate(files):
+            spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{folder}/docs/part={number}-{k}")
+        docs = spark.read.parquet(f"{folder}/docs")
+        contents, known = exact_dedup.by_file(docs.drop("part"))
+        new = [f for f in known if f not in names]
+        names |= {f: f.split("part=")[1].split("/")[0] for f in new}
+        wanted = set()
+
+        def named(files, contents=contents, wanted=wanted):
+            wanted |= {names[f] for f in files}
+            return contents(files)
+
+        if number in fail:
+            with pytest.raises(Exception, match="lost"):
+                exact_dedup.absorb(contents(new), lost, f"{folder}/store", number, digest_chars)
+        exact_dedup.absorb(contents(new), named, f"{folder}/store", number, digest_chars)
+        asked.append(wanted)
+    state = exact_dedup.digest_index(spark, f"{folder}/store/digests")
+    collided = spark.read.parquet(f"{folder}/store/collided").select("digest").distinct()
+    return asked, {tuple(r) for r in state.select("keep_id", "n").collect()}, {r[0] for r in collided.collect()}
+
+
+def test_exact_reads_only_named_files(spark, tmp_path):
+    """Ten deliveries: of earlier ones only files are read that hold the first text of a hit; a smaller id that comes late is kept."""
+    first = [[(100, "copy"), (101, "own")], [(102, "other"), (103, None)], [(104, "never again")]]
+    later = [[[(200 + 10 * i, f"new {i}"), (201 + 10 * i, f"new  {i}")]] for i in range(6)]
+    deliveries = [first, *later, [[(1, "copy"), (301, "copy")]], [[(2, "other")], [(302, ""), (303, " ")]], [[(304, "copy")]]]
+    asked, state, collided = deliver(spark, str(tmp_path), deliveries, fail={7})
+    assert asked == [set()] * 7 + [{"0-0"}, {"0-1"}, {"0-0"}]
+    assert not collided
+    assert {(1, 4), (2, 2), (101, 1), (103, 2), (104, 1), (303, 1)} <= state and len(state) == 6 + 6
+
+
+def test_exact_scan_is_pruned(spark, tmp_path):
+    for k in range(8):
+        spark.createDataFrame([(k, f"text {k}")], "doc_id long, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/docs")
+    contents, files = exact_dedup.by_file(spark.read.parquet(f"{tmp_path}/docs"))
+    part = contents(files[2:4])
+    assert len(files) == 8 and part.count() == 2
+    for name in files[:2] + files[4:]:
+        os.remove(urlsplit(name).path)
+    assert len(contents(files[2:4]).collect()) == 2
+
+
+def test_exact_collisions_across_deliveries(spark, tmp_path):
+    """Texts under one short digest differ only between deliveries, with smaller ids coming later."""
+    _, state, collided = deliver(spark, str(tmp_path), [[[(9, "a"), (8, "a")]], [[(7, "b")]], [[(6, "b"), (5, "b")]]], digest_chars=0)
+    assert state == {(5, 5)} and collided == {""}
+
+
+@pytest.mark.parametrize("few", [0, 50_000])
+def test_exact_deliveries_of_files(spark, tmp_path, monkeypatch, few):
+    """Whole rows with every number of files a delivery, against brute force; ids repeat, are null, and texts collide."""
+    monkeypatch.setattr(tables, "HOT", 7)
+    monkeypatch.setattr(exact_dedup, "BROADCAST_GROUPS", few)
+    rows = [(None if i % 13 == 0 else 400 - i % 300, "copy  me" if i % 3 == 0 else f"own {i % 50}") for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(6).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs").withColumn("at", F.lit("clash")).withColumn("_metadata", F.lit("clash"))
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[norm(t)].append(i)
+    least = {t: min((i for i in g if i is not None), default=None) for t, g in groups.items()}
+    want = Counter((i, least[norm(t)], len(groups[norm(t)]), i == least[norm(t)], hashlib.sha256(norm(t).encode()).hexdigest()) for i, t in rows)
+    for options in ({"files_per_batch": 2}, {"files_per_batch": 4, "digest_chars": 2}):
+        assert Counter(tuple(r) for r in exact_dedup.exact_dedup(docs, **options).collect()) == want
+
+
 def test_exact_nothing(spark):
     assert exact_dedup.exact_dedup(cases.empty(spark)).count() == 0
+    assert exact_dedup.exact_dedup(cases.empty(spark), files_per_batch=1).count() == 0
 
 
 def slow_fingerprint(text, k=3):
