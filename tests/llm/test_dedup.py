@@ -124,6 +124,14 @@ def test_exact_collisions_across_deliveries(spark, tmp_path):
     assert state == {(5, 5)} and collided == {""}
 
 
+def test_exact_first_text_lost(spark):
+    """A first text that its file no longer holds is never taken for an equal one."""
+    fresh = spark.createDataFrame([(2, "a", "new"), (3, "b", "new")], "doc_id long, text string, at string")
+    digest = [hashlib.sha256(t.encode()).hexdigest() for t in "ab"]
+    groups = spark.createDataFrame([(digest[0], 1, 0, 1, "old", 2), (digest[1], 3, 1, 3, "new", 2)], "digest string, keep_id long, delivery int, first_id long, locator string, n long")
+    assert [r[0] for r in exact_dedup.differing(fresh, groups, lambda files: fresh.limit(0), 1).collect()] == digest[:1]
+
+
 @pytest.mark.parametrize("few", [0, 50_000])
 def test_exact_deliveries_of_files(spark, tmp_path, monkeypatch, few):
     """Whole rows with every number of files a delivery, against brute force; ids repeat, are null, and texts collide."""

@@ -176,12 +176,13 @@ def exact_dedup(docs: DataFrame, digest_chars: int = 64, files_per_batch: int |
 
 
 def differing(fresh: DataFrame, groups: DataFrame, contents: Callable[[list[str]], DataFrame], delivery: int, digest_chars: int = 64) -> DataFrame:
-    """The digests (``digest``) of ``groups`` under which whole texts of ``fresh`` differ from the first one.
+    """The digests (``digest``) of ``groups`` under which whole texts of ``fresh`` differ from each other or from the first one.
 
-    ``groups`` is what :func:`ingest` writes. Every row of a group in ``fresh`` is compared with the text
-    that the group's locator names: a row of ``fresh``, or of a file of an earlier delivery. Only texts of hits
-    are shuffled where the groups are few enough to be broadcast (checked by count); beyond that
-    texts join by digest, hot digests salted.
+    ``groups`` is what :func:`ingest` writes. Texts of a group in ``fresh``, and the text that the group's
+    locator names where it lies in a file of an earlier delivery, are compared in full: they are equal
+    where the least and the greatest are. A first text that is not found counts as different. Tasks compare before the shuffle, so of a hot digest each
+    sends one row. Only texts of hits are shuffled where the groups are few enough to be broadcast
+    (checked by count); beyond that texts join by digest, hot digests salted.
     """
     size = groups.agg(F.count(F.lit(1)), F.sum("n")).first()
     total, body = size[1] or 0, normalised(F.col("text"))
@@ -193,13 +194,12 @@ def differing(fresh: DataFrame, groups: DataFrame, contents: Callable[[list[str]
             return rows.join(F.broadcast(groups), "digest")
         return join_groups(rows, groups, "digest", total, ["doc_id", "at"]).where("n is not null")
 
-    own = hits(fresh)
-    first = own.where(F.col("delivery") == delivery)
+    found = hits(fresh).select("digest", "body", (F.col("delivery") < delivery).alias("awaited"), F.lit(False).alias("came"))
     if named:
-        first = first.unionByName(hits(contents(named)))
-    first = first.where("doc_id <=> first_id and at = locator").groupBy("digest", "n").agg(F.first("body").alias("first_body"))
-    compared = join_groups(own.select("doc_id", "at", "digest", "body"), first, "digest", total, ["doc_id", "at"], groups)
-    return compared.where("not body <=> first_body").select("digest").distinct()
+        first = hits(contents(named)).where("doc_id <=> first_id and at = locator")
+        found = found.unionByName(first.select("digest", "body", F.lit(True).alias("awaited"), F.lit(True).alias("came")))
+    compared = found.groupBy("digest").agg(F.min("body").alias("least"), F.max("body").alias("most"), F.max("awaited").alias("awaited"), F.max("came").alias("came"))
+    return compared.where("least <> most or (awaited and not came)").select("digest")
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
