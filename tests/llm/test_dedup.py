@@ -205,6 +205,21 @@ def test_near_links(spark, shard_rows, block_rows):
     assert [labels.get(i, i) for i in range(len(fps))] == labels_of(fps)
 
 
+def test_links_are_written_before_they_are_contracted(spark, monkeypatch):
+    """No stage runs the search and the contraction both: it would keep two Python workers a core."""
+    plans = []
+
+    def watched(edges):
+        plans.append(edges._jdf.queryExecution().executedPlan().toString())
+        return connected_components(edges)
+
+    monkeypatch.setattr(simhash, "connected_components", watched)
+    rows = spark.createDataFrame([(i, f"one two three {i // 2}") for i in range(20)], "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in simhash.near_duplicates(rows).collect()}
+    assert all(found[i] == found[i - 1] for i in range(1, 20, 2))
+    assert len(plans) == 1 and "InPandas" not in plans[0] and "InArrow" not in plans[0]
+
+
 def test_lines_against_sql(spark):
     con = compare.connect(f"{compare.DATA}/sf0.01")
     query = catalog.queries()["op7_line_dedup"](spark, f"{compare.DATA}/sf0.01")

@@ -270,7 +270,9 @@ def _grouped(docs: DataFrame, k: int, radius: int, carry: tuple[str, ...]) -> Da
     """One row per input row: ``doc_id, fp, component`` (the smallest fingerprint reachable), ``component_id`` and ``carry``."""
     fps, _ = materialize(fingerprints(docs, k, carry), "fingerprints")
     distinct, _ = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
-    labels, _ = materialize(connected_components(links(distinct.select("fp", F.col("fp").alias("node")), radius)), "labels")
+    # Written before tasks contract them: a stage of two Python functions keeps two workers a core, each with all that its stages load.
+    found, _ = materialize(links(distinct.select("fp", F.col("fp").alias("node")), radius), "links")
+    labels, _ = materialize(connected_components(found), "labels")
     of_group = labels.join(distinct, labels.node == distinct.fp).groupBy("component").agg(F.min("least").alias("component_id"))
     linked = labels.join(of_group, "component").select(F.col("node").alias("fp"), "component", "component_id")
     named = distinct.join(linked, "fp", "left").select("fp", "n", F.coalesce("component", "fp").alias("component"), F.coalesce("component_id", "least").alias("component_id"))
