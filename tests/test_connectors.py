@@ -2,6 +2,8 @@
 
 import datetime as dt
 import random
+from collections import Counter
+from pathlib import Path
 from urllib.robotparser import RobotFileParser
 
 import pytest
@@ -10,7 +12,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from tidewell import schemas
 from tidewell.operators import html_items, json_items, linkage, report
-from tidewell.plans import pipeline
+from tidewell.plans import ingest_queries, pipeline
+from tidewell.session import shared_dir
 from tidewell.sources import payloads, registry
 
 NOW = dt.datetime(2026, 8, 1)
@@ -114,6 +117,24 @@ def test_scan(spark, tmp_path):
     assert {r.id: r.payload for r in payloads.of_registry(sources, files).collect()} == {"a": RSS, "b": None}
 
 
+def test_many_payloads_are_landed_as_rows(spark, tmp_path):
+    """Only the first chunk's payloads are files; markup in texts is no entry."""
+    rows = [(i, f"text {i} <item> </item>", "en", f"source{i // 10 % 2}", 10) for i in range(0, 1000, 10)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    shared = Path(shared_dir(spark))
+    before = set(shared.rglob("*.txt"))
+    found = ingest_queries.payload_scan(spark, str(tmp_path))
+    want = Counter(f"{r[3]}-{r[0] // 250}" for r in rows)
+    assert {r.source_id: r.n_entries for r in found.collect()} == want
+    assert len(set(shared.rglob("*.txt")) - before) <= 2
+
+
+def test_scan_of_a_table_decodes_each_payload(spark):
+    landed = [("a", bytearray("<?xml version='1.0' encoding='ISO-8859-1'?><p>\u00e9</p>".encode("latin-1"))), ("b", bytearray("<p>\u00e9</p>".encode("utf-16"))), ("c", bytearray(b""))]
+    got = {r.path: r.payload for r in payloads.scan_table(spark.createDataFrame(landed, "path string, content binary")).collect()}
+    assert got == {"a": "<?xml version='1.0' encoding='ISO-8859-1'?><p>\u00e9</p>", "b": "<p>\u00e9</p>"}
+
+
 def test_crawl_permission(spark):
     pages = spark.createDataFrame([("https://h.example/private/x",), ("https://h.example/private/ok",), ("https://h.example/",), ("https://free.example/private/x",), ("file:///x",)], "url string")
     robots = spark.createDataFrame([("h.example", "User-agent: *\nDisallow: /\n\nUser-agent: tidewell\nAllow: /private/ok\nDisallow: /private # no\n")], "host string, body string")

@@ -55,6 +55,11 @@ def entries(sources: DataFrame) -> DataFrame:
     return rows.withColumnRenamed("id", "source_id").drop("url")
 
 
+def n_entries(payload: Column) -> Column:
+    """Entry elements that a feed opens; markup in CDATA sections and comments opens none."""
+    return F.regexp_count(F.regexp_replace(payload, _VERBATIM, ""), F.lit("<(item|entry)>")).cast("bigint")
+
+
 @cache
 def _names() -> str:
     """The named characters of HTML 4 as a JSON object."""

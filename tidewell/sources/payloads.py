@@ -54,6 +54,14 @@ def scan(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     return spark.read.format("binaryFile").load(paths).select("path", decoded("content").alias("payload"))
 
 
+def scan_table(landed: DataFrame) -> DataFrame:
+    """Whole documents from a table of landed files (``path, content``, as Spark's reader of binary files has them): ``path, payload``.
+
+    A file costs a few processes and renames where it is written, so many sources are landed as rows, few as files.
+    """
+    return landed.where(F.length("content") > 0).select("path", decoded("content").alias("payload"))
+
+
 def of_registry(registry: DataFrame, files: DataFrame) -> DataFrame:
     """Each source with the payload landed for its ``url`` (null where none is)."""
     def plain(path: Column) -> Column:
