@@ -9,6 +9,7 @@ import cases
 import compare
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 from test_bpe import ALPHABET
@@ -41,6 +42,41 @@ def test_ids_are_those_of_the_tokenizers_library():
         assert own.encode(text) == codec.whole(text)
 
 
+def test_words_are_encoded_once_and_as_the_library_does(monkeypatch):
+    own, codec, rng = packing.ids_of(JSON), bpe.codec(JSON), random.Random(11)
+    odd = [*ALPHABET, "\u2028", "\u2003", "Ж", "ж", "\u0300", "\u180e", "\ufeff", "\x7f", " \n", "'ll", " é"]
+    for i in range(40):
+        texts = [None, "", *("".join(rng.choice(odd) for _ in range(rng.randint(0, 30))) for _ in range(60))]
+        texts += ["".join(chr(rng.choice([rng.randrange(0x260), rng.randrange(0x3100), 32, 10])) for _ in range(rng.randint(0, 30))) for _ in range(40)]
+        rng.shuffle(texts)
+        rows = rng.choice([1, 7, 64, 500])
+        got = []
+        for ids, n in own.encode_all(pa.array(["cut off", *texts], pa.string()).slice(1), rows):
+            got += [x.tobytes() for x in np.split(ids, np.cumsum(n)[:-1])]
+            assert len(n) <= rows
+        assert got == [codec.whole(t or "") for t in texts]
+    assert [n.tolist() for _, n in own.encode_all(pa.array([None, ""], pa.string()))] == [[0, 0]]
+    seen = []
+    monkeypatch.setattr(own, "plain", type("", (), {"encode_ordinary": lambda _, text, f=own.plain.encode_ordinary: seen.append(text) or f(text)})())
+    list(own.encode_all(pa.array(["one two three two\none two" + " two three" * 50] * 20)))
+    assert len("".join(seen)) < 40
+
+
+def test_bounds_of_partitions_need_no_second_pass_over_keys(spark, monkeypatch):
+    tokens = packing.tokenised(tables.documents(spark, SF), JSON)
+    counts = packing.corpus_counts(tokens)
+    idf = np.maximum(0, np.log((counts.docs - counts.df + 0.5) / (counts.df + 0.5))).astype(np.float32)
+    monkeypatch.setattr(packing, "BOUND_DOCUMENTS", 12)
+    rests = packing.by_content(tokens, counts, idf, 1500)
+    assert "rangepartitioning" not in rests._jdf.queryExecution().toString()
+    assert sorted(r.rest for r in rests.collect()) == sorted(r.rest for r in tokens.where("n_rest > 0 and frequencies is null").collect())
+    sizes = [n for n in rests.select(F.spark_partition_id().alias("p")).groupBy("p").count().toPandas()["count"]]
+    assert len(sizes) > 3 and max(sizes) < sum(sizes) / 2
+    # In one partition, everything stands in the order of keys; several partitions one after another give the same order.
+    monkeypatch.setattr(packing, "PARTITION_SHARDS", 1 << 40)
+    assert [r.rest for r in packing.by_content(tokens, counts, idf, 1500).collect()] == [r.rest for r in rests.collect()]
+
+
 def test_counts_of_the_corpus(spark):
     docs, codec = cases.edges(spark), bpe.codec(JSON)
     df, n, total, rests = packing.corpus_counts(packing.tokenised(docs, JSON))

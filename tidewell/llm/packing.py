@@ -1,14 +1,15 @@
 """Lexical retrieval packing: windows filled by BM25 neighbours of a seed document.
 
-Documents are tokenised once into a table; each task also leaves the number of its documents
-that hold each token, so document frequencies over the whole corpus (one number per vocabulary
-entry) come from that table without another pass over texts.
+Documents are tokenised once into a table, each distinct word of some hundred documents once; each
+task also leaves the number of its documents that hold each token, so document frequencies over the
+whole corpus (one number per vocabulary entry) come from that table without another pass over texts.
 
 As many ids as fill windows of their own do so where they stand: such windows need no neighbours
 and are never shuffled. What is left of a document, less than a window, is its rest. Rests are
 range partitioned and sorted by a lexical key, the tokens that weigh most in the whole document,
 so related ones come together wherever the table holds them, a frequent first token is split by
-the next ones, and no row of the shuffle is larger than a window. They are read in runs, each run
+the next ones, and no row of the shuffle is larger than a window. The bounds of partitions come from the keys
+of some documents, as Spark's own do, but without computing all keys once more. Rests are read in runs, each run
 a shard with its own inverted index of rests; retrieval and filling happen inside a shard, so a
 task holds one shard at a time whatever the input's size. Other shards are not asked: README
 gives the share of true neighbours found.
@@ -22,6 +23,7 @@ from __future__ import annotations
 import json
 import re
 from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -37,13 +39,15 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from tidewell.llm import bpe
-from tidewell.llm.tables import slices, texts_of
+from tidewell.llm.tables import slices
 from tidewell.session import scratch_path
 
 #: Ids of a window, the id that ends a document, and ids of a shard's rests (one window in 512 may be padded).
 WINDOW, END, SHARD_TOKENS = 1024, 0, 1 << 19
 #: Shards of a partition, about, and tokens of a document's key.
 PARTITION_SHARDS, KEY_TOKENS = 8, 4
+#: Documents, about, whose keys set the bounds of a partition, and of all.
+BOUND_DOCUMENTS, BOUNDS_DOCUMENTS = 200, 1_000_000
 #: BM25 saturation and length normalisation.
 K1, B = 1.2, 0.75
 
@@ -55,6 +59,8 @@ _PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id lo
 #: The split of byte-level tokenizers files (fixed value), and characters that any Unicode version classes alike.
 _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _OTHER = re.compile("[^\x00-\u024f]")
+#: Bytes of white space that words are cut at; documents whose tokens are marked at once.
+_SPACE, _MARKED = np.isin(np.arange(256), [32, *range(9, 14)]), 64
 
 
 class Ids:
@@ -67,6 +73,7 @@ class Ids:
     def __init__(self, path: str):
         self.codec = bpe.codec(path)
         self.size = len(self.codec.bytes_of)
+        self.width = np.array([len(x) for x in self.codec.bytes_of], np.int32)
         self.plain = None
         with open(path, encoding="utf-8") as file:
             made = json.load(file)
@@ -83,6 +90,94 @@ class Ids:
             return self.codec.encode(text)
         return array("I", self.plain.encode_ordinary(text)).tobytes()
 
+    def encode_all(self, texts: pa.Array, rows: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of each ``rows`` texts, their ids one after another and how many each has; null is empty. The ids are those of ``encode``.
+
+        Each distinct word is encoded once, with the white space before it: the splitting pattern always
+        begins a match at white space that follows a word, and looks no further back.
+        """
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        data, ends = _bytes_of(texts)
+        starts = np.append(np.flatnonzero(self._cuts(data, ends, texts)), len(data))
+        words = pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(data)]).dictionary_encode()
+        known, first, count = self._encode_words(words.dictionary)
+        word, bounds = words.indices.to_numpy(), np.searchsorted(starts, ends)
+        for i in range(0, len(texts), rows):
+            at = bounds[i : i + rows + 1]
+            own = word[at[0] : at[-1]]
+            n = count[own]
+            held = np.append(0, np.cumsum(n))
+            yield known[np.repeat(first[own] - held[:-1], n) + np.arange(held[-1])], np.diff(held[at - at[0]])
+
+    def _cuts(self, data: np.ndarray, ends: np.ndarray, texts: pa.Array) -> np.ndarray:
+        """Where words begin: at the start of texts, and at white space of ASCII after what is none for certain.
+
+        A text that holds an added token is one word, and so is each if the file is not one for tiktoken.
+        """
+        cut = np.zeros(len(data), bool)
+        if self.plain is not None:
+            cut[1:] = _SPACE[data[1:]] & _no_space(data)[:-1]
+            for token in self.codec.added:
+                for i in np.flatnonzero(pc.match_substring(texts, token).to_numpy(zero_copy_only=False)).tolist():
+                    cut[ends[i] : ends[i + 1]] = False
+        cut[ends[:-1][ends[:-1] < ends[1:]]] = True
+        return cut
+
+    def _encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all words in some order, where those of each word begin, and how many it has.
+
+        Latin words that could be cut on both sides go through tiktoken as one text; the widths of its tokens say where each ends.
+        """
+        data, ends = _bytes_of(words)
+        if not len(data):
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        joined = _SPACE[data[ends[:-1]]] & _no_space(data)[ends[1:] - 1] & np.logical_and.reduceat(data < 0xC9, ends[:-1])
+        for token in self.codec.added:
+            joined &= ~pc.match_substring(words, token).to_numpy(zero_copy_only=False)
+        joined &= self.plain is not None
+        count, text = np.zeros(len(words), np.int64), _bytes_of(words.filter(pa.array(joined)))[0].tobytes().decode()
+        ids = [array("I", self.plain.encode_ordinary(text)).tobytes() if text else b""]
+        held = np.searchsorted(np.cumsum(self.width[np.frombuffer(ids[0], "<u4")]), np.cumsum(np.diff(ends)[joined]), "right")
+        count[joined] = np.diff(held, prepend=0)
+        ids += [self._encode_word(w.decode()) for w in words.filter(pa.array(~joined)).to_pylist()]
+        count[~joined] = [len(x) // 4 for x in ids[1:]]
+        first = np.zeros(len(words), np.int64)
+        order = np.append(np.flatnonzero(joined), np.flatnonzero(~joined))
+        first[order] = np.cumsum(count[order]) - count[order]
+        return np.frombuffer(b"".join(ids), "<u4"), first, count
+
+    def _encode_word(self, word: str) -> bytes:
+        rest = word[1:]
+        if self.plain is not None and word[0] in " \n" and rest.split() == [rest] and _OTHER.search(rest) and not self.codec.has_added(word):
+            return self.codec.spaced[rest] if word[0] == " " else self.codec.feed + self.codec.first[rest]
+        return self.encode(word)
+
+
+def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of an array with large offsets and no nulls, and where each value begins and the last ends."""
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    return data, ends - ends[0]
+
+
+def _no_space(data: np.ndarray) -> np.ndarray:
+    """Bytes that end a character which is white space in no library: not below U+0021, from U+0080 to U+00BF or from U+1000 to U+3FFF."""
+    out = data > 32
+    out[1:] &= (data[1:] < 0x80) | (data[:-1] != 0xC2)
+    out[2:] &= (data[2:] < 0x80) | (data[1:-1] < 0x80) | (data[:-2] < 0xE1) | (data[:-2] > 0xE3)
+    return out
+
+
+def _holders(ids: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
+    """How many documents hold each token; ``ends`` says where each document begins and the last ends."""
+    total, seen = np.zeros(size, np.uint32), np.zeros((_MARKED, size), np.uint8)
+    for i in range(0, len(ends) - 1, _MARKED):
+        own = ends[i : i + _MARKED + 1]
+        seen[:] = 0
+        seen[np.repeat(np.arange(len(own) - 1), np.diff(own)), ids[own[0] : own[-1]]] = 1
+        total += seen.sum(0, dtype=np.uint8)
+    return total
+
 
 @lru_cache(maxsize=2)
 def ids_of(path: str) -> Ids:
@@ -97,16 +192,18 @@ def tokenised(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = ids_of(path)
         frequency, rows, total, rests = np.zeros(own.size, np.uint32), 0, 0, 0
-        end, at = np.array([END], "<u4").tobytes(), TaskContext.get().partitionId() * _TASK
-        for b in slices(batches, rows=256, size=4 << 20):
-            ids = [own.encode(t) + end for t in texts_of(b)]
-            frequency += np.bincount(np.concatenate([np.unique(np.frombuffer(x, "<u4")) for x in ids]), minlength=own.size).astype(np.uint32)
-            lengths = np.array([len(x) // 4 for x in ids])
+        at = TaskContext.get().partitionId() * _TASK
+        for b, found, n in ((b.slice(256 * i, 256), *x) for b in slices(batches, rows=1280, size=4 << 20) for i, x in enumerate(own.encode_all(b.column("text"), 256))):
+            ids = np.full(len(found) + len(n), END, "<u4")
+            ids[np.arange(len(found)) + np.repeat(np.arange(len(n)), n)] = found
+            lengths = n + 1
+            ends = np.append(0, np.cumsum(lengths))
+            frequency += _holders(ids, ends, own.size)
             cut = lengths // window * window
             first = at + np.cumsum(cut // window + 1) - (cut // window + 1)
-            rows, total, rests, at = rows + len(ids), total + int(lengths.sum()), rests + int((lengths - cut).sum()), int(first[-1] + cut[-1] // window + 1)
-            whole, rest = ([x[: 4 * c] for x, c in zip(ids, cut.tolist())], [x[4 * c :] for x, c in zip(ids, cut.tolist())])
-            none = pa.nulls(len(ids))
+            rows, total, rests, at = rows + len(n), total + int(lengths.sum()), rests + int((lengths - cut).sum()), int(first[-1] + cut[-1] // window + 1)
+            whole, rest = ([ids[a:b].tobytes() for a, b in zip(x.tolist(), y.tolist())] for x, y in ((ends[:-1], ends[:-1] + cut), (ends[:-1] + cut, ends[1:])))
+            none = pa.nulls(len(n))
             columns = [b.column("doc_id"), first, whole, rest, lengths, lengths - cut, none, none]
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) if not isinstance(x, pa.Array) else x.cast(f.type) for x, f in zip(columns, schema)], schema=schema)
         counts = [None, None, None, None, total, rests, frequency.tobytes(), rows]
@@ -175,16 +272,25 @@ def by_content(tokens: DataFrame, counts: Counts, idf: np.ndarray, shard_tokens:
     rank[np.argsort(counts.df, kind="stable")] = np.arange(len(counts.df))
     rank[~used] = -1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "whole", rows=256, size=4 << 20):
-            ids = [np.frombuffer(w + r, "<u4") for w, r in zip(b.column("whole").to_pylist(), b.column("rest").to_pylist())]
-            own = pa.array(keys(ids, idf, rank, mean_length), pa.binary())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "at", "n_tokens", "rest")), own], ["doc_id", "at", "n_tokens", "rest", "key"])
-
     rests = tokens.where("n_rest > 0 and frequencies is null").select("doc_id", "at", "n_tokens", "whole", "rest")
-    keyed = rests.mapInArrow(run, "doc_id long, at long, n_tokens long, rest binary, key binary")
-    parts = max(1, counts.rests // (PARTITION_SHARDS * shard_tokens))
-    return keyed.repartitionByRange(parts, "key", "at").sortWithinPartitions("key", "at").select("doc_id", "n_tokens", "rest")
+
+    def keyed(rows: DataFrame, bounds: list[tuple[bytes, int]]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches, "whole", rows=256, size=4 << 20):
+                ids = [np.frombuffer(w + r, "<u4") for w, r in zip(b.column("whole").to_pylist(), b.column("rest").to_pylist())]
+                own = keys(ids, idf, rank, mean_length)
+                part = [bisect_right(bounds, x) for x in zip(own, b.column("at").to_pylist())]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "at", "n_tokens", "rest")), pa.array(own, pa.binary()), pa.array(part, pa.int32())], ["doc_id", "at", "n_tokens", "rest", "key", "part"])
+
+        return rows.mapInArrow(run, "doc_id long, at long, n_tokens long, rest binary, key binary, part int")
+
+    parts, bounds = max(1, counts.rests // (PARTITION_SHARDS * shard_tokens)), []
+    if parts > 1:
+        every = max(1, counts.docs // min(BOUND_DOCUMENTS * parts, BOUNDS_DOCUMENTS))
+        some = keyed(rests.where(F.pmod(F.xxhash64("at"), F.lit(every)) == 0), []).select("key", "at").toArrow()
+        some = sorted(zip(some.column("key").to_pylist(), some.column("at").to_pylist()))
+        bounds = [some[len(some) * i // parts] for i in range(1, parts)] if some else []
+    return keyed(rests, bounds).repartitionById(parts, "part").sortWithinPartitions("key", "at").select("doc_id", "n_tokens", "rest")
 
 
 def own_windows(tokens: DataFrame, window: int) -> DataFrame:
