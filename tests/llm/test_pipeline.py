@@ -77,6 +77,20 @@ def test_bounds_of_partitions_need_no_second_pass_over_keys(spark, monkeypatch):
     assert [r.rest for r in packing.by_content(tokens, counts, idf, 1500).collect()] == [r.rest for r in rests.collect()]
 
 
+def test_keys_are_the_tokens_of_greatest_weight():
+    rng = np.random.default_rng(3)
+    for _ in range(100):
+        size = int(rng.integers(1, 30))
+        ids = [rng.integers(0, size, rng.integers(1, 20)).astype("<u4") for _ in range(rng.integers(1, 20))]
+        idf, rank = (np.round(rng.random(size) * 3) / 4).astype(np.float32), rng.permutation(size)
+        rank[rng.random(size) < rng.choice([0, 0.3, 1])] = -1
+        for own, key in zip(ids, packing.keys(ids, idf, rank, 8.0)):
+            tf = Counter(own.tolist())
+            weight = {t: float(idf[t] * np.int64(n) * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(own) / 8.0))) for t, n in tf.items() if rank[t] >= 0}
+            want = sorted(weight, key=lambda t: (-round(weight[t], 12), t))[:4]
+            assert np.frombuffer(key, ">u4").tolist() == [rank[t] for t in want]
+
+
 def test_counts_of_the_corpus(spark):
     docs, codec = cases.edges(spark), bpe.codec(JSON)
     df, n, total, rests = packing.corpus_counts(packing.tokenised(docs, JSON))

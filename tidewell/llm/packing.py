@@ -255,10 +255,17 @@ def keys(ids: list[np.ndarray], idf: np.ndarray, rank: np.ndarray, mean_length:
     pairs, tf = np.unique(of[useful] * len(rank) + flat[useful], return_counts=True)
     doc, term = pairs // len(rank), pairs % len(rank)
     weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / mean_length))
-    order = np.lexsort((term, -weight, doc))
-    start = np.searchsorted(doc, np.arange(len(ids) + 1))
-    ranks = rank[term[order]].astype(">u4")
-    return [ranks[a : min(b, a + KEY_TOKENS)].tobytes() for a, b in zip(start[:-1], start[1:])]
+    best = np.full((KEY_TOKENS, len(ids)), -1, np.int64)
+    start = np.flatnonzero(np.diff(doc, prepend=-1))
+    for place in best if len(doc) else ():  # one after another, as few are kept; ties: the smaller token
+        most = np.maximum.reduceat(weight, start)
+        at = np.flatnonzero(weight == np.repeat(most, np.diff(start, append=len(doc))))
+        at = at[np.diff(doc[at], prepend=-1) > 0]
+        at = at[most > -np.inf]
+        place[doc[at]] = rank[term[at]]
+        weight[at] = -np.inf
+    ranks, n = best.T.astype(">u4"), (best >= 0).sum(0)
+    return [x[:k].tobytes() for x, k in zip(ranks, n.tolist())]
 
 
 def by_content(tokens: DataFrame, counts: Counts, idf: np.ndarray, shard_tokens: int) -> DataFrame:
